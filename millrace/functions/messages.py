@@ -33,15 +33,6 @@ def decode_json(
     return decoded.select(*keep, "js.*")
 
 
-def undecodable(records: DataFrame, schema: T.StructType = MESSAGE_SCHEMA) -> DataFrame:
-    """The records ``decode_json`` turns into all NULLs, with their text kept."""
-    js = F.from_json(as_text(F.col("value")), schema)
-    fields = [js[field.name] for field in schema.fields]
-    return records.filter(F.coalesce(*[f.cast("string") for f in fields]).isNull()).withColumn(
-        "raw", as_text(F.col("value"))
-    )
-
-
 def encode_json(*columns: Column | str) -> Column:
     """The named columns as one JSON object string; NULL fields are kept as nulls."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
