@@ -89,16 +89,19 @@ def _named(name: Column) -> Column:
     The standard library's table serves; it includes old names that need no ``;`` and
     so may be followed by other letters.
     """
-    table = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
-    legacy = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=len, reverse=True)
+    names = html.entities.html5
+    unclosed = {n: names[n] for n in sorted(names, key=len, reverse=True) if not n.endswith(";")}
+
+    def table(entries: dict[str, str]) -> Column:
+        return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
 
     def by_prefix(prefix: Column) -> Column:
         tail = F.substring(name, F.length(prefix) + 1, F.length(name))
-        return F.when(prefix != "", F.concat(F.try_element_at(table, prefix), tail))
+        return F.when(prefix != "", F.concat(F.try_element_at(table(unclosed), prefix), tail))
 
     return F.coalesce(
-        F.try_element_at(table, name),
-        bind(F.regexp_extract(name, rf"\A({'|'.join(legacy)})", 1), by_prefix),
+        F.try_element_at(table(names), name),
+        bind(F.regexp_extract(name, rf"\A({'|'.join(unclosed)})", 1), by_prefix),
     )
 
 
@@ -139,21 +142,43 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("&"), bind(F.split(text, "&", -1), joined)).otherwise(text)
 
 
-def page_title(document: Column) -> Column:
-    """Text of the first title element, stripped; empty if it has none or several nodes."""
-    inner = F.regexp_extract(document, TITLE, 2)
-    text = bind(F.regexp_extract(inner, ONLY_TEXT, 1), unescape)
-    return F.coalesce(strip(text), F.lit(""))
+def _title_text(document: Column) -> Column:
+    """Text of the first title element as written; empty if it has none or several nodes."""
+    return F.regexp_extract(F.regexp_extract(document, TITLE, 2), ONLY_TEXT, 1)
 
 
 def _href_of_tag(inside: Column) -> Column:
-    """The href value of one tag, or NULL; the last one if it is given twice."""
+    """The href value of one tag as written, or NULL; the last one if it is given twice."""
     attributes = F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(0))
     href = F.try_element_at(F.filter(attributes, lambda a: a.rlike(HREF)), F.lit(-1))
-    return bind(F.regexp_replace(href, HREF_VALUE, "$1$2$3"), unescape)
+    return F.regexp_replace(href, HREF_VALUE, "$1$2$3")
 
 
-def link_texts(document: Column) -> Column:
-    """The ``href`` texts of a document's ``<a>`` tags, in order, repeats included."""
+def _hrefs(document: Column) -> Column:
     tags = F.regexp_extract_all(document, F.lit(ANCHOR_TAGS), F.lit(2))
     return F.filter(F.transform(tags, _href_of_tag), lambda href: href.isNotNull())
+
+
+def page_title(document: Column) -> Column:
+    """Text of the first title element, stripped; empty if it has none or several nodes."""
+    return F.coalesce(strip(bind(_title_text(document), unescape)), F.lit(""))
+
+
+def link_texts(document: Column) -> Column:
+    """The ``href`` texts of a document's ``<a>`` tags, in order, repeats included."""
+    return F.transform(_hrefs(document), unescape)
+
+
+def title_and_links(document: Column) -> Column:
+    """``page_title`` and ``link_texts`` as the fields ``title`` and ``hrefs``.
+
+    All texts go through one ``unescape``, whose table of names makes up most of a plan.
+    """
+    written = F.concat(F.array(_title_text(document)), _hrefs(document))
+    return bind(
+        F.transform(written, unescape),
+        lambda texts: F.struct(
+            strip(F.element_at(texts, 1)).alias("title"),
+            F.slice(texts, F.lit(2), F.size(texts) - 1).alias("hrefs"),
+        ),
+    )

@@ -12,18 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.urls import url_origin
+from millrace.functions.html import link_texts
+from millrace.functions.urls import normalize_url, url_origin
 from millrace.operators.caps import head
 from millrace.operators.counts import row_count
 from millrace.operators.crawl import RECORD_SCHEMA, Crawl, crawl
-from millrace.operators.frontier import link_edges
 from millrace.plans import sql_fragments as sql
 from millrace.plans.registry import query, table
 from millrace.plans.web import ALLOWED, PAGE_CAP, seed_texts, snapshot
 from millrace.scratch import fresh_dir
-from millrace.sinks.files import dated_json_lines
-from millrace.sources.tables import json_lines
-from millrace.sources.web import read_pages
+from millrace.sinks import files as sink
+from millrace.sources.tables import json_lines, parquet
+from millrace.sources.web import outgoing
 
 # Parameters of the registered crawls.
 MAX_DEPTH = 3
@@ -33,47 +33,39 @@ RUN_ID = "run-1"
 DERIVED_ORDER = 2**62
 
 
-def _derived(urls: DataFrame, final: str, status: str, html: str) -> DataFrame:
-    """One snapshot row per ``url``, its other columns given as Spark SQL."""
-    return urls.select(
-        F.lit(DERIVED_ORDER).alias("page_id"),
-        "url",
-        F.expr(html).alias("html"),
-        F.expr(final).alias("final_url"),
-        F.expr(status).alias("status"),
-    )
+# The derived pages, as Spark SQL over their address ``url``.
+NAME = "regexp_extract(url, '([^/]*)$', 1)"
+SECTION = f"""named_struct(
+    'url', url, 'final_url', CAST(NULL AS STRING), 'status', IF(url LIKE '%e', 404, 200),
+    'html', IF(url LIKE '%s', '', concat(
+        '<html><head><!-- <title>x</title> --><title> Section ', {NAME},
+        ' &amp; more</title></head><body><a class=up href=".">up</a><a href="', {NAME},
+        '/archive?page=1">all</a><a href="//mirror.example.com/">copy</a>',
+        '<a href="mailto:info@example.org">mail</a></body></html>')))"""
+ARCHIVE = """named_struct(
+    'url', concat(url, '/archive'), 'final_url', concat(url, '/archive/index.html?all=1'),
+    'status', 200,
+    'html', '<title>Archive</title><a href="?page=2">next</a><a href=older>older</a>')"""
+ROOT = """named_struct(
+    'url', url, 'final_url', CAST(NULL AS STRING), 'status', CAST(NULL AS INT),
+    'html', concat('<title>', url, '</title><a href="/">home</a><a href="sitemap">map</a>'))"""
 
 
 def web(pages: DataFrame) -> DataFrame:
-    """Articles, sections, archives and roots as one snapshot."""
-    articles = snapshot(pages)
-    read = read_pages(articles, "page_id")
-    targets = link_edges(read).select(F.col("dst_url").alias("url")).distinct()
-    origins = read.select(F.concat(url_origin(F.col("url")), F.lit("/")).alias("url")).distinct()
-    name = "regexp_extract(url, '([^/]*)$', 1)"
-    sections = _derived(
-        targets,
-        final="CAST(NULL AS STRING)",
-        status="IF(url LIKE '%e', 404, 200)",
-        html=f"""IF(url LIKE '%s', '', concat(
-            '<html><head><!-- <title>x</title> --><title> Section ', {name},
-            ' &amp; more</title></head><body><a class=up href=".">up</a><a href="', {name},
-            '/archive?page=1">all</a><a href="//mirror.example.com/">copy</a>',
-            '<a href="mailto:info@example.org">mail</a></body></html>'))""",
-    )
-    archives = _derived(
-        targets.select(F.concat("url", F.lit("/archive")).alias("url")),
-        final="concat(url, '/index.html?all=1')",
-        status="200",
-        html="""'<title>Archive</title><a href="?page=2">next</a><a href=older>older</a>'""",
-    )
-    roots = _derived(
-        origins,
-        final="CAST(NULL AS STRING)",
-        status="CAST(NULL AS INT)",
-        html="""concat('<title>', url, '</title><a href="/">home</a><a href="sitemap">map</a>')""",
+    """Articles, sections, archives and roots as one stored snapshot."""
+    key = normalize_url(F.col("url"))
+    root = F.concat(url_origin(F.col("key")), F.lit("/"))
+    named = pages.select(key.alias("key"), "html").filter("key IS NOT NULL")
+    addresses = F.concat(F.array(root), outgoing(F.col("key"), link_texts(F.col("html"))))
+    derived = (
+        named.select(F.explode(addresses).alias("url"))
+        .distinct()
+        .selectExpr(f"inline(IF(url LIKE '%/', array({ROOT}), array({SECTION}, {ARCHIVE})))")
+        .withColumn("page_id", F.lit(DERIVED_ORDER))
     )
-    return articles.unionByName(sections).unionByName(archives).unionByName(roots)
+    path = fresh_dir(pages.sparkSession, "web")
+    sink.parquet(snapshot(pages).unionByName(derived), path)
+    return parquet(pages.sparkSession, path)
 
 
 def _crawl(spark: SparkSession, sf_dir: str, max_pages: int | None = None) -> Crawl:
@@ -181,7 +173,7 @@ def crawl_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "raw")
     run = _crawl(spark, sf_dir)
-    dated_json_lines(run.records, path, run.run_id, F.lit(run.run_ts))
+    sink.dated_json_lines(run.records, path, run.run_id, F.lit(run.run_ts))
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RECORD_SCHEMA.fields)
     return json_lines(spark, path, f"{names}, dt string, run_id string")
 

@@ -6,10 +6,13 @@ fetched) and ``html``.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.html import link_texts, page_title
+from millrace.functions.binding import bind
+from millrace.functions.html import title_and_links
 from millrace.functions.urls import is_web_address, normalize_url, resolve_links
 
 
@@ -19,31 +22,42 @@ def was_fetched() -> Column:
     return ok_status & (F.coalesce(F.length("html"), F.lit(0)) > 0)
 
 
-def outgoing(base: Column, document: Column) -> Column:
-    """Normalised web addresses a document links to, each once."""
-    resolved = F.filter(resolve_links(base, link_texts(document)), is_web_address)
+def outgoing(base: Column, hrefs: Column) -> Column:
+    """Normalised web addresses the links of a page lead to, each once."""
+    resolved = F.filter(resolve_links(base, hrefs), is_web_address)
     keys = F.transform(resolved, normalize_url)
     return F.array_distinct(F.filter(keys, lambda url: url.isNotNull()))
 
 
-def read_pages(snapshot: DataFrame, order: str) -> DataFrame:
-    """Snapshot rows as ``(url, page)``, one row per normalised address.
+@lru_cache
+def _page(application_id: str) -> Column:
+    """The page struct of a snapshot row with its ``key``; NULL if the fetch failed.
 
-    ``page`` is a struct of ``final_url``, ``title`` and ``links``, NULL if the fetch
-    failed.  Of several rows with one address the one with the smallest ``order``, a column without repeats, counts.
-    Documents are read where they lie, so only titles and links travel; copies of an
-    address are reduced before the exchange, however many there are.
+    Kept per application: naming its parts one by one costs the driver a second.
     """
-    requested = snapshot.withColumn("key", normalize_url(F.col("url"))).filter("key IS NOT NULL")
     base = F.coalesce(F.col("final_url"), F.col("key"))
-    page = F.when(
-        was_fetched(),
-        F.struct(
+    page = bind(
+        title_and_links(F.col("html")),
+        lambda read: F.struct(
             normalize_url(base).alias("final_url"),
-            page_title(F.col("html")).alias("title"),
-            outgoing(base, F.col("html")).alias("links"),
+            read["title"].alias("title"),
+            outgoing(base, read["hrefs"]).alias("links"),
         ),
     )
+    return F.when(was_fetched(), page)
+
+
+def read_pages(snapshot: DataFrame, order: str) -> DataFrame:
+    """Snapshot rows as ``(url, page)``, one row per normalised address.
+
+    ``page`` is a struct of ``final_url``, ``title`` and ``links``, NULL if the fetch
+    failed.  Of several rows with one address the one with the smallest ``order``, a
+    column without repeats, counts.  Documents are read where they lie, so only titles
+    and links travel; copies of an address are reduced before the exchange, however many
+    there are.
+    """
+    page = _page(snapshot.sparkSession.sparkContext.applicationId)
+    requested = snapshot.withColumn("key", normalize_url(F.col("url"))).filter("key IS NOT NULL")
     parsed = requested.select(F.col("key").alias("url"), F.col(order).alias("rank"), page.alias("page"))
     return parsed.groupBy("url").agg(F.min_by("page", "rank").alias("page"))
 
