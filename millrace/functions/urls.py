@@ -22,7 +22,15 @@ REMOVED_ANYWHERE = r"[\t\r\n]"
 WITH_PARAMS = r"(?s)\A((?:.*/)?[^/;]*);[^/]*\z"
 PARAMS = r"(?:\A|/)[^/;]*;([^/]*)\z"
 NORMAL_ALREADY = r"\Ahttps?://[a-z0-9.-]++/(?:[^?#;\t\r\n]*[^?#;/\t\r\n])?\z"
-PLAIN_ROOTED = r"\A/(?![/.])(?:[^?#;/]|/(?!\.))*+\z"
+PLAIN_ROOTED = r"\A/(?![/.])(?:[^?#;/\t\r\n]|/(?!\.))*+\z"
+PLAIN_ABSOLUTE = (
+    r"\Ahttps?://[^/?#;\[\]\x00-\x20]++(?:/[^?#;\t\r\n]*+)?"
+    r"(?:\?[^#\t\r\n]++)?(?:#[^\t\r\n]++)?\z"
+)
+PLAIN_RELATIVE = (
+    r"\A[^/?#;:.\x00-\x20](?:[^/?#;:\t\r\n]|/(?![./]))*+"
+    r"(?:\?[^#\t\r\n]++)?(?:#[^\t\r\n]++)?\z"
+)
 IPV6_AUTHORITY = r"\A\[[0-9A-Fa-f:.%]+\](?::.*)?\z"
 
 
@@ -154,10 +162,11 @@ def _merged_path(base_path: Column, path: Column) -> Column:
 
 
 def _page_parts(base: Column) -> Column:
+    """``folder`` is what a plain relative link is put behind; NULL if that is not enough."""
+
     def parts(page: Column) -> Column:
         full_path = F.regexp_extract(page, ABSOLUTE, 3)
         return F.struct(
-            base.alias("given"),
             F.lower(F.regexp_extract(page, SCHEME, 1)).alias("scheme"),
             F.regexp_extract(page, ABSOLUTE, 2).alias("authority"),
             F.regexp_replace(full_path, WITH_PARAMS, "$1").alias("path"),
@@ -165,7 +174,22 @@ def _page_parts(base: Column) -> Column:
             F.regexp_extract(page, r"\A[^?#]*\?([^#]*)", 1).alias("query"),
         )
 
-    return bind(_clean(base), parts)
+    def with_prefixes(page: Column) -> Column:
+        origin = F.concat(page["scheme"], F.lit("://"), page["authority"])
+        folder = F.regexp_extract(page["path"], r"(?s)\A/(?:.*/)?", 0)
+        plain = F.when(~page["path"].rlike(r"//|/\."), folder)
+        return F.struct(
+            page["scheme"].alias("scheme"),
+            page["authority"].alias("authority"),
+            page["path"].alias("path"),
+            page["params"].alias("params"),
+            page["query"].alias("query"),
+            base.alias("given"),
+            origin.alias("origin"),
+            F.concat(origin, F.when(plain == "", F.lit("/")).otherwise(plain)).alias("folder"),
+        )
+
+    return bind(bind(_clean(base), parts), with_prefixes)
 
 
 def _link_parts(rest: Column) -> Column:
@@ -235,9 +259,11 @@ def _resolve(page: Column, href: Column) -> Column:
 
     return (
         F.when(href == "", page["given"])
+        .when(href.rlike(PLAIN_ROOTED), F.concat(page["origin"], href))
+        .when(href.rlike(PLAIN_ABSOLUTE), href)
         .when(
-            href.rlike(PLAIN_ROOTED) & ~href.rlike(REMOVED_ANYWHERE),
-            F.concat(page["scheme"], F.lit("://"), page["authority"], href),
+            page["folder"].isNotNull() & href.rlike(PLAIN_RELATIVE),
+            F.concat(page["folder"], href),
         )
         .otherwise(bind(_clean(href), with_scheme))
     )

@@ -10,7 +10,7 @@ from millrace.functions.urls import (
     host_allowed,
     is_web_address,
     normalize_url,
-    resolve_link,
+    resolve_links,
     url_host,
     url_origin,
 )
@@ -104,9 +104,8 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every link of every page as an absolute address and as a visiting key."""
     pages = table(spark, sf_dir, "pages")
-    hrefs = pages.select("page_id", "url", F.explode(link_texts(F.col("html"))).alias("href"))
-    links = hrefs.select("page_id", resolve_link(F.col("url"), F.col("href")).alias("link"))
-    return links.filter(is_web_address(F.col("link"))).withColumn(
+    links = F.filter(resolve_links(F.col("url"), link_texts(F.col("html"))), is_web_address)
+    return pages.select("page_id", F.explode(links).alias("link")).withColumn(
         "url", normalize_url(F.col("link"))
     )
 

@@ -35,10 +35,5 @@ def seed_urls(texts: DataFrame, column: str = "seeds") -> DataFrame:
     ``texts`` may hold any number of rows; words that are no address are dropped, and
     an address given twice is one seed.
     """
-    return (
-        texts.select(F.explode(words(F.col(column))).alias("word"))
-        .select(normalize_url(F.col("word")).alias("url"))
-        .filter(F.col("url").isNotNull())
-        .distinct()
-        .withColumn("depth", F.lit(0))
-    )
+    keys = F.filter(F.transform(words(F.col(column)), normalize_url), lambda url: url.isNotNull())
+    return texts.select(F.explode(keys).alias("url")).distinct().withColumn("depth", F.lit(0))
