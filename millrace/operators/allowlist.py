@@ -18,8 +18,9 @@ def _outermost(domains: DataFrame) -> DataFrame:
     repeat a row.
     """
     distinct = domains.select(F.lower("domain").alias("domain")).filter("domain <> ''").distinct()
+    suffixes = host_suffixes(F.col("domain"))
     parents = distinct.select(
-        "domain", F.explode(F.slice(host_suffixes(F.col("domain")), 2, 2**31 - 1)).alias("parent")
+        "domain", F.explode(F.array_except(suffixes, F.array("domain"))).alias("parent")
     )
     covered = parents.join(distinct.withColumnRenamed("domain", "parent"), "parent", "left_semi")
     return distinct.join(covered, "domain", "left_anti")
