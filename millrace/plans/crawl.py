@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.html import link_texts
-from millrace.functions.urls import normalize_url, url_origin
+from millrace.functions.urls import url_origin
 from millrace.operators.caps import head
 from millrace.operators.counts import row_count
 from millrace.operators.crawl import RECORD_SCHEMA, Crawl, crawl
@@ -23,7 +22,7 @@ from millrace.plans.web import ALLOWED, PAGE_CAP, seed_texts, snapshot
 from millrace.scratch import fresh_dir
 from millrace.sinks import files as sink
 from millrace.sources.tables import json_lines, parquet
-from millrace.sources.web import outgoing
+from millrace.sources.web import parsed
 
 # Parameters of the registered crawls.
 MAX_DEPTH = 3
@@ -53,18 +52,17 @@ ROOT = """named_struct(
 
 def web(pages: DataFrame) -> DataFrame:
     """Articles, sections, archives and roots as one stored snapshot."""
-    key = normalize_url(F.col("url"))
-    root = F.concat(url_origin(F.col("key")), F.lit("/"))
-    named = pages.select(key.alias("key"), "html").filter("key IS NOT NULL")
-    addresses = F.concat(F.array(root), outgoing(F.col("key"), link_texts(F.col("html"))))
+    articles = snapshot(pages)
+    root = F.concat(url_origin(F.col("url")), F.lit("/"))
     derived = (
-        named.select(F.explode(addresses).alias("url"))
+        parsed(articles)
+        .select(F.explode(F.concat(F.array(root), F.col("page.links"))).alias("url"))
         .distinct()
         .selectExpr(f"inline(IF(url LIKE '%/', array({ROOT}), array({SECTION}, {ARCHIVE})))")
         .withColumn("page_id", F.lit(DERIVED_ORDER))
     )
     path = fresh_dir(pages.sparkSession, "web")
-    sink.parquet(snapshot(pages).unionByName(derived), path)
+    sink.parquet(articles.unionByName(derived), path)
     return parquet(pages.sparkSession, path)
 
 

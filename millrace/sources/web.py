@@ -47,19 +47,26 @@ def _page(application_id: str) -> Column:
     return F.when(was_fetched(), page)
 
 
-def read_pages(snapshot: DataFrame, order: str) -> DataFrame:
-    """Snapshot rows as ``(url, page)``, one row per normalised address.
+def parsed(snapshot: DataFrame, *keep: str) -> DataFrame:
+    """Snapshot rows as ``(url, page)``, in place and copies included.
 
-    ``page`` is a struct of ``final_url``, ``title`` and ``links``, NULL if the fetch
-    failed.  Of several rows with one address the one with the smallest ``order``, a
-    column without repeats, counts.  Documents are read where they lie, so only titles
-    and links travel; copies of an address are reduced before the exchange, however many
-    there are.
+    ``url`` is the normalised address, and rows without one are dropped; ``page`` is a
+    struct of ``final_url``, ``title`` and ``links``, NULL if the fetch failed.
     """
     page = _page(snapshot.sparkSession.sparkContext.applicationId)
-    requested = snapshot.withColumn("key", normalize_url(F.col("url"))).filter("key IS NOT NULL")
-    parsed = requested.select(F.col("key").alias("url"), F.col(order).alias("rank"), page.alias("page"))
-    return parsed.groupBy("url").agg(F.min_by("page", "rank").alias("page"))
+    keyed = snapshot.withColumn("key", normalize_url(F.col("url"))).filter("key IS NOT NULL")
+    return keyed.select(F.col("key").alias("url"), *keep, page.alias("page"))
+
+
+def read_pages(snapshot: DataFrame, order: str) -> DataFrame:
+    """``parsed`` with one row per address.
+
+    Of several rows with one address the one with the smallest ``order``, a column without
+    repeats, counts.  Documents are read where they lie, so only titles and links travel;
+    copies of an address are reduced before the exchange, however many there are.
+    """
+    rows = parsed(snapshot, order)
+    return rows.groupBy("url").agg(F.min_by("page", order).alias("page"))
 
 
 def look_up(frontier: DataFrame, pages: DataFrame) -> DataFrame:
