@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.urls import host_suffixes, url_host
+from millrace.scratch import fresh_dir
 
 BROADCAST_DOMAINS = 200_000
 SALTS = 64
@@ -26,6 +29,41 @@ def _outermost(domains: DataFrame) -> DataFrame:
     return distinct.join(covered, "domain", "left_anti")
 
 
+@dataclass(frozen=True)
+class Allowlist:
+    """Stored, outermost domains, and whether they are few enough to broadcast."""
+
+    entries: DataFrame
+    small: bool
+
+    @staticmethod
+    def store(domains: DataFrame, broadcast_domains: int = BROADCAST_DOMAINS) -> Allowlist:
+        spark = domains.sparkSession
+        path = fresh_dir(spark, "allowlist")
+        _outermost(domains).write.parquet(path)
+        entries = spark.read.schema("domain string").parquet(path)
+        return Allowlist(entries, entries.count() <= broadcast_domains)
+
+    def keep(self, urls: DataFrame, column: str = "url", salts: int = SALTS) -> DataFrame:
+        """Rows of ``urls`` whose host is an entry or below one.
+
+        The suffix test becomes an equality: a host is expanded to its parents, and one of
+        them must be listed.  A long list is shuffled; since nearly all hosts may share one
+        parent, each parent is spread over ``salts`` keys and the list repeated for each.
+        The salt mixes in the input partition, which spreads copies of one row and stays the
+        same when a task is run again.
+        """
+        entries = self.entries.withColumnRenamed("domain", "_parent")
+        expanded = urls.withColumn("_parent", F.explode(host_suffixes(url_host(F.col(column)))))
+        if self.small:
+            return expanded.join(F.broadcast(entries), "_parent", "left_semi").drop("_parent")
+        place = F.pmod(F.xxhash64(*urls.columns, F.spark_partition_id()), F.lit(salts))
+        salted = expanded.withColumn("_salt", place.cast("int"))
+        all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        spread = entries.withColumn("_salt", all_salts)
+        return salted.join(spread, ["_parent", "_salt"], "left_semi").drop("_parent", "_salt")
+
+
 def semi_join_allowed(
     urls: DataFrame,
     domains: DataFrame,
@@ -33,24 +71,5 @@ def semi_join_allowed(
     broadcast_domains: int = BROADCAST_DOMAINS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Rows of ``urls`` whose host is a ``domain`` of the other table or below one.
-
-    The suffix test becomes an equality: a host is expanded to its parents, and one of
-    them must be listed.  A list of at most ``broadcast_domains`` entries, counted
-    first, is broadcast.  A longer one is shuffled; since nearly all hosts may share one
-    parent, each parent is spread over ``salts`` keys and the list repeated for each.
-    The salt mixes in the input partition, which spreads copies of one row and stays the
-    same when a task is run again.
-    """
-    entries = _outermost(domains)
-    expanded = urls.withColumn("_parent", F.explode(host_suffixes(url_host(F.col(column)))))
-    if entries.limit(broadcast_domains + 1).count() <= broadcast_domains:
-        small = F.broadcast(entries.withColumnRenamed("domain", "_parent"))
-        return expanded.join(small, "_parent", "left_semi").drop("_parent")
-    place = F.xxhash64(*urls.columns, F.spark_partition_id())
-    salted = expanded.withColumn("_salt", F.pmod(place, F.lit(salts)).cast("int"))
-    spread = entries.select(
-        F.col("domain").alias("_parent"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
-    )
-    return salted.join(spread, ["_parent", "_salt"], "left_semi").drop("_parent", "_salt")
+    """Rows of ``urls`` whose host is a ``domain`` of the other table or below one."""
+    return Allowlist.store(domains, broadcast_domains).keep(urls, column, salts)

@@ -12,13 +12,13 @@ import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.messages import encode_json
 from millrace.functions.urls import domain_list, host_allowed
-from millrace.operators.allowlist import semi_join_allowed
+from millrace.operators.allowlist import Allowlist
 from millrace.operators.caps import first_rows
 from millrace.operators.frontier import next_level
 from millrace.scratch import fresh_dir
@@ -35,14 +35,14 @@ LITERAL_DOMAINS = 50
 ATTEMPT_SCHEMA = T.StructType(
     [T.StructField("url", T.StringType()), T.StructField("depth", T.IntegerType())]
 )
-PAGE_TYPE = T.StructType(
+FETCHED_SCHEMA = T.StructType(
     [
+        *ATTEMPT_SCHEMA.fields,
         T.StructField("final_url", T.StringType()),
         T.StructField("title", T.StringType()),
         T.StructField("links", T.ArrayType(T.StringType())),
     ]
 )
-FETCHED_SCHEMA = T.StructType([*ATTEMPT_SCHEMA.fields, T.StructField("page", PAGE_TYPE)])
 RECORD_SCHEMA = T.StructType(
     [
         T.StructField("url", T.StringType()),
@@ -57,8 +57,9 @@ RECORD_SCHEMA = T.StructType(
 class Crawl:
     """What a crawl left behind.
 
-    ``attempts`` is ``(url, depth)`` and ``fetched`` is ``(url, depth, page)``; both have one
-    row per address, and an attempt without a fetched row failed.
+    ``attempts`` is ``(url, depth)`` and ``fetched`` adds ``final_url``, ``title`` and ``links``;
+    both have one row per address, and an attempt without a fetched row failed.  ``links`` is
+    NULL at the last depth, where none are followed.
     """
 
     attempts: DataFrame
@@ -81,8 +82,8 @@ class Crawl:
         ``url`` is where the fetch ended up, so a redirect may repeat an address.
         """
         return self.fetched.select(
-            F.col("page.final_url").alias("url"),
-            F.col("page.title").alias("title"),
+            F.col("final_url").alias("url"),
+            "title",
             "depth",
             F.lit(self.run_ts).cast("bigint").alias("ts"),
         )
@@ -140,7 +141,8 @@ def crawl(
     fetched_paths: list[str] = []
     pages, forget_pages = _stored_pages(read_pages(snapshot, order), f"{work}/pages")
     try:
-        frontier = _in_scope(seed_urls(seeds), allowed)
+        in_scope = _scope(spark, allowed)
+        frontier = in_scope(seed_urls(seeds))
         for depth in range(max_depth + 1):
             room = None if max_pages is None else max_pages - attempted
             waiting = None if depth == 0 else max_enqueue
@@ -150,13 +152,16 @@ def crawl(
 
             fetched_paths.append(f"{work}/fetched-{depth}")
             level = spark.read.schema(ATTEMPT_SCHEMA).parquet(path)
-            look_up(level, pages).write.parquet(fetched_paths[-1])
+            found = look_up(level, pages)
+            if depth == max_depth:
+                found = found.drop("links")
+            found.write.parquet(fetched_paths[-1])
             if size == 0 or depth == max_depth or attempted == max_pages:
                 break
 
             fetched = spark.read.schema(FETCHED_SCHEMA).parquet(fetched_paths[-1])
             seen = spark.read.schema(ATTEMPT_SCHEMA).parquet(*attempted_paths)
-            frontier = _in_scope(next_level(fetched, seen), allowed)
+            frontier = in_scope(next_level(fetched, seen))
     finally:
         forget_pages()
     return Crawl(
@@ -196,10 +201,13 @@ def _stored_level(
     return f"{path}-capped", limit
 
 
-def _in_scope(urls: DataFrame, allowed: DataFrame | str | Iterable[str]) -> DataFrame:
+def _scope(
+    spark: SparkSession, allowed: DataFrame | str | Iterable[str]
+) -> Callable[[DataFrame], DataFrame]:
+    """What keeps the allowed addresses of a frame; a list in a table is prepared once."""
     if not isinstance(allowed, DataFrame):
         domains = domain_list(allowed)
         if len(domains) <= LITERAL_DOMAINS:
-            return urls.filter(host_allowed(F.col("url"), domains))
-        allowed = literal_rows(urls.sparkSession, [(d,) for d in domains], "domain string")
-    return semi_join_allowed(urls, allowed)
+            return lambda urls: urls.filter(host_allowed(F.col("url"), domains))
+        allowed = literal_rows(spark, [(d,) for d in domains], "domain string")
+    return Allowlist.store(allowed).keep

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """``(src_url, dst_url)`` for every link of every page of ``sources.web.read_pages``."""
-    return pages.select(
-        F.col("url").alias("src_url"), F.explode("page.links").alias("dst_url")
-    )
+    return pages.select(F.col("url").alias("src_url"), F.explode("links").alias("dst_url"))
 
 
 def first_visits(candidates: DataFrame) -> DataFrame:
@@ -44,6 +42,6 @@ def next_level(fetched: DataFrame, seen: DataFrame) -> DataFrame:
     Repeats go before the anti-join, so both of its sides have one row per address.
     """
     linked = fetched.select(
-        F.explode("page.links").alias("url"), (F.col("depth") + 1).alias("depth")
+        F.explode("links").alias("url"), (F.col("depth") + 1).alias("depth")
     )
     return unseen(first_visits(linked), seen)

@@ -216,4 +216,4 @@ def enqueue_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds looked up in the snapshot; those it does not hold drop out."""
     found = look_up(seeds(spark, sf_dir), _read(spark, sf_dir))
-    return found.select("url", "page.title")
+    return found.select("url", "title")

@@ -59,14 +59,15 @@ def parsed(snapshot: DataFrame, *keep: str) -> DataFrame:
 
 
 def read_pages(snapshot: DataFrame, order: str) -> DataFrame:
-    """``parsed`` with one row per address.
+    """The pages a snapshot holds: ``url``, ``final_url``, ``title``, ``links``, each ``url`` once.
 
     Of several rows with one address the one with the smallest ``order``, a column without
-    repeats, counts.  Documents are read where they lie, so only titles and links travel;
-    copies of an address are reduced before the exchange, however many there are.
+    repeats, counts; if that fetch failed, the address has no page.  Documents are read where
+    they lie, so only titles and links travel; copies of an address are reduced before the
+    exchange, however many there are.
     """
-    rows = parsed(snapshot, order)
-    return rows.groupBy("url").agg(F.min_by("page", order).alias("page"))
+    first = parsed(snapshot, order).groupBy("url").agg(F.min_by("page", order).alias("page"))
+    return first.filter("page IS NOT NULL").select("url", "page.*")
 
 
 def look_up(frontier: DataFrame, pages: DataFrame) -> DataFrame:
@@ -75,4 +76,4 @@ def look_up(frontier: DataFrame, pages: DataFrame) -> DataFrame:
     Both sides have one row per address, so no key is hot.  A frontier small enough by its
     stored size is broadcast; a larger one is shuffled to the buckets of ``pages``.
     """
-    return frontier.join(pages.filter("page IS NOT NULL"), "url")
+    return frontier.join(pages, "url")

@@ -91,10 +91,12 @@ def test_allowlist_as_frame_and_as_long_list(spark):
 
 
 def test_first_row_of_copies_counts(spark):
-    pages = read_pages(spark.createDataFrame(WEB, SCHEMA), "id").collect()
-    assert len(pages) == len({p["url"] for p in pages}) == 6
-    (copy,) = [p["page"] for p in pages if p["url"] == "http://ex.org/c"]
-    assert copy["title"] == "C"
+    failed_first = [page(8, "http://ex.org/g?1", status=500), page(9, "http://ex.org/g?2")]
+    pages = read_pages(spark.createDataFrame(WEB + failed_first, SCHEMA), "id").collect()
+    assert {p["url"][-1] for p in pages} == {"/", "a", "b", "c"}
+    assert len(pages) == 4
+    (copy,) = [p for p in pages if p["url"] == "http://ex.org/c"]
+    assert (copy["title"], copy["links"]) == ("C", ["http://other.net/moved/e", "http://ex.org/e"])
 
 
 def brute_force(rows, seeds, max_depth, max_pages):

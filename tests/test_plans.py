@@ -38,7 +38,7 @@ def test_scans_read_only_what_is_asked(spark):
 def test_a_level_does_not_shuffle_the_pages(spark):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     pages = spark.range(100).select(
-        F.col("id").cast("string").alias("url"), F.struct(F.lit("t").alias("title")).alias("page")
+        F.col("id").cast("string").alias("url"), F.lit("t").alias("title")
     )
     stored, forget = _stored_pages(pages, fresh_dir(spark, "pages"))
     try:
