@@ -19,8 +19,8 @@ from millrace.functions.text import strip
 
 # What may stand inside a tag after its name: anything up to ``>``, where a quoted
 # value after ``=`` may hold ``>`` itself.
-_INSIDE_TAG = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
-_COMMENT = r"<!--.*?(?:-->|\z)"
+_INSIDE_TAG = r"""(?:[^>=]++|=++\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+"""
+_COMMENT = r"<!--(?:-?>|.*?(?:-->|\z))"
 
 
 def _raw_text(group: int) -> str:

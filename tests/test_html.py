@@ -1,5 +1,7 @@
 import html
+import random
 import time
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +79,45 @@ def test_documents(spark):
         assert row["both"]["hrefs"] == row["links"]
 
 
+class Anchors(HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.links = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a" and "href" in dict(attrs):
+            self.links.append(dict(attrs)["href"] or "")
+
+
+def test_random_documents_match_the_standard_parser(spark):
+    rng = random.Random(11)
+    values = ["", "=x", "='a \"b> c'", '="d \'e> <a href=no>"', " = y", '="&amp;&eacute;"', "=/p?q=1"]
+    names = ["href", "HREF", "class", "data-href", "title", "x"]
+    tags = ["a", "A", "abbr", "p", "b", "area", "aside", "script2"]
+    between = [" ", "text", "a < b", "</a>", "</p >", "<br/>", "<!-- <a href=no> -->", "&lt;a href=no>",
+               "<script>'<a href=no>'</script>", "<style><a href=no></style>", "<!doctype html>"]
+
+    def tag():
+        attributes = [rng.choice(names) + rng.choice(values) for _ in range(rng.randint(0, 4))]
+        spaced = "".join(rng.choice([" ", "\n", "  "]) + a for a in attributes)
+        return "<" + rng.choice(tags) + spaced + rng.choice([">", " >", " />"])
+
+    documents = [
+        "".join(rng.choice([tag, lambda: rng.choice(between)])() for _ in range(rng.randint(1, 12)))
+        for _ in range(3000)
+    ]
+    rows = []
+    for document in documents:
+        parser = Anchors()
+        parser.feed(document)
+        parser.close()
+        rows.append((document, parser.links))
+    frame = spark.createDataFrame(rows, "html string, links array<string>")
+    got = frame.withColumn("got", link_texts(F.col("html")))
+    wrong = got.filter(~F.col("got").eqNullSafe(F.col("links"))).limit(5).collect()
+    assert wrong == []
+
+
 def test_missing_document(spark):
     row = spark.createDataFrame([(None,)], "html string")
     assert row.select(page_title(F.col("html")), link_texts(F.col("html"))).first()[:] == ("", None)
