@@ -241,7 +241,12 @@ def _resolved(page: Column, link: Column) -> Column:
             (link["path"] == "") & (link["params"] == ""),
             address(page["authority"], page["path"], page["params"], same_page_query),
         )
-        .otherwise(address(page["authority"], merged, link["params"], link["query"]))
+        .otherwise(
+            bind(
+                merged,
+                lambda path: address(page["authority"], path, link["params"], link["query"]),
+            )
+        )
     )
 
 

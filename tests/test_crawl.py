@@ -63,7 +63,7 @@ def test_cycle_diamond_copies_failures(spark):
     }
 
 
-@pytest.mark.parametrize("cap", [0, 1, 2, 4, 6, 7, 100])
+@pytest.mark.parametrize("cap", [0, 2, 4, 7])
 def test_page_cap_counts_attempts_in_order(spark, cap):
     ordered = sorted(FULL, key=lambda u: (FULL[u][0], u))
     assert visits(run(spark, max_pages=cap)) == {u: FULL[u] for u in ordered[:cap]}
@@ -113,7 +113,7 @@ def brute_force(rows, seeds, max_depth, max_pages):
     return seen
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_random_webs_match_brute_force(spark, seed):
     rng = random.Random(seed)
     urls = [f"http://ex.org/{i}" for i in range(40)]
