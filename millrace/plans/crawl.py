@@ -51,19 +51,28 @@ ROOT = """named_struct(
 
 
 def web(pages: DataFrame) -> DataFrame:
-    """Articles, sections, archives and roots as one stored snapshot."""
+    """Articles, sections, archives and roots as one snapshot.
+
+    The addresses are stored once.  They are spread by hash before pages are made of them:
+    file splits go by size, and so few bytes would put all that work into a few tasks.
+    """
+    spark = pages.sparkSession
     articles = snapshot(pages)
     root = F.concat(url_origin(F.col("url")), F.lit("/"))
-    derived = (
+    path = fresh_dir(spark, "addresses")
+    sink.parquet(
         parsed(articles)
         .select(F.explode(F.concat(F.array(root), F.col("page.links"))).alias("url"))
-        .distinct()
+        .distinct(),
+        path,
+    )
+    derived = (
+        parquet(spark, path)
+        .repartition("url")
         .selectExpr(f"inline(IF(url LIKE '%/', array({ROOT}), array({SECTION}, {ARCHIVE})))")
         .withColumn("page_id", F.lit(DERIVED_ORDER))
     )
-    path = fresh_dir(pages.sparkSession, "web")
-    sink.parquet(articles.unionByName(derived), path)
-    return parquet(pages.sparkSession, path)
+    return articles.unionByName(derived)
 
 
 def _crawl(spark: SparkSession, sf_dir: str, max_pages: int | None = None) -> Crawl:
