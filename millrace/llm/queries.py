@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, packing, token_files
+from millrace.llm import decontamination, exact_dedup, packing, token_files
 from millrace.llm.tokens import vocabulary_path
 from millrace.plans.registry import table
 from millrace.scratch import fresh_dir
@@ -14,6 +14,11 @@ SEQUENCE_END = 2
 FILE_END = 0
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.report(decontamination.find(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, vocabulary_path(), SEQUENCE_IDS, SEQUENCE_END)
@@ -31,10 +36,51 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_best_fit_packing, op4_exact_dedup, op10_token_files)
+    for f in (op2_decontamination, op3_best_fit_packing, op4_exact_dedup, op10_token_files)
 }
 
 ORACLES = {
+    "op2_decontamination": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos, len(w) AS n
+            FROM (SELECT doc_id, regexp_extract_all(translate(text,
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+        items AS (
+            SELECT item_id, regexp_extract_all(translate(text,
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS size,
+                   list_aggregate(w[i : i + least(len(w), 10) - 1], 'string_agg', ' ') AS span
+            FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(i)
+            WHERE len(w) > 0),
+        sizes AS (SELECT DISTINCT size FROM windows),
+        spans AS (
+            SELECT doc_id, pos, size,
+                   string_agg(word, ' ') OVER (PARTITION BY doc_id, size ORDER BY pos
+                       ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten,
+                   list(word) OVER (PARTITION BY doc_id, size ORDER BY pos
+                       ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS upto, n
+            FROM words, sizes),
+        hits AS (
+            SELECT s.doc_id, s.pos, s.size, item_id
+            FROM spans s JOIN windows v ON v.size = s.size AND s.pos + s.size - 1 <= s.n
+                 AND v.span = CASE WHEN s.size = 10 THEN s.ten
+                     ELSE list_aggregate(s.upto[1 : s.size], 'string_agg', ' ') END),
+        hit_words AS (
+            SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS pos FROM hits),
+        hit_items AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits)
+        SELECT d.doc_id,
+               coalesce((SELECT any_value(n) FROM words w WHERE w.doc_id = d.doc_id), 0) AS n_words,
+               coalesce(h.n, 0) AS n_hit,
+               coalesce(i.n, 0) AS n_items,
+               sha256(coalesce(i.names, '')) AS items_sha256,
+               coalesce(h.n, 0) > 0 AS contaminated
+        FROM documents d
+        LEFT JOIN (SELECT doc_id, count(*) AS n FROM hit_words GROUP BY 1) h USING (doc_id)
+        LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
+                   FROM hit_items GROUP BY 1) i USING (doc_id)""",
     "op4_exact_dedup": r"""
         WITH folded AS (
             SELECT doc_id,

@@ -51,7 +51,7 @@ def add_struct(
     """``row`` (all columns of ``rows``) and ``out``: what ``work`` gives for each row."""
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
     schema = T.StructType([packed.schema["row"], T.StructField("out", added)])
-    arrow = to_arrow_type(added, timezone="UTC")
+    arrow = to_arrow_type(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
