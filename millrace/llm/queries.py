@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, exact_dedup, packing, token_files
+from millrace.llm import decontamination, exact_dedup, near_dedup, packing, token_files
 from millrace.llm.tokens import vocabulary_path
 from millrace.plans.registry import table
 from millrace.scratch import fresh_dir
@@ -12,6 +12,8 @@ from millrace.scratch import fresh_dir
 SEQUENCE_IDS = 1024
 SEQUENCE_END = 2
 FILE_END = 0
+NEAR_WORDS = 2
+NEAR_PERCENT = 80
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(spark, f"{sf_dir}/documents.parquet").select(exact_dedup.DECISION)
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = near_dedup.groups(docs, NEAR_WORDS, NEAR_PERCENT)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, vocabulary_path(), FILE_END)
@@ -36,7 +44,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_decontamination, op3_best_fit_packing, op4_exact_dedup, op10_token_files)
+    for f in (op2_decontamination, op3_best_fit_packing, op4_exact_dedup, op6_minhash_near_dedup, op10_token_files)
 }
 
 ORACLES = {
@@ -81,6 +89,30 @@ ORACLES = {
         LEFT JOIN (SELECT doc_id, count(*) AS n FROM hit_words GROUP BY 1) h USING (doc_id)
         LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
                    FROM hit_items GROUP BY 1) i USING (doc_id)""",
+    "op6_minhash_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(text,
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS s
+            FROM words, unnest(range(1, len(w))) AS u(i)
+            UNION ALL SELECT doc_id, w[1] FROM words WHERE len(w) = 1),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (
+            SELECT doc_id, doc_id AS c FROM documents
+            UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.doc_id),
+        least AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY 1)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id,
+               d.doc_id = component_id AS kept
+        FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
     "op4_exact_dedup": r"""
         WITH folded AS (
             SELECT doc_id,
