@@ -20,8 +20,13 @@ from pyspark.sql import functions as F
 
 from millrace.scratch import fresh_dir
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State lives in one small store per partition, so stores do not reserve space ahead (4 MB each).
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 SMALL_ROWS = 100_000
 
 DECISION = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
@@ -62,8 +67,9 @@ def run_stream(spark: SparkSession, path: str, work: str, digest=sha256_hex, bat
     def store(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{work}/changed/batch={batch}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    for name, value in STATE_CONF.items():
+        spark.conf.set(name, value)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -74,7 +80,8 @@ def run_stream(spark: SparkSession, path: str, work: str, digest=sha256_hex, bat
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     kind = f"struct<unnamed:boolean,doc_id:{schema['doc_id'].dataType.simpleString()},file:string,row:bigint>"
     changed = spark.read.schema(f"digest string, first {kind}, n bigint, batch bigint")
     try:
