@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, exact_dedup, near_dedup, packing, token_files
+from millrace.llm import decontamination, exact_dedup, language_id, near_dedup, packing, token_files
 from millrace.llm.tokens import vocabulary_path
 from millrace.plans.registry import table
 from millrace.scratch import fresh_dir
@@ -36,6 +37,17 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs)
+    return found.select(
+        "row.doc_id",
+        language_id.held_out(F.col("row.doc_id")).alias("held_out"),
+        F.col("out.lang").alias("lang_pred"),
+        "out.score",
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, vocabulary_path(), FILE_END)
@@ -44,7 +56,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_decontamination, op3_best_fit_packing, op4_exact_dedup, op6_minhash_near_dedup, op10_token_files)
+    for f in (op2_decontamination, op3_best_fit_packing, op4_exact_dedup, op6_minhash_near_dedup, op7_language_id, op10_token_files)
 }
 
 ORACLES = {

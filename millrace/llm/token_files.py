@@ -46,13 +46,17 @@ def _frames(ids: np.ndarray, width: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, width: int) -> bytes:
-    """A dictionary from at most ``DICT_DOCS`` documents, those with the smallest hashes.
+    """A dictionary from a sample of about ``DICT_DOCS`` documents, chosen by hash.
 
     It changes sizes only, never what is read back.  The sample takes whole documents of at
-    most ``DICT_TEXT_BYTES``, which bounds what the driver holds.
+    most ``DICT_TEXT_BYTES`` and stops at four times their number, which bounds what the driver
+    holds when rows repeat.
     """
     small = docs.filter(F.octet_length("text").between(1, DICT_TEXT_BYTES))
-    rows = small.orderBy(F.xxhash64("doc_id", "text")).limit(DICT_DOCS).select("text").collect()
+    steps = 1 << 30
+    share = int(steps * min(1, DICT_DOCS / max(1, small.count())))
+    sample = small.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)) < share)
+    rows = sample.select("text").limit(4 * DICT_DOCS).collect()
     texts = [row["text"].encode() for row in rows]
     samples = [_frames(np.append(ids, end_id), width) for ids in encoder(vocabulary).encode(texts)]
     try:
