@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, exact_dedup, language_id, near_dedup, packing, token_files
+from millrace.llm import (
+    decontamination,
+    exact_dedup,
+    language_id,
+    main_text,
+    near_dedup,
+    packing,
+    token_files,
+    url_filter,
+)
 from millrace.llm.tokens import vocabulary_path
 from millrace.plans.registry import table
 from millrace.scratch import fresh_dir
@@ -14,6 +23,13 @@ SEQUENCE_IDS = 1024
 SEQUENCE_END = 2
 FILE_END = 0
 NEAR_WORDS = 2
+URL_RULES = [
+    url_filter.Rule.of("allow", "org/"),
+    url_filter.Rule.of("block", "example.org/es/"),
+    url_filter.Rule.of("block", "example.org/en/1"),
+    url_filter.Rule.of("allow", "com/fr/"),
+    url_filter.Rule.of("block", "com/de/"),
+]
 NEAR_PERCENT = 80
 
 
@@ -31,6 +47,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(spark, f"{sf_dir}/documents.parquet").select(exact_dedup.DECISION)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = near_dedup.groups(docs, NEAR_WORDS, NEAR_PERCENT)
@@ -48,6 +68,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.report(main_text.extract(table(spark, sf_dir, "pages")))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, vocabulary_path(), FILE_END)
@@ -56,7 +80,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_decontamination, op3_best_fit_packing, op4_exact_dedup, op6_minhash_near_dedup, op7_language_id, op10_token_files)
+    for f in (op2_decontamination, op3_best_fit_packing, op4_exact_dedup, op5_url_filter, op6_minhash_near_dedup, op7_language_id, op9_main_text, op10_token_files)
 }
 
 ORACLES = {
