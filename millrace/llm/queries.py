@@ -14,6 +14,7 @@ from millrace.llm import (
     packing,
     token_files,
     url_filter,
+    warc,
 )
 from millrace.llm.tokens import vocabulary_path
 from millrace.plans.registry import table
@@ -22,6 +23,7 @@ from millrace.scratch import fresh_dir
 SEQUENCE_IDS = 1024
 SEQUENCE_END = 2
 FILE_END = 0
+REVISIT_BYTES = 0
 NEAR_WORDS = 2
 URL_RULES = [
     url_filter.Rule.of("allow", "org/"),
@@ -68,6 +70,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_dir(spark, "warc-files")
+    warc.write(table(spark, sf_dir, "pages"), path, REVISIT_BYTES)
+    return warc.read(spark, path)
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.report(main_text.extract(table(spark, sf_dir, "pages")))
 
@@ -80,7 +88,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_decontamination, op3_best_fit_packing, op4_exact_dedup, op5_url_filter, op6_minhash_near_dedup, op7_language_id, op9_main_text, op10_token_files)
+    for f in (op2_decontamination, op3_best_fit_packing, op4_exact_dedup, op5_url_filter, op6_minhash_near_dedup, op7_language_id, op8_warc, op9_main_text, op10_token_files)
 }
 
 ORACLES = {
