@@ -12,6 +12,7 @@ from millrace.llm import (
     main_text,
     near_dedup,
     packing,
+    substring_dedup,
     token_files,
     url_filter,
     warc,
@@ -23,6 +24,7 @@ from millrace.scratch import fresh_dir
 SEQUENCE_IDS = 1024
 SEQUENCE_END = 2
 FILE_END = 0
+REPEAT_BYTES = 100
 REVISIT_BYTES = 0
 NEAR_WORDS = 2
 URL_RULES = [
@@ -35,6 +37,10 @@ URL_RULES = [
 NEAR_PERCENT = 80
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"), REPEAT_BYTES)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.report(decontamination.find(docs, table(spark, sf_dir, "benchmark")))
@@ -88,7 +94,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_decontamination, op3_best_fit_packing, op4_exact_dedup, op5_url_filter, op6_minhash_near_dedup, op7_language_id, op8_warc, op9_main_text, op10_token_files)
+    for f in (op1_suffix_array_dedup, op2_decontamination, op3_best_fit_packing, op4_exact_dedup, op5_url_filter, op6_minhash_near_dedup, op7_language_id, op8_warc, op9_main_text, op10_token_files)
 }
 
 ORACLES = {
