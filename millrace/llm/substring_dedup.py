@@ -37,7 +37,7 @@ from millrace.llm.suffix_array import long_common_prefixes, suffix_array
 from millrace.scratch import fresh_dir
 
 SPAN = 100
-K = 20
+K = 32
 WINDOW = 1 << 20  # places a window counts in twenty bits
 FLUSH_CELLS = 1_000_000
 SHARD_BYTES = 8 << 20
@@ -261,11 +261,13 @@ def _cut(docs: DataFrame, flagged: DataFrame, span: int) -> DataFrame:
         new = np.append(
             True, (rows["dg1"][1:] != rows["dg1"][:-1]) | (rows["dg2"][1:] != rows["dg2"][:-1])
         )
-        one = {name: values[new] for name, values in rows.items()}
-        for at in range(0, int(new.sum()), 8192):
-            part = {name: values[at : at + 8192] for name, values in one.items()}
-            own = [data[i] for i in order[new][at : at + 8192].tolist()]
-            yield _batch(schema, len(own), **part, bytes=own)
+        # In the order of the texts, neighbours overlap and compress well.
+        kept = np.flatnonzero(new)
+        kept = kept[np.lexsort((rows["s"][kept], rows["doc"][kept]))]
+        for at in range(0, len(kept), 8192):
+            some = kept[at : at + 8192]
+            own = [data[i] for i in order[some].tolist()]
+            yield _batch(schema, len(own), **{name: values[some] for name, values in rows.items()}, bytes=own)
         again = {name: rows[name][~new] for name in ("doc", "s", "n")}
         yield _batch(schema, len(again["s"]), **again)
 
@@ -447,7 +449,7 @@ def deduplicate(
     work = fresh_dir(spark, "substring-dedup")
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{work}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{work}/{name}")
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
     docs = _keyed(docs, work)
