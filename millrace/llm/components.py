@@ -15,7 +15,7 @@ def components(links: DataFrame, work: str, name: str) -> DataFrame:
     that can be split, against one row per node.
     """
     spark = links.sparkSession
-    kind = "u binary, v binary"
+    kind = "u bigint, v bigint"
 
     def stored(df: DataFrame, step: str) -> DataFrame:
         df.write.parquet(f"{work}/components-{name}-{step}")

@@ -1,21 +1,25 @@
 """Near-duplicate groups by HyperMinHash sketches, every link confirmed on full sets.
 
-A document's set is the distinct runs of ``words`` words.  Its hashes fall into registers by
+A document's set is the distinct runs of ``size`` words.  Its hashes fall into registers by
 their high part; a register keeps, of the smallest remainder, the number of leading zeros and a
 few mantissa bits.  Empty registers borrow from others before registers are banded, so that
-short documents band as long ones do.  Documents with one set are one node.
+short documents band as long ones do.  Documents with one set are one node, named by the first.
 
 Nodes that share a band are candidates.  Each is compared with the first node of each of its
 bands: the Jaccard estimate of the two sketches, corrected for collisions, drops pairs that are
 far off, and the others are decided on the full sets.  The links join nodes to components.
-Where a band still holds nodes of several components, all pairs across components are decided
-too, in blocks of bounded bytes, so a link between nodes whose first node is no link is not lost.
+A link between nodes that are no link of their band's first node must not be lost.  So within
+a cluster, which is what near pairs hold together, sets of different components are compared as
+matrix products of bounded blocks; and where a band holds nodes of several clusters, their
+sketches are compared across clusters, and what is near is decided on the full sets.  Nodes
+already joined are not paired at all.
 
 With 50 bands of 6 registers, a pair at similarity 0.8 shares no band with probability 2.5e-7.
 
 Defined cases: a null or empty text, or one without a word, has an empty set and is linked with
-nothing; one word is a set of one; repeated rows and copies share a node; a null ``doc_id``
-comes after all others as a representative; an empty table gives an empty result.
+nothing; one word is a set of one; copies share a node; rows that repeat a ``doc_id`` are rows of
+their own, and a null one comes last; an empty table gives an empty result; other columns
+pass through untouched.
 """
 
 from __future__ import annotations
@@ -26,12 +30,11 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.llm.components import components
-from millrace.llm.rows import arrow_schema, bytes_of, chunks
+from millrace.llm.rows import arrow_schema, bytes_of, chunks, numbered
 from millrace.llm.spans import STEP, Words, fold_table, mixed
 from millrace.scratch import fresh_dir
 
@@ -41,14 +44,17 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 PROBES = 16
 MARGIN = 5.5
-BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 256
+COLUMNS = 16_384
 SMALL_ROWS = 500_000
 
 WORD_TABLE = fold_table(lambda b: b != 32 and not 9 <= b <= 13)
 EMPTY = np.uint16(0)
 
-SKETCHED = "doc_id bigint, n_shingles bigint, node binary, registers binary"
-SETS = "node binary, n bigint, grams binary"
+SKETCHED = "doc bigint, doc_id bigint, n_shingles bigint, dg1 bigint, dg2 bigint, registers binary"
+BANDED = "key bigint, node bigint"
+SETS = "node bigint, grams binary"
+PAIR = "a bigint, b bigint"
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -73,9 +79,9 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def node_of(grams: np.ndarray) -> bytes | None:
-    """A 128-bit name of a set; an empty set has none."""
-    return blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
+def digest_of(grams: np.ndarray) -> bytes:
+    """A 128-bit name of a set."""
+    return blake2b(grams.tobytes(), digest_size=16).digest()
 
 
 def registers_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -160,87 +166,95 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """``SKETCHED`` for every document; ``node`` is null for an empty set."""
+    """``SKETCHED`` for ``doc``, ``doc_id``, ``text``; an empty set has no digest and no registers."""
     kind = arrow_schema(SKETCHED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                sets = shingle_sets(bytes_of(part.column(1)), size)
-                registers = registers_of(sets)
+                sets = shingle_sets(bytes_of(part.column(2)), size)
+                n = np.array([len(s) for s in sets], np.int64)
+                digests = np.frombuffer(b"".join([digest_of(s) for s in sets]), np.int64).reshape(-1, 2)
+                registers = [r.tobytes() if m else None for r, m in zip(registers_of(sets), n.tolist())]
                 columns = [
                     part.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([node_of(s) for s in sets], pa.binary()),
-                    pa.array([r.tobytes() for r in registers], pa.binary()),
+                    part.column(1),
+                    pa.array(n),
+                    pa.array(digests[:, 0], mask=n == 0),
+                    pa.array(digests[:, 1], mask=n == 0),
+                    pa.array(registers, pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(
-                    [c.cast(f.type) for c, f in zip(columns, kind)], schema=kind
-                )
+                yield pa.RecordBatch.from_arrays(columns, schema=kind)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SKETCHED)
+    return docs.mapInArrow(run, SKETCHED)
 
 
 def _banded(nodes: DataFrame) -> DataFrame:
-    """``key``, ``node``, ``n`` for each band of each node."""
+    """``BANDED``: each band of each node (``node``, ``registers``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16)
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                keys = band_keys(rows.reshape(-1, REGISTERS)[at : at + 2048])
-                owner = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
+                keys = band_keys(_registers(part.column(1).to_pylist()))
+                nodes_of = np.repeat(part.column(0).to_numpy(), BANDS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), part.column(0).take(owner)], ["key", "node"]
+                    [pa.array(keys.ravel().view(np.int64)), pa.array(nodes_of)], ["key", "node"]
                 )
 
-    return nodes.select("node", "registers").mapInArrow(run, "key bigint, node binary")
+    return nodes.select("node", "registers").mapInArrow(run, BANDED)
+
+
+def _registers(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint16).reshape(-1, REGISTERS)
+
+
+def _small(df: DataFrame, small_rows: int) -> DataFrame:
+    """``df``, a written table of narrow rows, for a broadcast if it is small, else as it is."""
+    return F.broadcast(df) if df.count() <= small_rows else df
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int, small_rows: int) -> DataFrame:
-    """``SETS`` of the wanted nodes (``doc_id``, ``node``), from the documents that name them.
+    """``SETS`` of the wanted nodes (``node``).
 
-    Few ids are broadcast, so that other texts stay where they are; many are joined by shuffle.
+    Few are broadcast, so that other texts stay where they are; many are joined by shuffle.
     """
     kind = arrow_schema(SETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                sets = shingle_sets(bytes_of(part.column(0)), size)
-                columns = [[node_of(s) for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind
-                )
+                sets = shingle_sets(bytes_of(part.column(1)), size)
+                grams = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), grams], schema=kind)
 
-    ids = wanted.select("doc_id").distinct()
-    few = ids.count() <= small_rows
-    texts = docs.select(F.col("doc_id").cast("bigint"), "text")
-    same = texts["doc_id"].eqNullSafe(ids["doc_id"])
-    named = texts.join(F.broadcast(ids) if few else ids, same, "left_semi").select("text")
-    made = named.mapInArrow(run, SETS)
-    # A doc_id may stand on several rows, and a set on several documents.
-    once = made.join(wanted.select("node"), "node", "left_semi")
-    return once.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-
-
-def _decided(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) that are links."""
-    near = _filter(
-        _both(pairs, nodes.select("node", F.col("registers").alias("v"))),
-        lambda a, b: likely(np.stack([np.frombuffer(x, np.uint16) for x in a]), np.stack([np.frombuffer(x, np.uint16) for x in b]), percent / 100),
+    texts = docs.select(F.col("doc").alias("node"), "text")
+    return texts.join(_small(wanted, small_rows), "node", "left_semi").mapInArrow(run, SETS)
+
+
+def _near(pairs: DataFrame, registers: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and sketches (``node``, ``n``, ``registers``) allow a link."""
+    one = registers.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("registers").alias("va"))
+    two = registers.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("vb"))
+    sized = pairs.join(one, "a").join(two, "b").filter(
+        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     )
     return _filter(
-        _both(near, sets.select("node", F.col("grams").alias("v"))),
-        lambda a, b: [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b)],
+        sized.select("a", "b", "va", "vb"),
+        lambda a, b: likely(_registers(a), _registers(b), percent / 100),
     )
 
 
-def _both(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    one = values.select(F.col("node").alias("a"), F.col("v").alias("va"))
-    two = values.select(F.col("node").alias("b"), F.col("v").alias("vb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links, on full sets."""
+    one = sets.select(F.col("node").alias("a"), F.col("grams").alias("va"))
+    two = sets.select(F.col("node").alias("b"), F.col("grams").alias("vb"))
+    return _filter(
+        pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb"),
+        lambda a, b: [
+            linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b)
+        ],
+    )
 
 
 def _filter(rows: DataFrame, keep: Callable) -> DataFrame:
@@ -251,133 +265,196 @@ def _filter(rows: DataFrame, keep: Callable) -> DataFrame:
                     kept = keep(part.column(2).to_pylist(), part.column(3).to_pylist())
                     yield part.select([0, 1]).filter(pa.array(np.asarray(kept, bool)))
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, PAIR)
 
 
-def _across(members: DataFrame, block_bytes: int, percent: int) -> DataFrame:
-    """Links between nodes of one key and different components, a pair of blocks at a time.
+def _dealt(members: DataFrame, block_rows: int, columns: list[str]) -> DataFrame:
+    """Pairs of blocks, ``key``, ``x``, ``y``, of members of one key and different components.
 
-    ``members``: ``key``, ``node``, ``component``, ``n``, ``grams``, ``registers``.  The component
-    with most nodes of a key is one side, the rest of the key's nodes the other and, among
-    themselves, both.  Blocks are dealt by hash and bounded in bytes on average, so no task holds
-    a whole key.  Of nodes already joined within a task only one link is told.
+    ``members``: ``key``, ``node``, ``component`` and ``columns``.  The component with most nodes of
+    a key is one side (``side`` 0), the key's other nodes the other side and, among themselves,
+    both.  Blocks are dealt by hash, of ``block_rows`` nodes on average, so no task holds a key.
     """
-    per = members.groupBy("key", "component").agg(
-        F.count("*").alias("c"), F.sum(F.col("n") * 8 + 1024).alias("bytes")
-    )
+    per = members.groupBy("key", "component").agg(F.count("*").alias("c"))
     per = per.groupBy("key").agg(
-        F.count("*").alias("k"),
-        F.max_by(F.struct("component", "bytes"), F.struct("c", "component")).alias("main"),
-        F.sum("bytes").alias("bytes"),
-    ).filter("k > 1")
-    blocks = lambda size: F.ceil(size / F.lit(block_bytes)).cast("int")
-    per = per.select(
+        F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("c"), F.count("*").alias("k")
+    )
+    blocks = lambda rows: F.greatest(F.ceil(rows / F.lit(block_rows)), F.lit(1)).cast("int")
+    per = per.filter("k > 1").select(
         "key",
         F.col("main.component").alias("main"),
-        F.greatest(blocks(F.col("main.bytes")), F.lit(1)).alias("n_main"),
-        F.greatest(blocks(F.col("bytes") - F.col("main.bytes")), F.lit(1)).alias("n_rest"),
+        blocks(F.col("main.c")).alias("n_main"),
+        blocks(F.col("c") - F.col("main.c")).alias("n_rest"),
     )
     told = members.join(per, "key")
     is_main = F.col("component") == F.col("main")
     deal = lambda n: F.pmod(F.xxhash64("node", "key"), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    columns = ["key", "node", "component", "grams", "registers"]
+    columns = ["key", "node", "component", *columns]
     main = told.filter(is_main).select(
         *columns, F.lit(0).alias("side"), deal("n_main").alias("x"), F.explode(upto("n_rest")).alias("y")
     )
     rest = told.filter(~is_main).withColumn("own", deal("n_rest"))
-    rest_main = rest.select(
+    against = rest.select(
         *columns, F.lit(1).alias("side"), F.explode(upto("n_main")).alias("x"), F.col("own").alias("y")
     )
     # Blocks of the rest among themselves: x counts on after those of the main side.
-    rest_a = rest.select(
+    left = rest.select(
         *columns, F.lit(0).alias("side"), (F.col("n_main") + F.col("own")).alias("x"),
         F.explode(F.sequence(F.col("own"), F.col("n_rest") - 1)).alias("y"),
-    )
+    )
     lower = F.transform(F.sequence(F.lit(0), F.col("own")), lambda i: F.col("n_main") + i)
-    rest_b = rest.select(*columns, F.lit(1).alias("side"), F.explode(lower).alias("x"), F.col("own").alias("y"))
-    dealt = main.unionByName(rest_main).unionByName(rest_a).unionByName(rest_b)
+    right = rest.select(*columns, F.lit(1).alias("side"), F.explode(lower).alias("x"), F.col("own").alias("y"))
+    return main.unionByName(against).unionByName(left).unionByName(right)
+
+
+def _across(members: DataFrame, block_rows: int, percent: int) -> DataFrame:
+    """Pairs of one band and different clusters (``component``) whose sketches allow a link."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = (frame[frame["side"] == side].reset_index(drop=True) for side in (0, 1))
-        found: list[tuple[bytes, bytes]] = []
-        if len(left) and len(right):
-            one, two = (np.stack([np.frombuffer(x, np.uint16) for x in f["registers"]]) for f in (left, right))
-            sets = [np.frombuffer(x, np.uint64) for x in left["grams"]]
-            own = left["component"].to_numpy()
-            joined: set = set()
-            for i in range(len(right)):
-                other, grams = right["component"][i], np.frombuffer(right["grams"][i], np.uint64)
-                for j in np.flatnonzero(likely(one, two[i][None], percent / 100) & (own != other)).tolist():
-                    if (own[j], other) not in joined and linked(sets[j], grams, percent):
-                        joined |= {(own[j], other), (other, own[j])}
-                        found.append((left["node"][j], right["node"][i]))
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return dealt.groupBy("key", "x", "y").applyInPandas(run, "a binary, b binary").distinct()
+        one, two = (frame[frame["side"] == side] for side in (0, 1))
+        found = []
+        if len(one) and len(two):
+            registers = _registers(one["registers"].tolist())
+            own, n, nodes = (one[c].to_numpy() for c in ("component", "n", "node"))
+            for node, component, m, value in zip(two["node"], two["component"], two["n"], two["registers"]):
+                sized = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+                at = np.flatnonzero((own != component) & sized)
+                at = at[likely(registers[at], _registers([value]), percent / 100)]
+                found.append(np.stack([np.minimum(nodes[at], node), np.maximum(nodes[at], node)], 1))
+        pairs = np.concatenate([np.empty((0, 2), np.int64), *found])
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    dealt = _dealt(members, block_rows, ["n", "registers"])
+    return dealt.groupBy("key", "x", "y").applyInPandas(run, PAIR).distinct()
+
+
+def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of one list shares with each of the other.
+
+    A matrix product over the values that both lists hold, so many columns at a time.
+    """
+    out = np.zeros((len(one), len(two)), np.float32)
+    both = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    for at in range(0, len(both), COLUMNS):
+        some = both[at : at + COLUMNS]
 
+        def marks(sets: list[np.ndarray]) -> np.ndarray:
+            matrix = np.zeros((len(sets), len(some)), np.float32)
+            for i, values in enumerate(sets):
+                place = np.minimum(np.searchsorted(some, values), len(some) - 1)
+                matrix[i, place[some[place] == values]] = 1
+            return matrix
 
-def groups(
-    docs: DataFrame, size: int = 5, percent: int = 80, block_bytes: int = BLOCK_BYTES, small_rows: int = SMALL_ROWS
-) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``node``, ``component_id`` and ``kept`` for every document.
+        out += marks(one) @ marks(two).T
+    return out.astype(np.int64)
+
+
+def _within(members: DataFrame, block_rows: int, percent: int) -> DataFrame:
+    """Links between components of one cluster (``key``), on full sets (``grams``).
+
+    Of the links between two components a task tells one.
+    """
 
-    ``component_id`` is the smallest ``doc_id`` that links lead to; its document is kept.
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        one, two = (frame[frame["side"] == side] for side in (0, 1))
+        found = {}
+        if len(one) and len(two):
+            sets = [[np.frombuffer(g, np.uint64) for g in side["grams"]] for side in (one, two)]
+            common = common_counts(*sets)
+            n, m = (np.array([len(s) for s in side]) for side in sets)
+            fits = 100 * common >= percent * (n[:, None] + m[None, :] - common)
+            own, other = one["component"].to_numpy(), two["component"].to_numpy()
+            fits &= own[:, None] != other[None, :]
+            for i, j in np.argwhere(fits).tolist():
+                found.setdefault((own[i], other[j]), (one["node"].iat[i], two["node"].iat[j]))
+        return pd.DataFrame(list(found.values()), columns=["a", "b"], dtype="int64")
+
+    dealt = _dealt(members, block_rows, ["grams"])
+    return dealt.groupBy("key", "x", "y").applyInPandas(run, PAIR)
+
+
+def _grouped(docs: DataFrame, work: str, size: int, percent: int, block_rows: int, small_rows: int) -> DataFrame:
+    """``doc``, ``doc_id``, ``n_shingles``, ``first``: the smallest ``doc`` that links lead to.
+
+    ``docs``: ``doc`` (a number of its own for each row), ``doc_id``, ``text``.
     """
-    spark, work = docs.sparkSession, fresh_dir(docs.sparkSession, "near-dedup")
+    spark = docs.sparkSession
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{work}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{work}/{name}")
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
     sketched = stored(sketch(docs, size), "sketched")
-    named = sketched.filter("node IS NOT NULL")
-    nodes = stored(
-        named.groupBy("node", "n_shingles", "registers").agg(F.min("doc_id").alias("doc_id")), "nodes"
-    )
+    named = sketched.filter("dg1 IS NOT NULL")
+    firsts = named.groupBy("dg1", "dg2").agg(F.min("doc").alias("node"), F.count("*").alias("c"))
+    same = named.select("doc", "dg1", "dg2").join(firsts.filter("c > 1"), ["dg1", "dg2"])
+    copies = stored(same.filter("doc <> node").select("doc", "node"), "copies")
+    others = named.join(_small(copies.select("doc"), small_rows), "doc", "left_anti")
+    nodes = others.select(F.col("doc").alias("node"), F.col("n_shingles").alias("n"), "registers")
     banded = _banded(nodes)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    firsts = (
-        banded.join(nodes.select("node", "doc_id"), "node")
-        .groupBy("key")
-        .agg(F.min(order).alias("first"), F.count("*").alias("c"))
-        .filter("c > 1")
-        .select("key", F.col("first.node").alias("leader"))
-    )
-    members = stored(banded.join(firsts, "key"), "members")
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    sets = stored(_sets(docs, wanted.select("doc_id", "node"), size, small_rows), "sets")
-    stars = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    links = stored(_decided(stars.distinct(), nodes, sets, percent), "stars")
+    keys = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
+    keys = stored(keys.filter("leader < last").select("key", "leader"), "keys")
+    members = stored(banded.join(_small(keys, small_rows), "key"), "members")
+    wanted = stored(members.select("node").distinct(), "wanted")
+    registers = stored(nodes.join(_small(wanted, small_rows), "node", "left_semi"), "registers")
+    pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    near = stored(_near(pairs.distinct(), registers, percent), "near")
+    sets = stored(_sets(docs, stored(_ends(near), "ends"), size, small_rows), "sets")
+    links = stored(_linked(near, sets, percent), "links")
+    # A cluster: what sketches hold together.  It contains the components that links make so far.
+    cluster = stored(components(near, work, "near").withColumnRenamed("component", "cluster"), "clusters")
     label = components(links, work, "first")
-    labelled = members.select("key", "node").join(label, "node", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "node"))
-    open_keys = labelled.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).filter("low <> high").select("key")
-    left = stored(labelled.join(open_keys, "key"), "left")
-    full = left.join(sets, "node").join(nodes.select("node", "registers"), "node")
-    more = stored(_across(full, block_bytes, percent), "across")
-    label = components(links.unionByName(more), work, "all")
-    told = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = told.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = stored(told.join(ids, "component").select("node", "component_id"), "names")
-    grouped = sketched.select("doc_id", "n_shingles", "node").join(names, "node", "left")
-    empty = F.col("node").isNull()
-    component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
-    return grouped.select(
-        "doc_id", "n_shingles", "node", component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+    clustered = cluster.join(label, "node", "left").select(
+        F.col("cluster").alias("key"), "node", F.coalesce("component", "node").alias("component")
+    )
+    inner = stored(_within(clustered.join(sets, "node"), block_rows, percent), "inner")
+    named = members.select("key", "node").join(cluster, "node", "left")
+    named = named.select("key", "node", F.coalesce("cluster", "node").alias("component"))
+    parted = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = stored(named.join(parted.filter("low <> high").select("key"), "key"), "open")
+    across = stored(_across(open_.join(registers, "node"), block_rows, percent), "across")
+    more_ends = stored(_ends(across).join(sets, "node", "left_anti"), "more-ends")
+    more_sets = stored(_sets(docs, more_ends, size, small_rows), "more-sets")
+    outer = stored(_linked(across, sets.unionByName(more_sets), percent), "outer")
+    label = components(links.unionByName(inner).unionByName(outer), work, "all")
+    told = sketched.select("doc", "doc_id", "n_shingles").join(copies, "doc", "left")
+    told = told.withColumn("node", F.coalesce("node", "doc")).join(label, "node", "left")
+    return told.select("doc", "doc_id", "n_shingles", F.coalesce("component", "node").alias("first"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").alias("text"))
+
+
+def groups(
+    docs: DataFrame, size: int = 5, percent: int = 80, block_rows: int = BLOCK_ROWS, small_rows: int = SMALL_ROWS
+) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``.
+
+    ``component_id`` is the smallest ``doc_id`` that links lead to; its row is kept.
+    """
+    work = fresh_dir(docs.sparkSession, "near-dedup")
+    rows, plain = numbered(docs.select("doc_id", "text"), work)
+    found = _grouped(_texts(rows), work, size, percent, block_rows, small_rows)
+    component = F.col("first")
+    if not plain:
+        ids = rows.select(F.col("doc").alias("first"), F.col("row.doc_id").cast("bigint").alias("component_id"))
+        found, component = found.join(ids, "first"), F.col("component_id")
+    return found.select(
+        "doc_id", "n_shingles", component.alias("component_id"), (F.col("doc") == F.col("first")).alias("kept")
     )
 
 
-def kept_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def kept_rows(docs: DataFrame, size: int = 5, percent: int = 80, small_rows: int = SMALL_ROWS) -> DataFrame:
     """``docs`` with one document of each group, all columns as they were."""
     spark, work = docs.sparkSession, fresh_dir(docs.sparkSession, "near-kept")
-    groups(docs, size, percent).filter("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct().write.parquet(work)
-    dropped = spark.read.schema("_dropped bigint").parquet(work)
-    if dropped.count() <= SMALL_ROWS:
-        dropped = F.broadcast(dropped)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = packed.join(dropped, F.col("row.doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
-    return kept.select("row.*")
+    rows, _ = numbered(docs, work)
+    found = _grouped(_texts(rows), work, size, percent, BLOCK_ROWS, small_rows)
+    found.filter("doc <> first").select("doc").write.parquet(f"{work}/dropped")
+    dropped = spark.read.schema("doc bigint").parquet(f"{work}/dropped")
+    return rows.join(_small(dropped, small_rows), "doc", "left_anti").select("row.*")

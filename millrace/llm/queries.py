@@ -62,7 +62,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = near_dedup.groups(docs, NEAR_WORDS, NEAR_PERCENT)
-    return found.select("doc_id", "n_shingles", "component_id", "kept")
+    return found
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

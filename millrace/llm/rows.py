@@ -74,3 +74,19 @@ def map_parts(
                 yield from work(part)
 
     return rows.mapInArrow(run, schema)
+
+
+def numbered(docs: DataFrame, work: str) -> tuple[DataFrame, bool]:
+    """``doc`` (a number per row, in the order of ``doc_id``, null last) and ``row`` (all columns).
+
+    Where every row has an id of its own, that is its number, and the second value is true;
+    else rows are numbered in a written table, those of one id by their texts' hashes.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    odd = docs.groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.count("*").alias("c"))
+    if odd.filter("c > 1 OR id IS NULL").isEmpty():
+        return packed.select(F.col("row.doc_id").cast("bigint").alias("doc"), "row"), True
+    order = [F.col("row.doc_id").cast("bigint").asc_nulls_last(), F.xxhash64("row.text")]
+    ranged = packed.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.select(F.monotonically_increasing_id().alias("doc"), "row").write.parquet(f"{work}/numbered")
+    return docs.sparkSession.read.parquet(f"{work}/numbered"), False

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.rows import arrow_schema, bytes_of, chunks
+from millrace.llm.rows import arrow_schema, bytes_of, chunks, numbered
 from millrace.llm.spans import BASES, mixed
 from millrace.llm.suffix_array import long_common_prefixes, suffix_array
 from millrace.scratch import fresh_dir
@@ -421,21 +421,6 @@ def removed(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def _keyed(docs: DataFrame, work: str) -> DataFrame:
-    """``docs`` with ``doc``, a number of its own for each row, in the order of ``doc_id``.
-
-    Ids that name one row each are that number; else rows are numbered in a written table.
-    """
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    odd = docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 OR doc_id IS NULL")
-    if odd.isEmpty():
-        return docs.withColumn("doc", F.col("doc_id"))
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.withColumn("doc", F.monotonically_increasing_id()).write.parquet(f"{work}/numbered")
-    return docs.sparkSession.read.parquet(f"{work}/numbered")
-
-
 def deduplicate(
     docs: DataFrame,
     span: int = SPAN,
@@ -452,7 +437,8 @@ def deduplicate(
         df.write.option("compression", "zstd").parquet(f"{work}/{name}")
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
-    docs = _keyed(docs, work)
+    docs, _ = numbered(docs.select("doc_id", "text"), work)
+    docs = docs.select("doc", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").alias("text"))
     parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = stored(_anchor_rows(docs, span, k, parts), "anchors")
     flagged = _repeated(anchors)
