@@ -21,6 +21,12 @@ from millrace.functions.text import strip
 # value after ``=`` may hold ``>`` itself.
 _INSIDE_TAG = r"""(?:[^>=]++|=++\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+"""
 _COMMENT = r"<!--(?:-?>|.*?(?:-->|\z))"
+# Declarations, marked sections and processing instructions.  An open section runs to the end.
+_DECLARATION = (
+    r"<!\[(?:cdata|temp|ignore|include|rcdata)(?![-_.a-z0-9]).*?(?:\]\s*+\]\s*+>|\z)"
+    r"|<!\[(?:if|else|endif)(?![-_.a-z0-9]).*?(?:\]\s*+>|\z)"
+    r"|<[!?][^>]*+(?:>|\z)"
+)
 
 
 def _raw_text(group: int) -> str:
@@ -29,12 +35,12 @@ def _raw_text(group: int) -> str:
 
 
 TITLE = (
-    rf"(?is)\A(?:[^<]++|{_COMMENT}|{_raw_text(1)}"
+    rf"(?is)\A(?:[^<]++|{_COMMENT}|{_DECLARATION}|{_raw_text(1)}"
     rf"|<(?!title[\s/>])(?:[a-z/]{_INSIDE_TAG}(?:>|\z))?+)*+"
     rf"<title(?=[\s/>]){_INSIDE_TAG}>(.*?)(?:</title(?=[\s/>])|\z)"
 )
 ANCHOR_TAGS = (
-    rf"(?is)\G(?:[^<]++|{_COMMENT}|{_raw_text(1)}"
+    rf"(?is)\G(?:[^<]++|{_COMMENT}|{_DECLARATION}|{_raw_text(1)}"
     rf"|<(?!a[\s/])(?:[a-z/]{_INSIDE_TAG}(?:>|\z))?+)*+"
     rf"<a(?=[\s/])({_INSIDE_TAG})>"
 )
@@ -169,6 +175,46 @@ def link_texts(document: Column) -> Column:
     return F.transform(_hrefs(document), unescape)
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute in a tag's text, its quotes and references resolved."""
+    value = rf"""(?is)(?:\A|[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    found = F.concat(*[F.regexp_extract(tag, value, i) for i in (1, 2, 3)])
+    return F.when(tag.rlike(value), unescape(found))
+
+
+def _tags(document: Column, name: str) -> Column:
+    """The insides of all tags of one name, outside comments, scripts and the like."""
+    pattern = ANCHOR_TAGS.replace(r"<(?!a[\s/])", rf"<(?!{name}[\s/])").replace(r"<a(?=[\s/])", rf"<{name}(?=[\s/])")
+    return F.regexp_extract_all(document, F.lit(pattern), F.lit(2))
+
+
+def _first_value(tags: Column, key: str, wanted: str, value: str) -> Column:
+    """``value`` of the first tag whose attribute ``key`` is ``wanted``."""
+    fits = F.filter(tags, lambda tag: F.lower(_attribute(tag, key)) == wanted)
+    return _attribute(F.try_element_at(fits, F.lit(1)), value)
+
+
+def page_language(document: Column) -> Column:
+    """The ``lang`` of the root element; NULL if it has none."""
+    return _attribute(F.try_element_at(_tags(document, "html"), F.lit(1)), "lang")
+
+
+def page_charset(document: Column) -> Column:
+    """The ``charset`` of the first ``meta`` element that has one; NULL if none does."""
+    values = F.transform(_tags(document, "meta"), lambda tag: _attribute(tag, "charset"))
+    return F.try_element_at(F.filter(values, lambda value: value.isNotNull()), F.lit(1))
+
+
+def page_description(document: Column) -> Column:
+    """The content of the description's ``meta`` element; NULL without one."""
+    return _first_value(_tags(document, "meta"), "name", "description", "content")
+
+
+def canonical_link(document: Column) -> Column:
+    """The address of the ``link`` element that names the canonical page; NULL without one."""
+    return _first_value(_tags(document, "link"), "rel", "canonical", "href")
+
+
 def title_and_links(document: Column) -> Column:
     """``page_title`` and ``link_texts`` as the fields ``title`` and ``hrefs``.
 

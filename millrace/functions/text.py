@@ -34,6 +34,11 @@ def day_stamp(epoch_seconds: Column) -> Column:
     return F.date_format(F.date_from_unix_date(days), "yyyyMMdd")
 
 
+def hour_stamp(epoch_seconds: Column) -> Column:
+    """``HH`` of the UTC hour, whatever the session's time zone is."""
+    return F.lpad(F.pmod(F.floor(epoch_seconds / F.lit(3600)), F.lit(24)).cast("string"), 2, "0")
+
+
 def epoch_now() -> Column:
     """Whole seconds since 1970; one value for the whole query."""
     return F.unix_timestamp(F.current_timestamp())

@@ -94,7 +94,7 @@ def url_origin(url: Column) -> Column:
 def domain_list(domains: str | Iterable[str]) -> list[str]:
     """Allowed domains in lower case, from a white-space-separated string or a list."""
     given = domains.split() if isinstance(domains, str) else list(domains)
-    return sorted({d.lower() for d in given})
+    return sorted({d.lower() for d in given} - {""})
 
 
 def host_allowed(url: Column, domains: str | Iterable[str]) -> Column:

@@ -16,12 +16,21 @@ from collections.abc import Sequence
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.crawl import MAX_DEPTH, MAX_ENQUEUE, MAX_PAGES, crawl
+from millrace.operators.crawl import MAX_DEPTH, crawl
 from millrace.session import build_session
 from millrace.sinks.files import dated_json_lines
 from millrace.sources.tables import versioned_table
 
 
+# The job's own caps; "none" lifts one.
+MAX_PAGES = 20
+MAX_ENQUEUE = 10_000
+
+
+def cap(text: str) -> int | None:
+    return None if text.lower() == "none" else int(text)
+
+
 def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     knob = os.environ.get
     parser = argparse.ArgumentParser(description="Crawl a stored page snapshot.")
@@ -31,9 +40,9 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--out", required=True, help="folder for dt=/run_id= JSON lines")
     parser.add_argument("--seeds", default=knob("SEEDS"), help="white-space-separated addresses")
     parser.add_argument("--allowed", default=knob("ALLOWED_DOMAINS"), help="white-space-separated domains")
-    parser.add_argument("--max-pages", type=int, default=knob("MAX_PAGES", MAX_PAGES))
+    parser.add_argument("--max-pages", type=cap, default=knob("MAX_PAGES", str(MAX_PAGES)))
     parser.add_argument("--max-depth", type=int, default=knob("MAX_DEPTH", MAX_DEPTH))
-    parser.add_argument("--max-enqueue", type=int, default=knob("MAX_ENQUEUE", MAX_ENQUEUE))
+    parser.add_argument("--max-enqueue", type=cap, default=knob("MAX_ENQUEUE", str(MAX_ENQUEUE)))
     args = parser.parse_args(argv)
     if not args.seeds or not args.allowed:
         parser.error("--seeds and --allowed (or SEEDS and ALLOWED_DOMAINS) are needed")
@@ -65,7 +74,8 @@ def main() -> None:
     print(
         f"run {counters['run_id']}: attempted {counters['attempted']}, "
         f"fetched {counters['fetched']}, emitted {counters['emitted']}, "
-        f"failed {counters['failed']} -> {counters['destination']}"
+        f"failed {counters['failed']}, left by caps {counters['left_by_pages']} and "
+        f"{counters['left_by_queue']} -> {counters['destination']}"
     )
 
 

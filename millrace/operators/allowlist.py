@@ -11,6 +11,7 @@ from millrace.functions.urls import host_suffixes, url_host
 from millrace.scratch import fresh_dir
 
 BROADCAST_DOMAINS = 200_000
+HOST_CHARS = 253  # no host name is longer, so the entries of a list are bounded in bytes too
 SALTS = 64
 
 
@@ -20,7 +21,9 @@ def _outermost(domains: DataFrame) -> DataFrame:
     A host then falls under at most one entry, so a join with the entries cannot
     repeat a row.
     """
-    distinct = domains.select(F.lower("domain").alias("domain")).filter("domain <> ''").distinct()
+    distinct = domains.select(F.lower("domain").alias("domain")).filter(
+        F.length("domain").between(1, HOST_CHARS)
+    ).distinct()
     suffixes = host_suffixes(F.col("domain"))
     parents = distinct.select(
         "domain", F.explode(F.array_except(suffixes, F.array("domain"))).alias("parent")
@@ -47,21 +50,23 @@ class Allowlist:
     def keep(self, urls: DataFrame, column: str = "url", salts: int = SALTS) -> DataFrame:
         """Rows of ``urls`` whose host is an entry or below one.
 
-        The suffix test becomes an equality: a host is expanded to its parents, and one of
-        them must be listed.  A long list is shuffled; since nearly all hosts may share one
-        parent, each parent is spread over ``salts`` keys and the list repeated for each.
-        The salt mixes in the input partition, which spreads copies of one row and stays the
-        same when a task is run again.
+        Only distinct hosts are expanded to their parents, so no row of ``urls`` is copied; the
+        suffix test becomes an equality.  A long list is shuffled; since nearly all hosts may share
+        one parent, each parent is spread over ``salts`` keys and the list repeated for each.  A
+        host that most rows share is on the side of a join that can be split.
         """
         entries = self.entries.withColumnRenamed("domain", "_parent")
-        expanded = urls.withColumn("_parent", F.explode(host_suffixes(url_host(F.col(column)))))
+        hosts = urls.select(url_host(F.col(column)).alias("_host")).distinct()
+        expanded = hosts.withColumn("_parent", F.explode(host_suffixes(F.col("_host"))))
         if self.small:
-            return expanded.join(F.broadcast(entries), "_parent", "left_semi").drop("_parent")
-        place = F.pmod(F.xxhash64(*urls.columns, F.spark_partition_id()), F.lit(salts))
-        salted = expanded.withColumn("_salt", place.cast("int"))
-        all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        spread = entries.withColumn("_salt", all_salts)
-        return salted.join(spread, ["_parent", "_salt"], "left_semi").drop("_parent", "_salt")
+            inside = expanded.join(F.broadcast(entries), "_parent", "left_semi")
+        else:
+            salted = expanded.withColumn("_salt", F.pmod(F.xxhash64("_host"), F.lit(salts)).cast("int"))
+            all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+            spread = entries.withColumn("_salt", all_salts)
+            inside = salted.join(spread, ["_parent", "_salt"], "left_semi")
+        allowed = inside.select("_host").distinct()
+        return urls.withColumn("_host", url_host(F.col(column))).join(allowed, "_host", "left_semi").drop("_host")
 
 
 def semi_join_allowed(

@@ -9,31 +9,39 @@ from pyspark.sql import functions as F
 
 from millrace.scratch import fresh_dir
 
-ONE_TASK_ROWS = 100_000
+SORTED_ROWS = 10_000
 
 
-def first_rows(df: DataFrame, by: str, n: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def first_rows(df: DataFrame, by: str, n: int, sorted_rows: int = SORTED_ROWS) -> DataFrame:
     """The ``n`` rows with the smallest ``by`` (a column without repeats).
 
-    A small ``n`` is a top-k.  For a larger one the rows are written range-partitioned, the
-    partitions counted, and whole partitions kept up to the one in which row ``n`` lies;
-    only that one is sorted.
+    The rows are written range-partitioned and the partitions counted: whole partitions are
+    kept up to the one in which row ``n`` lies, and that one is ranged again until no more than
+    ``n`` rows, or ``sorted_rows`` if those are more, are left to sort in one task.
     """
-    if n <= one_task_rows:
-        return df.orderBy(by).limit(n)
     spark = df.sparkSession
-    path = fresh_dir(spark, "ranged")
-    df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    ranged = spark.read.parquet(path)
-    sizes = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
-    ends = list(accumulate(size for _, size in sizes))
-    cut = next((i for i, end in enumerate(ends) if end >= n), None)
-    if cut is None:
-        return ranged.drop("_part")
-    part, size = sizes[cut]
-    whole = ranged.filter(F.col("_part") < part)
-    rest = ranged.filter(F.col("_part") == part).orderBy(by).limit(n - (ends[cut] - size))
-    return whole.unionByName(rest).drop("_part")
+    schema = df.schema
+    partitions = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kept = df.limit(0)
+    while n > 0:
+        path = fresh_dir(spark, "ranged")
+        ranged = df.repartitionByRange(partitions, by).withColumn("_part", F.spark_partition_id())
+        ranged.write.parquet(path)
+        ranged = spark.read.schema(ranged.schema).parquet(path)
+        sizes = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
+        ends = list(accumulate(size for _, size in sizes))
+        cut = next((i for i, end in enumerate(ends) if end >= n), None)
+        if cut is None:
+            return kept.unionByName(ranged.select(schema.names))
+        part, size = sizes[cut]
+        kept = kept.unionByName(ranged.filter(F.col("_part") < part).select(schema.names))
+        df = ranged.filter(F.col("_part") == part).select(schema.names)
+        n -= ends[cut] - size
+        if n == size:
+            return kept.unionByName(df)
+        if size <= max(n, sorted_rows):
+            return kept.unionByName(df.orderBy(by).limit(n))
+    return kept
 
 
 def head(df: DataFrame, by: str, n: int) -> DataFrame:

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,15 +20,13 @@ from millrace.functions.messages import encode_json
 from millrace.functions.urls import domain_list, host_allowed
 from millrace.operators.allowlist import Allowlist
 from millrace.operators.caps import first_rows
-from millrace.operators.frontier import next_level
+from millrace.operators.frontier import next_level, unseen
 from millrace.scratch import fresh_dir
 from millrace.sources.rows import literal_rows, seed_urls
 from millrace.sources.web import look_up, read_pages
 
-# The crawl's defaults.
-MAX_PAGES = 20
+# Fixed value: the crawl's default.
 MAX_DEPTH = 2
-MAX_ENQUEUE = 10_000
 
 LITERAL_DOMAINS = 50
 
@@ -59,13 +57,18 @@ class Crawl:
 
     ``attempts`` is ``(url, depth)`` and ``fetched`` adds ``final_url``, ``title`` and ``links``;
     both have one row per address, and an attempt without a fetched row failed.  ``links`` is
-    NULL at the last depth, where none are followed.
+    NULL at the last depth, where none are followed.  ``run_ts`` is when the run began.
+    ``left_by_pages`` and ``left_by_queue`` count the addresses that the two caps left out, once
+    for each level that would have visited them.
     """
 
     attempts: DataFrame
     fetched: DataFrame
     run_id: str
     run_ts: int
+    left_by_pages: int = 0
+    left_by_queue: int = 0
+    seconds: float = 0.0
 
     @property
     def visits(self) -> DataFrame:
@@ -107,6 +110,8 @@ class Crawl:
             "fetched",
             F.col("fetched").alias("emitted"),
             (F.col("attempted") - F.col("fetched")).alias("failed"),
+            F.lit(self.left_by_pages).cast("bigint").alias("left_by_pages"),
+            F.lit(self.left_by_queue).cast("bigint").alias("left_by_queue"),
             F.lit(destination).alias("destination"),
         )
 
@@ -116,11 +121,12 @@ def crawl(
     order: str,
     seeds: DataFrame | str,
     allowed: DataFrame | str | Iterable[str],
-    max_pages: int | None = MAX_PAGES,
+    max_pages: int | None = None,
     max_depth: int = MAX_DEPTH,
-    max_enqueue: int | None = MAX_ENQUEUE,
+    max_enqueue: int | None = None,
     run_ts: int | None = None,
     run_id: str | None = None,
+    earlier: DataFrame | None = None,
 ) -> Crawl:
     """Visit allowed addresses breadth first, each once, at its smallest depth.
 
@@ -129,24 +135,31 @@ def crawl(
     a text column ``seeds``.  ``allowed`` is a string or list of domains, or a frame with a
     column ``domain``.  ``max_pages`` bounds attempts, failures included; ``max_enqueue``
     bounds the addresses waiting for the next level; both take the smallest addresses first,
-    so runs agree, and None lifts them.
+    so runs agree, and without a number there is no cap.  ``earlier`` holds the ``url`` of what
+    earlier runs attempted, which this one does not.  Only pages within ``allowed`` are parsed
+    and stored, since no other address can be looked up.
     """
     spark = snapshot.sparkSession
+    began = time.time()
     work = fresh_dir(spark, "crawl")
     if isinstance(seeds, str):
         seeds = literal_rows(spark, [(seeds,)], "seeds string")
 
-    attempted = 0
+    attempted = left_by_pages = left_by_queue = 0
     attempted_paths: list[str] = []
     fetched_paths: list[str] = []
-    pages, forget_pages = _stored_pages(read_pages(snapshot, order), f"{work}/pages")
+    in_scope = _scope(spark, allowed)
+    pages, forget_pages = _stored_pages(read_pages(snapshot, order, scope=in_scope), f"{work}/pages")
     try:
-        in_scope = _scope(spark, allowed)
-        frontier = in_scope(seed_urls(seeds))
+        fresh = (lambda urls: urls) if earlier is None else (lambda urls: unseen(urls, earlier))
+        frontier = fresh(in_scope(seed_urls(seeds)))
         for depth in range(max_depth + 1):
             room = None if max_pages is None else max_pages - attempted
             waiting = None if depth == 0 else max_enqueue
-            path, size = _stored_level(frontier, room, waiting, f"{work}/level-{depth}")
+            path, size, found_size = _stored_level(frontier, room, waiting, f"{work}/level-{depth}")
+            queued = found_size if waiting is None else min(found_size, waiting)
+            left_by_queue += found_size - queued
+            left_by_pages += queued - size
             attempted_paths.append(path)
             attempted += size
 
@@ -161,14 +174,17 @@ def crawl(
 
             fetched = spark.read.schema(FETCHED_SCHEMA).parquet(fetched_paths[-1])
             seen = spark.read.schema(ATTEMPT_SCHEMA).parquet(*attempted_paths)
-            frontier = in_scope(next_level(fetched, seen))
+            frontier = fresh(in_scope(next_level(fetched, seen)))
     finally:
         forget_pages()
     return Crawl(
         spark.read.schema(ATTEMPT_SCHEMA).parquet(*attempted_paths),
         spark.read.schema(FETCHED_SCHEMA).parquet(*fetched_paths),
         run_id or uuid.uuid4().hex,
-        int(time.time()) if run_ts is None else run_ts,
+        int(began) if run_ts is None else run_ts,
+        left_by_pages,
+        left_by_queue,
+        time.time() - began,
     )
 
 
@@ -180,25 +196,28 @@ def _stored_pages(pages: DataFrame, path: str) -> tuple[DataFrame, Callable[[],
     spark = pages.sparkSession
     name = f"crawl_pages_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pages.write.format("parquet").option("path", path).bucketBy(buckets, "url").saveAsTable(name)
+    spread = pages.repartition(buckets, "url")  # as the table's buckets are
+    spread.write.format("parquet").option("path", path).bucketBy(buckets, "url").saveAsTable(name)
     return spark.table(name), lambda: spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _stored_level(
     frontier: DataFrame, room: int | None, waiting: int | None, path: str
-) -> tuple[str, int]:
-    """Write the part of a frontier that may be visited; its path and size.
+) -> tuple[str, int, int]:
+    """Write the part of a frontier that may be visited; its path, its size and the frontier's.
 
-    A level is put in order only if it does not fit under the caps.
+    The rows are counted while they are written.  A level is put in order only if it does not
+    fit under the caps.
     """
-    frontier.write.parquet(path)
-    stored = frontier.sparkSession.read.schema(ATTEMPT_SCHEMA).parquet(path)
-    size = stored.count()
+    counted = Observation()
+    frontier.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    size = counted.get["n"]
     limit = min((n for n in (room, waiting) if n is not None), default=size)
     if size <= limit:
-        return path, size
+        return path, size, size
+    stored = frontier.sparkSession.read.schema(ATTEMPT_SCHEMA).parquet(path)
     first_rows(stored, "url", limit).write.parquet(f"{path}-capped")
-    return f"{path}-capped", limit
+    return f"{path}-capped", limit, size
 
 
 def _scope(

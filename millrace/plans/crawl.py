@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.urls import url_origin
+from millrace.operators import runs
 from millrace.operators.caps import head
 from millrace.operators.counts import row_count
 from millrace.operators.crawl import RECORD_SCHEMA, Crawl, crawl
@@ -75,22 +76,33 @@ def web(pages: DataFrame) -> DataFrame:
     return articles.unionByName(derived)
 
 
-def _crawl(spark: SparkSession, sf_dir: str, max_pages: int | None = None) -> Crawl:
+def _crawl(
+    spark: SparkSession,
+    sf_dir: str,
+    max_pages: int | None = None,
+    max_enqueue: int | None = None,
+    earlier: DataFrame | None = None,
+    snapshot: DataFrame | None = None,
+    run_id: str = RUN_ID,
+) -> Crawl:
     pages = table(spark, sf_dir, "pages")
     return crawl(
-        web(pages),
+        web(pages) if snapshot is None else snapshot,
         order="page_id",
         seeds=seed_texts(pages),
         allowed=ALLOWED,
         max_pages=max_pages,
         max_depth=MAX_DEPTH,
-        max_enqueue=None,
+        max_enqueue=max_enqueue,
         run_ts=RUN_TS,
-        run_id=RUN_ID,
+        run_id=run_id,
+        earlier=earlier,
     )
 
 
-VISITS = f"""
+def _visits(more: str = "true") -> str:
+    """The crawl's walk in SQL; ``more`` is a condition on every address, named ``at``."""
+    return f"""
     WITH RECURSIVE
     article AS MATERIALIZED ({sql.FIRST_PAGES}),
     edge AS MATERIALIZED ({sql.EDGES}),
@@ -116,13 +128,17 @@ VISITS = f"""
         UNION ALL SELECT url, url FROM root
         UNION ALL SELECT url, url || 'sitemap' FROM root),
     walk(url, depth) AS (
-        SELECT url, 0 FROM article WHERE {sql.in_domains('url', ALLOWED)}
-        UNION SELECT url, 0 FROM root WHERE {sql.in_domains('url', ALLOWED)}
+        SELECT url, 0 FROM article WHERE {sql.in_domains('url', ALLOWED)} AND {more.replace('at', 'url')}
+        UNION SELECT url, 0 FROM root WHERE {sql.in_domains('url', ALLOWED)} AND {more.replace('at', 'url')}
         UNION
         SELECT dst_url, depth + 1 FROM walk JOIN hop ON src_url = url
-        WHERE depth < {MAX_DEPTH} AND {sql.in_domains('dst_url', ALLOWED)}),
+        WHERE depth < {MAX_DEPTH} AND {sql.in_domains('dst_url', ALLOWED)}
+          AND {more.replace('at', 'dst_url')}),
     visit AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url)
-"""
+    """
+
+
+VISITS = _visits()
 RECORDS = f"""
     SELECT final_url AS url, title, depth, {RUN_TS}::BIGINT AS ts
     FROM visit JOIN node USING (url)
@@ -147,6 +163,109 @@ def crawl_bfs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crawl(spark, sf_dir, max_pages=PAGE_CAP).visits
 
 
+def _capped_levels(cap: int) -> str:
+    """Levels of which each takes the first ``cap`` addresses that no level before it has."""
+    levels = ["level0 AS (SELECT DISTINCT url, 0 AS depth FROM walk WHERE depth = 0)"]
+    for depth in range(1, MAX_DEPTH + 1):
+        seen = " UNION ALL ".join(f"SELECT url FROM level{d}" for d in range(depth))
+        levels.append(
+            f"""
+            found{depth} AS MATERIALIZED (
+                SELECT DISTINCT dst_url AS url, {depth} AS depth
+                FROM level{depth - 1} JOIN hop ON src_url = url
+                WHERE {sql.in_domains('dst_url', ALLOWED)} AND dst_url NOT IN ({seen})),
+            level{depth} AS MATERIALIZED (
+                SELECT * FROM found{depth} ORDER BY url LIMIT {cap})"""
+        )
+    return ", ".join(levels)
+
+
+def _all_levels(kind: str) -> str:
+    first = 0 if kind == "level" else 1
+    return " UNION ALL ".join(f"SELECT * FROM {kind}{d}" for d in range(first, MAX_DEPTH + 1))
+
+
+QUEUE_CAP = 40
+
+
+@query(
+    f"""
+    {VISITS}, {_capped_levels(QUEUE_CAP)}
+    SELECT url, depth, {FETCHED} FROM ({_all_levels('level')})
+    """
+)
+def crawl_enqueue_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same crawl with a cap on the addresses that wait for a level."""
+    return _crawl(spark, sf_dir, max_enqueue=QUEUE_CAP).visits
+
+
+@query(
+    f"""
+    {VISITS}, {_capped_levels(QUEUE_CAP)}
+    SELECT '{RUN_ID}' AS run_id, count(*) AS attempted, count(*) FILTER (WHERE fetched) AS fetched,
+           count(*) FILTER (WHERE fetched) AS emitted,
+           count(*) FILTER (WHERE NOT fetched) AS failed, 0::BIGINT AS left_by_pages,
+           (SELECT count(*) FROM ({_all_levels('found')}))
+               - count(*) FILTER (WHERE depth > 0) AS left_by_queue,
+           'crawl/raw' AS destination
+    FROM (SELECT depth, {FETCHED} FROM ({_all_levels('level')}))
+    """
+)
+def crawl_capped_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of that crawl, with what the cap left out."""
+    return _crawl(spark, sf_dir, max_enqueue=QUEUE_CAP).manifest("crawl/raw")
+
+
+# Addresses that an earlier run attempted: those over https.
+EARLIER = "at NOT LIKE 'https:%'"
+
+
+@query(f"{_visits(EARLIER)} SELECT url, depth, {FETCHED} FROM visit")
+def cross_run_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl that leaves out what an earlier run attempted."""
+    first = _crawl(spark, sf_dir).attempts
+    return _crawl(spark, sf_dir, earlier=first.filter(F.col("url").startswith("https:"))).visits
+
+
+@query(
+    f"""
+    {VISITS}
+    SELECT reason, count(*) AS n FROM (
+        SELECT CASE WHEN url IN (SELECT url FROM target) AND url LIKE '%e' THEN 'status 404'
+                    WHEN url IN (SELECT url FROM target) AND url LIKE '%s' THEN 'empty'
+                    ELSE 'no page' END AS reason
+        FROM visit WHERE NOT {FETCHED.removesuffix(' AS fetched')})
+    GROUP BY reason
+    """
+)
+def run_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failed attempts of a crawl by reason."""
+    snapshot = web(table(spark, sf_dir, "pages"))
+    run = _crawl(spark, sf_dir, snapshot=snapshot)
+    return runs.by_reason(runs.failures(run, snapshot, "page_id"))
+
+
+@query(
+    f"""
+    {VISITS}, attempt AS (
+        SELECT {FETCHED} FROM visit
+        UNION ALL SELECT {FETCHED} FROM (SELECT * FROM visit ORDER BY depth, url LIMIT {PAGE_CAP}))
+    SELECT 2::BIGINT AS runs, count(*) AS attempted, count(*) FILTER (WHERE fetched) AS emitted,
+           count(*) FILTER (WHERE NOT fetched) / count(*) AS error_rate, true AS timed
+    FROM attempt
+    """
+)
+def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs appended to a table of runs, and the metrics over it."""
+    path, snapshot = fresh_dir(spark, "runs"), web(table(spark, sf_dir, "pages"))
+    for run_id, max_pages in (("run-1", None), ("run-2", PAGE_CAP)):
+        run = _crawl(spark, sf_dir, max_pages=max_pages, snapshot=snapshot, run_id=run_id)
+        runs.append_run(run, path)
+    found = runs.metrics(runs.history(spark, path))
+    timed = (F.col("emitted_per_second") > 0) & (F.col("last_recorded") > RUN_TS)
+    return found.withColumn("timed", timed).drop("emitted_per_second", "last_recorded")
+
+
 @query(f"{VISITS} {RECORDS}")
 def crawl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crawl(spark, sf_dir).records
@@ -169,7 +288,8 @@ def crawl_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     {VISITS}
     SELECT '{RUN_ID}' AS run_id, count(*) AS attempted, count(*) FILTER (WHERE fetched) AS fetched,
            count(*) FILTER (WHERE fetched) AS emitted,
-           count(*) FILTER (WHERE NOT fetched) AS failed, 'crawl/raw' AS destination
+           count(*) FILTER (WHERE NOT fetched) AS failed, 0::BIGINT AS left_by_pages,
+           0::BIGINT AS left_by_queue, 'crawl/raw' AS destination
     FROM (SELECT {FETCHED} FROM visit)
     """
 )
@@ -191,6 +311,16 @@ def crawl_jsonl_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_records(spark, sf_dir)
 
 
+@query(f"{VISITS} SELECT *, '{RUN_DAY}' AS dt, '22' AS hour, '{RUN_ID}' AS run_id FROM ({RECORDS})")
+def crawl_hourly_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a folder per hour."""
+    path = fresh_dir(spark, "raw")
+    run = _crawl(spark, sf_dir)
+    sink.dated_json_lines(run.records, path, run.run_id, F.lit(run.run_ts), hourly=True)
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RECORD_SCHEMA.fields)
+    return json_lines(spark, path, f"{names}, dt string, hour string, run_id string")
+
+
 @query(f"{VISITS} SELECT count(*) AS n FROM ({RECORDS})")
 def crawl_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_count(_stored_records(spark, sf_dir))

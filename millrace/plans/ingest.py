@@ -18,8 +18,6 @@ EVENT_MESSAGE = T.StructType(
     [T.StructField("message", T.StringType()), T.StructField("event_id", T.LongType())]
 )
 
-STREAM_TIMEOUT = 3600
-
 
 def _event_topic(spark: SparkSession, sf_dir: str, value: Column) -> RecordFiles:
     events = table(spark, sf_dir, "events")
@@ -40,7 +38,7 @@ def _event_topic(spark: SparkSession, sf_dir: str, value: Column) -> RecordFiles
 
 def _drained(spark: SparkSession, rows: DataFrame) -> DataFrame:
     path, checkpoint = fresh_dir(spark, "appended"), fresh_dir(spark, "stream")
-    drain_append(rows, path, checkpoint, fmt="parquet", timeout=STREAM_TIMEOUT)
+    drain_append(rows, path, checkpoint, fmt="parquet")
     return versioned_table(spark, path, fmt="parquet")
 
 
@@ -74,7 +72,7 @@ def stream_restart_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run() -> None:
         rows = decode_json(topic.stream(spark))
-        drain_append(rows, path, checkpoint, fmt="parquet", timeout=STREAM_TIMEOUT)
+        drain_append(rows, path, checkpoint, fmt="parquet")
 
     run()
     later = as_records(

@@ -95,11 +95,19 @@ def file_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (SELECT count(*) FROM customer), true
     UNION ALL SELECT 'model rows', 1, count(*), count(*) >= 1 FROM orders
               WHERE o_orderstatus IN ('O', 'F', 'P')
-    UNION ALL SELECT 'clicks listed', 1, 1, true
+    UNION ALL SELECT 'clicks listed', 1,
+                     (SELECT count(DISTINCT event_type) FROM events WHERE event_type = 'click'),
+                     EXISTS (SELECT 1 FROM events WHERE event_type = 'click')
+    UNION ALL SELECT 'open orders lost', 0, count(*), count(*) = 0 FROM orders WHERE o_orderstatus = 'O'
+    UNION ALL SELECT 'one more customer', (SELECT count(*) + 1 FROM customer),
+                     (SELECT count(*) FROM customer), false
+    UNION ALL SELECT 'too few orders', (SELECT count(*) + 1 FROM orders),
+                     (SELECT count(*) FROM orders), false
+    UNION ALL SELECT 'no such event', 1, count(*), count(*) >= 1 FROM events WHERE event_type = 'none'
     """
 )
 def output_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four kinds of checks over written tables."""
+    """The four kinds of checks over written tables, each met once and failed once."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     (n_customers,) = row_count(customers).first()
     lines = element_count_lines(table(spark, sf_dir, "events"), "event_type")
@@ -108,4 +116,8 @@ def output_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         checks.row_count_is(table_format_roundtrip(spark, sf_dir), n_customers, "customers"),
         checks.row_count_at_least(_status_model(spark, sf_dir), 1, "model rows"),
         checks.has_row(lines, F.col("line").startswith("click:"), "clicks listed"),
+        checks.same_rows(orders, orders.filter("o_orderstatus <> 'O'"), "open orders lost"),
+        checks.row_count_is(customers, n_customers + 1, "one more customer"),
+        checks.row_count_at_least(orders, row_count(orders).first()[0] + 1, "too few orders"),
+        checks.has_row(lines, F.col("line").startswith("none:"), "no such event"),
     )

@@ -31,7 +31,7 @@ from millrace.sources.web import look_up, read_pages
 # The scope and the page cap of the registered crawl queries.
 ALLOWED = "example.org example.net"
 PAGE_CAP = 100
-ENQUEUE_CAP = 10_000
+ENQUEUE_CAP = 200
 
 
 def snapshot(pages: DataFrame) -> DataFrame:
@@ -41,8 +41,8 @@ def snapshot(pages: DataFrame) -> DataFrame:
     )
 
 
-def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_pages(snapshot(table(spark, sf_dir, "pages")), "page_id")
+def _read(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return read_pages(snapshot(table(spark, sf_dir, "pages")), "page_id", columns)
 
 
 @query(f"SELECT page_id, {sql.normal('url')} AS url FROM pages")
@@ -131,12 +131,12 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT src_url, dst_url FROM ({sql.EDGES})")
 def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_edges(_read(spark, sf_dir))
+    return link_edges(_read(spark, sf_dir, "links"))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages at depth 0 and what they link to at depth 1, with the linking page."""
-    pages = _read(spark, sf_dir)
+    pages = _read(spark, sf_dir, "links")
     roots = pages.select("url", F.lit(0).alias("depth"), F.lit("").alias("src_url"))
     linked = link_edges(pages).select(
         F.col("dst_url").alias("url"), F.lit(1).alias("depth"), "src_url"
@@ -177,7 +177,7 @@ def frontier_first_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def frontier_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link targets that are neither a page nor the root of a page's origin."""
-    pages = _read(spark, sf_dir)
+    pages = _read(spark, sf_dir, "links")
     visited = pages.select("url")
     roots = visited.select(F.concat(url_origin(F.col("url")), F.lit("/")).alias("url"))
     seen = with_seen(visited, roots).distinct()
@@ -192,7 +192,7 @@ def frontier_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The addresses a crawl may still attempt when its page cap leaves that many."""
-    targets = link_edges(_read(spark, sf_dir)).select(F.col("dst_url").alias("url")).distinct()
+    targets = link_edges(_read(spark, sf_dir, "links")).select(F.col("dst_url").alias("url")).distinct()
     return first_rows(targets.filter(host_allowed(F.col("url"), ALLOWED)), "url", PAGE_CAP)
 
 
@@ -200,9 +200,9 @@ def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT DISTINCT dst_url AS url FROM ({sql.EDGES}) ORDER BY url LIMIT {ENQUEUE_CAP}"
 )
 def enqueue_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the cap on waiting addresses, taken by whole sorted ranges."""
-    targets = link_edges(_read(spark, sf_dir)).select(F.col("dst_url").alias("url")).distinct()
-    return first_rows(targets, "url", ENQUEUE_CAP, one_task_rows=PAGE_CAP)
+    """The same with the cap on waiting addresses; there are more of them at every scale."""
+    targets = link_edges(_read(spark, sf_dir, "links")).select(F.col("dst_url").alias("url")).distinct()
+    return first_rows(targets, "url", ENQUEUE_CAP)
 
 
 @query(
@@ -215,5 +215,5 @@ def enqueue_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def snapshot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds looked up in the snapshot; those it does not hold drop out."""
-    found = look_up(seeds(spark, sf_dir), _read(spark, sf_dir))
+    found = look_up(seeds(spark, sf_dir), _read(spark, sf_dir, "title"))
     return found.select("url", "title")

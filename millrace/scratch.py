@@ -21,7 +21,7 @@ def shared_root(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder every executor can reach; "
             "a machine-local folder would not survive on a cluster"

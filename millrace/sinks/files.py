@@ -5,13 +5,12 @@ Every writer replaces or extends a whole folder; none reads the folder it writes
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.text import day_stamp
-from millrace.scratch import fresh_dir
-
-ONE_SHARD_ROWS = 1_000_000
+from millrace.functions.text import day_stamp, hour_stamp
 
 
 def parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -23,39 +22,50 @@ def versioned_table(df: DataFrame, path: str, fmt: str = "delta", mode: str = "o
     df.write.format(fmt).mode(mode).save(path)
 
 
-def text_report(lines: DataFrame, path: str, one_shard_rows: int = ONE_SHARD_ROWS) -> None:
-    """Write a one-column frame as text, in one file as long as it is a report.
+def text_report(lines: DataFrame, path: str, shards: int | None = None) -> None:
+    """Write a one-column frame as text, in ``shards`` files if that is given.
 
-    Beyond ``one_shard_rows`` the lines stay spread over several files, since one task
-    would have to carry them all.  The lines are computed once, at full parallelism, and
-    staged; only the staged rows are counted and gathered.
+    Gathering into few files costs an exchange of the finished lines; computing them keeps its
+    full parallelism.
     """
     if len(lines.columns) != 1:
         raise ValueError("text output takes exactly one column")
-    spark = lines.sparkSession
-    staged_path = fresh_dir(spark, "report")
-    lines.write.parquet(staged_path)
-    staged = spark.read.schema(lines.schema).parquet(staged_path)
-    out = staged if staged.count() > one_shard_rows else staged.coalesce(1)
+    out = lines if shards is None else lines.repartition(shards)
     out.write.mode("overwrite").text(path)
 
 
 def dated_json_lines(
-    records: DataFrame, path: str, run_id: str, epoch_seconds: Column, mode: str = "append"
+    records: DataFrame,
+    path: str,
+    run_id: str,
+    epoch_seconds: Column,
+    mode: str = "append",
+    hourly: bool = False,
 ) -> None:
-    """JSON lines under ``dt=<yyyyMMdd>/run_id=<run>``; runs do not overwrite each other."""
+    """JSON lines under ``dt=<yyyyMMdd>[/hour=<HH>]/run_id=<run>``; runs do not overwrite each other."""
+    parts = ["dt", *(["hour"] if hourly else []), "run_id"]
     (
         records.withColumn("dt", day_stamp(epoch_seconds))
+        .withColumn("hour", hour_stamp(epoch_seconds))
         .withColumn("run_id", F.lit(run_id))
+        .select(*records.columns, *parts)
         .write.mode(mode)
-        .partitionBy("dt", "run_id")
+        .partitionBy(*parts)
         .option("ignoreNullFields", "false")
         .json(path)
     )
 
 
 def managed_table(df: DataFrame, name: str, path: str, fmt: str = "parquet") -> None:
-    """Store ``df`` at ``path`` as the table ``name``, replacing an earlier table."""
+    """Store ``df`` under ``path`` as the table ``name``, replacing an earlier table.
+
+    The rows go to a folder of their own, and the name moves there only when they are complete
+    and can be read.  A run that fails leaves the earlier table as it was, and a table may be
+    rebuilt from itself.  Folders of earlier versions stay, for readers that still use them.
+    """
     spark: SparkSession = df.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    df.write.format(fmt).mode("overwrite").option("path", path).saveAsTable(name)
+    version = f"{path}/version-{uuid.uuid4().hex}"
+    df.write.format(fmt).save(version)
+    schema = spark.read.format(fmt).load(version).schema
+    spark.sql(f"DROP TABLE IF EXISTS {name}")  # only the name: the files are the caller's
+    spark.catalog.createTable(name, version, fmt, schema)

@@ -24,7 +24,3 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Every line under ``path`` as the column ``value``."""
     return spark.read.text(path)
-
-
-def named_table(spark: SparkSession, name: str) -> DataFrame:
-    return spark.table(name)

@@ -6,9 +6,11 @@ same seven columns; every function takes both, so jobs do not change between the
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed value: the columns Spark's Kafka connector yields.
@@ -49,11 +51,26 @@ class BrokerTopic:
             .load()
         )
 
-    def _configured(self, reader):
+    def records(self, spark: SparkSession, places: list[tuple[int, int]]) -> DataFrame:
+        """The records at ``(partition, offset)``; the broker is asked for no more than their span."""
+        found = self._spanned(spark, places) if places else self.batch(spark).limit(0)
+        return found.filter(_at(places))
+
+    def _spanned(self, spark: SparkSession, places: list[tuple[int, int]]) -> DataFrame:
+        spans: dict[str, tuple[int, int]] = {}
+        for partition, offset in places:
+            low, high = spans.get(str(partition), (offset, offset))
+            spans[str(partition)] = (min(low, offset), max(high, offset))
+        from_ = {self.topic: {p: low for p, (low, _) in spans.items()}}
+        to = {self.topic: {p: high + 1 for p, (_, high) in spans.items()}}
+        reader = self._configured(spark.read, assign={self.topic: [int(p) for p in spans]})
+        return reader.option("startingOffsets", json.dumps(from_)).option("endingOffsets", json.dumps(to)).load()
+
+    def _configured(self, reader, assign: dict[str, list[int]] | None = None):
         return (
             reader.format("kafka")
             .option("kafka.bootstrap.servers", self.servers)
-            .option("subscribe", self.topic)
+            .option(*(("assign", json.dumps(assign)) if assign else ("subscribe", self.topic)))
             .options(**self.options)
         )
 
@@ -76,10 +93,30 @@ class RecordFiles:
     def batch(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(RECORD_SCHEMA).parquet(self.path)
 
+    def records(self, spark: SparkSession, places: list[tuple[int, int]]) -> DataFrame:
+        """The records at ``(partition, offset)``; the condition reaches the files' statistics."""
+        return self.batch(spark).filter(_at(places))
+
+
+def _at(places: list[tuple[int, int]]) -> Column:
+    by_partition: dict[int, list[int]] = {}
+    for partition, offset in places:
+        by_partition.setdefault(partition, []).append(offset)
+    found = F.lit(False)
+    for partition, offsets in by_partition.items():
+        found |= (F.col("partition") == partition) & F.col("offset").isin(offsets)
+    return found
+
 
 Topic = BrokerTopic | RecordFiles
 
 
 def consume(spark: SparkSession, topic: Topic, max_messages: int) -> DataFrame:
-    """The first ``max_messages`` records from the beginning of a topic."""
-    return topic.batch(spark).orderBy("partition", "offset").limit(max_messages)
+    """The first ``max_messages`` records from the beginning of a topic.
+
+    Which they are is decided on partitions and offsets alone, a read without the values; then
+    only those records are fetched.
+    """
+    places = topic.batch(spark).select("partition", "offset")
+    first = places.orderBy("partition", "offset").limit(max_messages).collect()
+    return topic.records(spark, [(row["partition"], row["offset"]) for row in first])

@@ -6,14 +6,16 @@ fetched) and ``html``.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.binding import bind
-from millrace.functions.html import title_and_links
+from millrace.functions.html import link_texts, page_title, title_and_links
 from millrace.functions.urls import is_web_address, normalize_url, resolve_links
+from millrace.scratch import fresh_dir
 
 
 def was_fetched() -> Column:
@@ -22,6 +24,15 @@ def was_fetched() -> Column:
     return ok_status & (F.coalesce(F.length("html"), F.lit(0)) > 0)
 
 
+def of_type(snapshot: DataFrame, types: Sequence[str] = ("text/html", "application/xhtml+xml")) -> DataFrame:
+    """Rows whose ``content_type``, parameters and case aside, is listed; all if there is no such
+    column.  A row without a type is kept, as it may be a page."""
+    if "content_type" not in snapshot.columns:
+        return snapshot
+    kind = F.lower(F.trim(F.substring_index("content_type", ";", 1)))
+    return snapshot.filter(kind.isin(*types) | F.col("content_type").isNull())
+
+
 def outgoing(base: Column, hrefs: Column) -> Column:
     """Normalised web addresses the links of a page lead to, each once."""
     resolved = F.filter(resolve_links(base, hrefs), is_web_address)
@@ -30,50 +41,79 @@ def outgoing(base: Column, hrefs: Column) -> Column:
 
 
 @lru_cache
-def _page(application_id: str) -> Column:
+def _page(application_id: str, columns: tuple[str, ...]) -> Column:
     """The page struct of a snapshot row with its ``key``; NULL if the fetch failed.
 
     Kept per application: naming its parts one by one costs the driver a second.
     """
     base = F.coalesce(F.col("final_url"), F.col("key"))
-    page = bind(
-        title_and_links(F.col("html")),
-        lambda read: F.struct(
-            normalize_url(base).alias("final_url"),
-            read["title"].alias("title"),
-            outgoing(base, read["hrefs"]).alias("links"),
-        ),
-    )
-    return F.when(was_fetched(), page)
+    html = F.col("html")
 
+    def page(title: Column | None, hrefs: Column | None) -> Column:
+        parts = {"final_url": normalize_url(base)}
+        if "title" in columns:
+            parts["title"] = title
+        if "links" in columns:
+            parts["links"] = outgoing(base, hrefs)
+        return F.struct(*[part.alias(name) for name, part in parts.items()])
 
-def parsed(snapshot: DataFrame, *keep: str) -> DataFrame:
-    """Snapshot rows as ``(url, page)``, in place and copies included.
+    if set(columns) == {"title", "links"}:
+        return F.when(was_fetched(), bind(title_and_links(html), lambda r: page(r["title"], r["hrefs"])))
+    return F.when(was_fetched(), page(page_title(html), link_texts(html)))
 
-    ``url`` is the normalised address, and rows without one are dropped; ``page`` is a
-    struct of ``final_url``, ``title`` and ``links``, NULL if the fetch failed.
-    """
-    page = _page(snapshot.sparkSession.sparkContext.applicationId)
-    keyed = snapshot.withColumn("key", normalize_url(F.col("url"))).filter("key IS NOT NULL")
-    return keyed.select(F.col("key").alias("url"), *keep, page.alias("page"))
+
+COLUMNS = ("title", "links")
 
 
-def read_pages(snapshot: DataFrame, order: str) -> DataFrame:
-    """The pages a snapshot holds: ``url``, ``final_url``, ``title``, ``links``, each ``url`` once.
+def keyed(snapshot: DataFrame) -> DataFrame:
+    """Snapshot rows with their normalised address ``key``; those without one are dropped."""
+    return snapshot.withColumn("key", normalize_url(F.col("url"))).filter("key IS NOT NULL")
 
-    Of several rows with one address the one with the smallest ``order``, a column without
-    repeats, counts; if that fetch failed, the address has no page.  Documents are read where
-    they lie, so only titles and links travel; copies of an address are reduced before the
-    exchange, however many there are.
+
+def parsed(snapshot: DataFrame, *keep: str, columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """Snapshot rows as ``(url, page)``, in place and copies included.
+
+    ``url`` is the normalised address, and rows without one are dropped; ``page`` is a
+    struct of ``final_url`` and ``columns``, NULL if the fetch failed.
+    """
+    page = _page(snapshot.sparkSession.sparkContext.applicationId, tuple(columns))
+    return keyed(snapshot).select(F.col("key").alias("url"), *keep, page.alias("page"))
+
+
+def read_pages(
+    snapshot: DataFrame,
+    order: str,
+    columns: Sequence[str] = COLUMNS,
+    scope: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The pages a snapshot holds: ``url``, ``final_url`` and ``columns``, each ``url`` once.
+
+    Of several rows with one address the one with the smallest ``order``, a whole number without
+    repeats, counts; if that fetch failed, the address has no page.  The rows that lose are found
+    on addresses and numbers alone and are few; documents are read where they lie, and only those
+    whose ``url`` passes ``scope`` are parsed.
     """
-    first = parsed(snapshot, order).groupBy("url").agg(F.min_by("page", order).alias("page"))
-    return first.filter("page IS NOT NULL").select("url", "page.*")
+    spark, path = snapshot.sparkSession, fresh_dir(snapshot.sparkSession, "losers")
+    names = keyed(snapshot).select(F.col("key").alias("url"), F.col(order).cast("bigint").alias("_order"))
+    firsts = names.groupBy("url").agg(F.min("_order").alias("_first"), F.count("*").alias("_n"))
+    copies = names.join(firsts.filter("_n > 1"), "url").filter("_order > _first")
+    copies.select(F.col("_order").alias(order)).write.parquet(path)
+    losers = spark.read.parquet(path)
+    rows = snapshot.join(losers, order, "left_anti")
+    if scope is not None:
+        inside = scope(keyed(rows).drop("url").withColumnRenamed("key", "url"))
+        rows = inside.select(*snapshot.columns)
+    found = parsed(rows, columns=columns)
+    return found.filter("page IS NOT NULL").select("url", "page.*")
 
 
 def look_up(frontier: DataFrame, pages: DataFrame) -> DataFrame:
     """The frontier rows whose fetch gives a page, with that page.
 
     Both sides have one row per address, so no key is hot.  A frontier small enough by its
-    stored size is broadcast; a larger one is shuffled to the buckets of ``pages``.
+    stored size is broadcast; a larger one is shuffled to the buckets of ``pages``, where it is
+    the side that is hashed, so the pages are not sorted.
     """
-    return frontier.join(pages, "url")
+    return pages.join(frontier.hint("shuffle_hash"), "url").select(
+        *frontier.columns, *[c for c in pages.columns if c != "url"]
+    )

@@ -36,13 +36,17 @@ def start_append(
 
 
 def drain_append(
-    rows: DataFrame, path: str, checkpoint: str, fmt: str = "delta", timeout: int = 3600
+    rows: DataFrame, path: str, checkpoint: str, fmt: str = "delta", timeout: float | None = None
 ) -> None:
-    """Append what is there now and stop; raises if that fails or takes too long."""
+    """Append what is there now and stop; raises if that fails.
+
+    A topic takes as long as it takes; ``timeout`` seconds, if given, raise as well.
+    """
     query = start_append(rows, path, checkpoint, fmt=fmt, drain=True)
     try:
-        if not query.awaitTermination(timeout):
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
             raise TimeoutError(f"stream still running after {timeout} s")
     finally:
         query.stop()
-

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.crawl import crawl
+from millrace.operators import runs
+from millrace.operators.crawl import _scope, crawl
 from millrace.sources.web import read_pages
 
 SCHEMA = "id int, url string, final_url string, status int, html string"
@@ -56,7 +57,8 @@ def test_cycle_diamond_copies_failures(spark):
         ("http://other.net/moved", "C", 2, 5),
     }
     assert result.manifest("out").first().asDict() == {
-        "run_id": "r", "attempted": 7, "fetched": 4, "emitted": 4, "failed": 3, "destination": "out",
+        "run_id": "r", "attempted": 7, "fetched": 4, "emitted": 4, "failed": 3, "left_by_pages": 0, "left_by_queue": 0,
+        "destination": "out",
     }
     assert '{"url":"http://ex.org/a","title":"A","depth":1,"ts":5}' in {
         r["value"] for r in result.json_lines.collect()
@@ -78,6 +80,47 @@ def test_enqueue_cap_takes_smallest_waiting_addresses(spark):
     }
 
 
+def test_what_caps_leave_out_is_counted(spark):
+    row = run(spark, max_pages=2).manifest().first()
+    assert (row["attempted"], row["left_by_pages"], row["left_by_queue"]) == (2, 1, 0)
+    row = run(spark, max_enqueue=1).manifest().first()
+    assert row["attempted"] == 4 and row["left_by_queue"] > 0
+
+
+def test_pages_out_of_scope_are_not_parsed(spark):
+    snapshot = spark.createDataFrame(WEB, SCHEMA)
+    for allowed in ("nowhere.net", spark.createDataFrame([("nowhere.net",)], "domain string")):
+        pages = read_pages(snapshot, "id", scope=_scope(spark, allowed))
+        assert pages.count() == 0
+    # Reading a document out of scope would fail here.
+    outside = F.col("url").contains("evil")
+    trap = F.when(outside, F.raise_error(F.lit("parsed"))).otherwise(F.col("html"))
+    mixed = snapshot.union(spark.createDataFrame([page(20, "http://evil.com/x", ["/y"])], SCHEMA))
+    inside = read_pages(mixed.withColumn("html", trap), "id", scope=_scope(spark, "ex.org"))
+    assert inside.count() == 4
+
+
+def test_earlier_runs_are_left_out(spark):
+    earlier = spark.createDataFrame([("http://ex.org/a",)], "url string")
+    assert visits(run(spark, earlier=earlier)) == {
+        "http://ex.org/": (0, True), "http://ex.org/b": (1, True), "http://ex.org/d": (2, False),
+    }
+
+
+def test_one_list_means_the_same_short_and_long(spark):
+    rows = [page(1, "http://example.org./x"), page(2, "http://ex.org/y")]
+    seeds = "http://example.org./x http://ex.org/y"
+    short = run(spark, rows, seeds, allowed=["", "ex.org"])
+    long = run(spark, rows, seeds, allowed=["", "ex.org", *[f"d{i}.net" for i in range(100)]])
+    assert visits(short) == visits(long) == {"http://ex.org/y": (0, True)}
+
+
+def test_failures_by_reason(spark):
+    snapshot = spark.createDataFrame(WEB, SCHEMA)
+    found = runs.failures(run(spark), snapshot, "id").collect()
+    assert {(r["url"][-1], r["reason"]) for r in found} == {("d", "status 404"), ("g", "no page"), ("e", "empty")}
+
+
 def test_depth_zero_and_no_seeds(spark):
     assert visits(run(spark, max_depth=0)) == {"http://ex.org/": (0, True)}
     assert visits(run(spark, seeds="")) == {}

@@ -60,6 +60,9 @@ DOCUMENTS = [
     ("<p title=don't><a href='u'>", "", ["u"]),
     ('<p x="><a href=no>" y><a href=yes>', "", ["yes"]),
     ("<![CDATA[x]]><?php x ?><a href=y>", "", ["y"]),
+    ("<![CDATA[<title>c</title>]]><title>d</title>", "d", []),
+    ("<?php <title>e</title> ?><title>f</title>", "e", []),
+    ("<!foo <a href=n>><a href=m>", "", ["m"]),
 ]
 
 
@@ -95,7 +98,9 @@ def test_random_documents_match_the_standard_parser(spark):
     names = ["href", "HREF", "class", "data-href", "title", "x"]
     tags = ["a", "A", "abbr", "p", "b", "area", "aside", "script2"]
     between = [" ", "text", "a < b", "</a>", "</p >", "<br/>", "<!-- <a href=no> -->", "&lt;a href=no>",
-               "<script>'<a href=no>'</script>", "<style><a href=no></style>", "<!doctype html>"]
+               "<script>'<a href=no>'</script>", "<style><a href=no></style>", "<!doctype html>",
+               "<?php <a href=n> ?>", "<![CDATA[<a href=n>]]>", "<!foo <a href=n>>", "<?x>", "<![if a]>",
+               "<!DOCTYPE x '<a href=n>'>", "<![CDATA[ ]] > <a href=n> ]] >"]
 
     def tag():
         attributes = [rng.choice(names) + rng.choice(values) for _ in range(rng.randint(0, 4))]
@@ -131,6 +136,9 @@ def test_missing_document(spark):
         ("<a ", 200_000),
         ('<a href="', 100_000),
         ("<!--", 200_000),
+        ("<![CDATA[", 100_000),
+        ("<!x", 200_000),
+        ("<?", 200_000),
         ("<script>", 100_000),
         ("<title>", 100_000),
         ('="', 300_000),

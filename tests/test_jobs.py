@@ -28,6 +28,14 @@ def test_crawl_job(spark, monkeypatch):
     assert rows.select("run_id").distinct().count() == 2
 
 
+def test_a_cap_can_be_lifted(monkeypatch):
+    argv = ["--snapshot", "x", "--out", "y", "--seeds", "a", "--allowed", "b"]
+    assert crawl.arguments(argv).max_pages == 20
+    monkeypatch.setenv("MAX_PAGES", "none")
+    args = crawl.arguments([*argv, "--max-enqueue", "none"])
+    assert args.max_pages is None and args.max_enqueue is None
+
+
 def test_crawl_job_needs_seeds(monkeypatch):
     monkeypatch.delenv("SEEDS", raising=False)
     with pytest.raises(SystemExit):

@@ -28,11 +28,11 @@ def test_counts_of_a_missing_element(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 99, 100, 101, 499, 500, 501])
-@pytest.mark.parametrize("one_task_rows", [0, 10_000])
-def test_first_rows_is_exact(spark, n, one_task_rows):
+@pytest.mark.parametrize("sorted_rows", [0, 10_000])
+def test_first_rows_is_exact(spark, n, sorted_rows):
     rows = spark.range(500).select(F.sha2(F.col("id").cast("string"), 256).alias("url"))
     expected = sorted(r["url"] for r in rows.collect())[:n]
-    got = first_rows(rows, "url", n, one_task_rows=one_task_rows)
+    got = first_rows(rows, "url", n, sorted_rows=sorted_rows)
     assert sorted(r["url"] for r in got.collect()) == expected
 
 

@@ -3,27 +3,56 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401  (registers the queries)
 from millrace.functions.scalars import plus_one
+from millrace.operators.caps import first_rows
 from millrace.operators.counts import element_counts
 from millrace.operators.crawl import _stored_pages
-from millrace.plans.registry import table
+from millrace.plans.registry import PLANS, table
 from millrace.scratch import fresh_dir
 from millrace.sources.web import look_up
 
 SF_DIR = "/root/testdata/sf0.001"
-BATCH_ONLY = [n for n in entry.queries() if not n.startswith(("stream", "crawl", "jsonl"))]
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", BATCH_ONLY)
+def executed(spark):
+    """A function that gives the plans of all executions that the session still remembers."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def texts():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return [found.apply(i).physicalPlanDescription() for i in range(found.size())]
+
+    return texts
+
+
+@pytest.mark.parametrize("name", list(PLANS))
 def test_no_cross_joins_and_no_python_but_where_asked(spark, name):
-    text = plan(entry.queries()[name](spark, SF_DIR))
+    """In the plan of the result and in those of all that was written on the way."""
+    seen = executed(spark)
+    before = len(seen())
+    text = "".join([plan(PLANS[name](spark, SF_DIR)), *seen()[before:]])
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert ("EvalPython" in text) == (name == "parallel_map")
+    assert not ("SortAggregate" in text and name.startswith(("crawl", "link", "frontier", "snapshot")))
+
+
+def test_a_title_is_looked_up_without_links(spark):
+    assert "href" not in plan(PLANS["snapshot_lookup"](spark, SF_DIR))
+
+
+def test_a_cap_sorts_no_more_rows_than_it_keeps(spark):
+    rows = spark.range(5_000).select(F.col("id").cast("string").alias("url"))
+    seen = executed(spark)
+    before = len(seen())
+    first = first_rows(rows, "url", 700, sorted_rows=0)
+    assert first.count() == 700
+    assert not any("TakeOrdered" in text for text in seen()[before:])
 
 
 def test_scans_read_only_what_is_asked(spark):

@@ -34,12 +34,12 @@ def test_table_format_without_its_jar_is_refused(spark):
         sink.versioned_table(spark.range(5), fresh_dir(spark, "d"))
 
 
-def test_report_is_one_file_until_it_is_large(spark):
+def test_report_has_the_files_it_is_asked_for(spark):
     lines = spark.range(100).repartition(4).select(F.col("id").cast("string").alias("line"))
     path = fresh_dir(spark, "report")
-    sink.text_report(lines, path)
+    sink.text_report(lines, path, shards=1)
     assert part_files(spark, path) == 1
-    sink.text_report(lines, path, one_shard_rows=99)
+    sink.text_report(lines, path)
     assert part_files(spark, path) > 1
     assert source.text_lines(spark, path).count() == 100
     assert lines_per_file(source.text_lines(spark, path)).agg(F.sum("n")).first()[0] == 100
@@ -65,7 +65,23 @@ def test_dated_json_lines_keep_runs_apart(spark):
 def test_managed_table_is_replaced(spark):
     for n in (3, 5):
         sink.managed_table(spark.range(n), "replaced", fresh_dir(spark, "replaced"))
-    assert source.named_table(spark, "replaced").count() == 5
+    assert spark.table("replaced").count() == 5
+
+
+def test_a_failed_rebuild_leaves_the_table(spark):
+    path = fresh_dir(spark, "kept")
+    sink.managed_table(spark.range(3), "kept", path)
+    broken = spark.range(5).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sink.managed_table(broken, "kept", path)
+    assert spark.table("kept").count() == 3
+
+
+def test_a_table_rebuilt_from_itself(spark):
+    path = fresh_dir(spark, "own")
+    sink.managed_table(spark.range(3), "own", path)
+    sink.managed_table(spark.sql("SELECT id, id * 2 AS twice FROM own"), "own", path)
+    assert sorted(map(tuple, spark.table("own").collect())) == [(0, 0), (1, 2), (2, 4)]
 
 
 def records(spark, low, high):
