@@ -51,7 +51,7 @@ def _place() -> Column:
     )
 
 
-def run_stream(spark: SparkSession, path: str, work: str, digest=sha256_hex, batch_bytes: str | None = None) -> DataFrame:
+def run_stream(spark: SparkSession, path: str, work: str, digest=sha256_hex, batch_bytes: int | None = None) -> DataFrame:
     """Entries of the state once the stream has read all there is: ``digest``, ``first``, ``n``.
 
     ``batch_bytes`` bounds a batch; a restart with the same ``work`` goes on where it stopped.
@@ -94,7 +94,7 @@ def run_stream(spark: SparkSession, path: str, work: str, digest=sha256_hex, bat
     return entries.groupBy("digest").agg(latest).select("digest", "entry.*")
 
 
-def decide(spark: SparkSession, path: str, digest=sha256_hex, batch_bytes: str | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+def decide(spark: SparkSession, path: str, digest=sha256_hex, batch_bytes: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
     """``DECISION`` and ``place`` for every row of the Parquet files at ``path``."""
     work = fresh_dir(spark, "exact-dedup")
     entries = run_stream(spark, path, work, digest, batch_bytes)

@@ -98,7 +98,7 @@ def test_exact_copies(spark, digest):
     """With a digest that nearly all texts share, the bytes decide."""
     path = fresh_dir(spark, "docs")
     frame(spark, COPIES).write.parquet(path)
-    got = exact_dedup.decide(spark, path, digest=digest, batch_bytes="1b", small_rows=0).collect()
+    got = exact_dedup.decide(spark, path, digest=digest, batch_bytes=1, small_rows=0).collect()
     groups = {}
     for doc_id, body in COPIES:
         groups.setdefault(folded(body), []).append(doc_id)
