@@ -166,7 +166,7 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     The rows land as files first, since a stream reads files.
     """
     spark, path = docs.sparkSession, fresh_dir(docs.sparkSession, "landed")
-    docs.write.parquet(path)
+    docs.write.option("compression", "zstd").parquet(path)
     dropped = decide(spark, path).filter("NOT kept").select(
         F.col("place.file").alias("_file"), F.col("place.row").alias("_row")
     )

@@ -388,7 +388,9 @@ def _grouped(docs: DataFrame, work: str, size: int, percent: int, block_rows: in
     sketched = stored(sketch(docs, size), "sketched")
     named = sketched.filter("dg1 IS NOT NULL")
     firsts = named.groupBy("dg1", "dg2").agg(F.min("doc").alias("node"), F.count("*").alias("c"))
-    same = named.select("doc", "dg1", "dg2").join(firsts.filter("c > 1"), ["dg1", "dg2"])
+    # A digest that most rows have is on the side of the join that can be split.
+    repeated = stored(firsts.filter("c > 1").select("dg1", "dg2", "node"), "repeated")
+    same = named.select("doc", "dg1", "dg2").join(_small(repeated, small_rows), ["dg1", "dg2"])
     copies = stored(same.filter("doc <> node").select("doc", "node"), "copies")
     others = named.join(_small(copies.select("doc"), small_rows), "doc", "left_anti")
     nodes = others.select(F.col("doc").alias("node"), F.col("n_shingles").alias("n"), "registers")
