@@ -119,4 +119,5 @@ def consume(spark: SparkSession, topic: Topic, max_messages: int) -> DataFrame:
     """
     places = topic.batch(spark).select("partition", "offset")
     first = places.orderBy("partition", "offset").limit(max_messages).collect()
-    return topic.records(spark, [(row["partition"], row["offset"]) for row in first])
+    found = topic.records(spark, [(row["partition"], row["offset"]) for row in first])
+    return found.orderBy("partition", "offset")

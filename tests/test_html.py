@@ -61,7 +61,7 @@ DOCUMENTS = [
     ('<p x="><a href=no>" y><a href=yes>', "", ["yes"]),
     ("<![CDATA[x]]><?php x ?><a href=y>", "", ["y"]),
     ("<![CDATA[<title>c</title>]]><title>d</title>", "d", []),
-    ("<?php <title>e</title> ?><title>f</title>", "e", []),
+    ("<?php <title>e</title> ?><title>f</title>", "f", []),
     ("<!foo <a href=n>><a href=m>", "", ["m"]),
 ]
 
