@@ -88,21 +88,22 @@ def read_pages(
 ) -> DataFrame:
     """The pages a snapshot holds: ``url``, ``final_url`` and ``columns``, each ``url`` once.
 
-    Of several rows with one address the one with the smallest ``order``, a whole number without
-    repeats, counts; if that fetch failed, the address has no page.  The rows that lose are found
+    Of several rows with one address the one with the smallest ``order``, a column without repeats
+    among them, counts; if that fetch failed, the address has no page.  The rows that lose are found
     on addresses and numbers alone and are few; documents are read where they lie, and only those
     whose ``url`` passes ``scope`` are parsed.
     """
     spark, path = snapshot.sparkSession, fresh_dir(snapshot.sparkSession, "losers")
-    names = keyed(snapshot).select(F.col("key").alias("url"), F.col(order).cast("bigint").alias("_order"))
-    firsts = names.groupBy("url").agg(F.min("_order").alias("_first"), F.count("*").alias("_n"))
-    copies = names.join(firsts.filter("_n > 1"), "url").filter("_order > _first")
-    copies.select(F.col("_order").alias(order)).write.parquet(path)
-    losers = spark.read.parquet(path)
-    rows = snapshot.join(losers, order, "left_anti")
+    rows = keyed(snapshot)
+    names = rows.select("key", order)
+    firsts = names.groupBy("key").agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+    copies = names.join(firsts.filter("_n > 1"), "key").filter(F.col(order) > F.col("_first"))
+    copies.select("key", order).distinct().write.parquet(path)
+    losers = spark.read.schema(names.schema).parquet(path)
+    rows = rows.join(losers, ["key", order], "left_anti")
     if scope is not None:
-        inside = scope(keyed(rows).drop("url").withColumnRenamed("key", "url"))
-        rows = inside.select(*snapshot.columns)
+        rows = scope(rows.drop("url").withColumnRenamed("key", "url"))
+    rows = rows.select(*snapshot.columns)
     found = parsed(rows, columns=columns)
     return found.filter("page IS NOT NULL").select("url", "page.*")
 

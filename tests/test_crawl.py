@@ -142,6 +142,12 @@ def test_first_row_of_copies_counts(spark):
     assert (copy["title"], copy["links"]) == ("C", ["http://other.net/moved/e", "http://ex.org/e"])
 
 
+def test_a_copy_that_loses_takes_no_other_row_along(spark):
+    rows = [page(1, "http://ex.org/a?1", title="first"), page(9, "http://ex.org/a?2"), page(9, "http://ex.org/b")]
+    pages = read_pages(spark.createDataFrame(rows, SCHEMA), "id").collect()
+    assert {(p["url"], p["title"]) for p in pages} == {("http://ex.org/a", "first"), ("http://ex.org/b", "t")}
+
+
 def brute_force(rows, seeds, max_depth, max_pages):
     links = {}
     for _, url, _, status, html in sorted(rows, reverse=True):

@@ -39,7 +39,7 @@ def test_no_cross_joins_and_no_python_but_where_asked(spark, name):
     text = "".join([plan(PLANS[name](spark, SF_DIR)), *seen()[before:]])
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert ("EvalPython" in text) == (name == "parallel_map")
-    assert not ("SortAggregate" in text and name.startswith(("crawl", "link", "frontier", "snapshot")))
+    assert not ("SortAggregate" in text and name.startswith(("crawl", "link", "snapshot", "jsonl")))
 
 
 def test_a_title_is_looked_up_without_links(spark):
