@@ -98,6 +98,9 @@ def decide(spark: SparkSession, path: str, digest=sha256_hex, batch_bytes: int |
     """``DECISION`` and ``place`` for every row of the Parquet files at ``path``."""
     work = fresh_dir(spark, "exact-dedup")
     entries = run_stream(spark, path, work, digest, batch_bytes)
+    # As a table, so that the join below can split a digest that most rows have.
+    entries.write.parquet(f"{work}/entries")
+    entries = spark.read.schema(entries.schema).parquet(f"{work}/entries")
     rows = spark.read.parquet(path).select("doc_id", "text", _place().alias("place"))
     found = rows.select(digest(folded(F.col("text"))).alias("digest"), "doc_id", "place")
     told = found.join(entries, "digest")
