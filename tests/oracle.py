@@ -51,7 +51,7 @@ def main() -> None:
     from millrace.session import build_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    chosen = sys.argv[2:] or list(entry.queries())
+    chosen = sys.argv[2:] or list(entry.oracle_sql())
     spark = build_session(
         "oracle", "local[8]", {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"}
     )
