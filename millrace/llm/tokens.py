@@ -1,14 +1,16 @@
 """Token ids of whole texts from a public vocabulary file.
 
-Every id comes from the ``tokenizers`` library.  A text is cut before spaces that follow a
-character other than white space; the vocabulary's splitting pattern never joins such a
-character to a space, so the ids of the parts are the ids of the text.  A worker keeps the ids
-of parts it has met, since words repeat; parts are told apart by 128 bits of hash.
+Every id comes from the ``tokenizers`` library.  A text is first split at the added tokens of
+the file, whose ids stand for them, as the library does.  What lies between is cut before spaces
+that follow a character other than white space; the vocabulary's splitting pattern never joins
+such a character to a space, so the ids of the parts are the ids of the text.  A worker keeps the
+ids of parts it has met, since words repeat; parts are told apart by 128 bits of hash.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -59,6 +61,9 @@ class PartEncoder:
 
     def __init__(self, tokenizer, kept_parts: int = KEPT_PARTS) -> None:
         self.tokenizer, self.kept_parts = tokenizer, kept_parts
+        self._added_ids = _added_ids(tokenizer)
+        longest_first = sorted(self._added_ids, key=len, reverse=True)
+        self._added = re.compile(b"(" + b"|".join(map(re.escape, longest_first)) + b")")
         self._keys = np.empty((0, 2), np.uint64)  # sorted by the first hash
         self._at, self._n = np.empty(0, np.int64), np.empty(0, np.int64)
         self._used = np.empty(0, bool)
@@ -86,6 +91,18 @@ class PartEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text (UTF-8), unsigned 32-bit; an empty text has none."""
+        if not self._added_ids:
+            return self._between(texts)
+        split = [self._added.split(text) for text in texts]  # an added token in every other place
+        between = iter(self._between([part for parts in split for part in parts[::2]]))
+        out = []
+        for parts in split:
+            ids = [self._added_ids[part] if i % 2 else next(between) for i, part in enumerate(parts)]
+            out.append(np.concatenate(ids) if len(ids) > 1 else ids[0])
+        return out
+
+    def _between(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of texts that hold no added token."""
         if len(self._keys) > self.kept_parts:
             self._shrink()
         buf = np.frombuffer(b"".join(texts), np.uint8)
@@ -133,6 +150,17 @@ class PartEncoder:
         self._used = np.insert(self._used, place, False)
 
 
+def _added_ids(tokenizer) -> dict[bytes, np.ndarray]:
+    """The id of each added token, by its bytes; they are found as they are written."""
+    found = {}
+    for number, token in tokenizer.get_added_tokens_decoder().items():
+        folded = token.normalized and tokenizer.normalizer is not None
+        if token.single_word or token.lstrip or token.rstrip or folded:
+            raise ValueError(f"the added token {token.content!r} does not stand for its own bytes alone")
+        found[token.content.encode()] = np.array([number], np.uint32)
+    return found
+
+
 def _ragged(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places ``at[i] .. at[i] + n[i] - 1``, one after the other."""
     total = np.cumsum(n)
@@ -154,9 +182,7 @@ def encoder(path: str) -> PartEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return PartEncoder(tokenizer)
+    return PartEncoder(Tokenizer.from_file(path))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

@@ -1,8 +1,10 @@
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import AddedToken, Tokenizer
 
 from millrace.llm.spans import Words, fold_table, span_hashes
 from millrace.llm.suffix_array import long_common_prefixes, suffix_array
@@ -40,6 +42,40 @@ def test_an_encoder_that_forgets_gives_the_same():
     assert first == [ids.tolist() for ids in encoder(vocabulary_path()).encode(texts)]
 
 
+END = "<|endoftext|>"
+WITH_ADDED = [
+    END, END * 3, f"a b{END}c d", f"x {END} y", f" {END}\n\n{END} ", f"a\n{END}b", f"{END[:-1]}{END}{END[1:]}",
+    "<|endoftext|", "<|ENDOFTEXT|>", f"é\u00a0{END}\u3000é", f"{'x' * 600} {END}{'y' * 600}", "", "plain text",
+]
+
+
+def same_as_untouched_library(texts):
+    theirs = Tokenizer.from_file(vocabulary_path()).encode_batch(texts, add_special_tokens=False)
+    got = encoder(vocabulary_path()).encode([t.encode() for t in texts])
+    assert [ids.tolist() for ids in got] == [want.ids for want in theirs]
+    assert {ids.dtype for ids in got} == {np.dtype(np.uint32)}
+
+
+def test_ids_of_texts_with_added_tokens():
+    assert encoder(vocabulary_path()).encode([b"a b<|endoftext|>c d"])[0].tolist() == [64, 275, 50256, 66, 288]
+    same_as_untouched_library(WITH_ADDED + ODD)
+    for text in WITH_ADDED + ODD:
+        same_as_untouched_library([text])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([END, "<|", "|>", " ", "  ", "\n", "a", "é", "1", ".", "'s"]), max_size=9), min_size=1, max_size=4))
+def test_random_ids_with_added_tokens(texts):
+    same_as_untouched_library(["".join(parts) for parts in texts])
+
+
+def test_added_tokens_that_are_not_their_bytes_are_refused():
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    tokenizer.add_tokens([AddedToken("<x>", lstrip=True, normalized=False)])
+    with pytest.raises(ValueError, match="<x>"):
+        PartEncoder(tokenizer)
+
+
 def test_words_and_their_hashes():
     table = fold_table(lambda b: b >= 128 or chr(b).isalnum())
     texts = ["The  the, THE é9!", "", "...", "x" * 200_000 + " x"]

@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from millrace.llm import decontamination, language_id, main_text, packing, queries, token_files, url_filter, warc
@@ -231,6 +232,21 @@ def test_archives_of_no_pages(spark):
 FILE_DOCS = [(5, "a b c"), (1, None), (3, ""), (2, "é" * 3000), (9, "word " * 20_000), (7, "x"), (3, "again"), (None, "none")]
 
 
+def test_an_added_token_in_a_text_is_one_id(spark):
+    docs = [(0, "a b<|endoftext|>c d"), (1, "plain"), (2, "<|endoftext|>" * 50)]
+    path = fresh_dir(spark, "tokens")
+    token_files.write(frame(spark, docs), path, vocabulary_path(), 0)
+    untouched = Tokenizer.from_file(vocabulary_path())
+    ids = [untouched.encode(text, add_special_tokens=False).ids for _, text in docs]
+    start, expected = 0, []
+    for (doc_id, _), own in zip(docs, ids):
+        expected.append((doc_id, start, len(own) + 1, zlib.crc32(np.array([*own, 0], "<u4").tobytes())))
+        start += len(own) + 1
+    assert sorted(map(tuple, token_files.digests(spark, path).collect())) == expected
+    got = packing.pieces(frame(spark, docs), vocabulary_path(), 32, 2).groupBy("doc_id").sum("length").collect()
+    assert sorted(map(tuple, got)) == [(doc_id, len(own) + 1) for (doc_id, _), own in zip(docs, ids)]
+
+
 def test_token_files_round_trip(spark):
     path = fresh_dir(spark, "tokens")
     token_files.write(frame(spark, FILE_DOCS), path, vocabulary_path(), 0)
