@@ -79,14 +79,16 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 class Words:
     """The words of several texts: a hash each, their spans, and which text they are of.
 
-    ``table`` gives for each byte its folded value, 0 for a byte that separates words.
+    ``table`` gives for each byte its folded value and whether it belongs to words; a zero byte may.
     """
 
     def __init__(self, texts: list[bytes], table: np.ndarray) -> None:
-        gap = np.flatnonzero(table == 0)[0]
-        self.bytes = table[np.frombuffer(bytes([gap]).join([*texts, b""]), np.uint8)]
+        folded, in_word = table
+        gap = np.flatnonzero(in_word == 0)[0]
+        raw = np.frombuffer(bytes([gap]).join([*texts, b""]), np.uint8)
+        self.bytes = folded[raw]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        edges = np.diff(np.concatenate(([0], self.bytes != 0, [0])).astype(np.int8))
+        edges = np.diff(np.concatenate(([0], in_word[raw], [0])).astype(np.int8))
         self.starts, self.ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         first = np.searchsorted(self.starts, np.concatenate(([0], np.cumsum(sizes))))
         self.first, self.counts = first[:-1], np.diff(first)
@@ -105,6 +107,6 @@ class Words:
 
 
 def fold_table(is_word) -> np.ndarray:
-    """A table for ``Words``: A-Z in lower case, 0 for bytes that ``is_word`` refuses."""
+    """A table for ``Words``: bytes with A-Z in lower case, and 1 for those that ``is_word`` takes."""
     lower = [b + 32 if 65 <= b <= 90 else b for b in range(256)]
-    return np.array([b if is_word(b) else 0 for b in lower], np.uint8)
+    return np.array([lower, [bool(is_word(b)) for b in lower]], np.uint8)

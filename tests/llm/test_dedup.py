@@ -202,6 +202,15 @@ def test_a_hot_group_of_near_copies(spark):
     assert all(got[i] == (0 if i < 1000 else i) for i, _ in rows)
 
 
+def test_zero_bytes_belong_to_words():
+    bodies = ["a\0 b a\x01 b", "a\0 b a\0 b", "\0 \x01 \0", "\0", "\x01", "x\0y xy x\x01y", "a\0", "a"]
+    sets = shingle_sets([b.encode() for b in bodies], 2)
+    assert [len(s) for s in sets] == [len(shingles(b, 2)) for b in bodies]
+    for a, x in zip(bodies, sets):
+        for b, y in zip(bodies, sets):
+            assert len(set(x.tolist()) & set(y.tolist())) == len(shingles(a, 2) & shingles(b, 2))
+
+
 def test_sketches_agree_with_sets():
     rng = random.Random(6)
     bodies = [text(rng, n).encode() for n in (1, 5, 50, 500)]
