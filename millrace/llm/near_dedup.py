@@ -14,7 +14,8 @@ matrix products of bounded blocks; and where a band holds nodes of several clust
 sketches are compared across clusters, and what is near is decided on the full sets.  Nodes
 already joined are not paired at all.
 
-With 50 bands of 6 registers, a pair at similarity 0.8 shares no band with probability 2.5e-7.
+With 50 bands of 6 registers, a pair at similarity 0.8 shares no band with probability 2.5e-7, and
+one above it with less.  Below 0.8 the bands would lose links, so a smaller percent is refused.
 
 Defined cases: a null or empty text, or one without a word, has an empty set and is linked with
 nothing; one word is a set of one; copies share a node; rows that repeat a ``doc_id`` are rows of
@@ -41,6 +42,7 @@ from millrace.scratch import fresh_dir
 BANDS = 50
 ROWS = 6
 REGISTERS = BANDS * ROWS
+LEAST_PERCENT = 80  # what the bands are made for
 MANTISSA = 10
 PROBES = 16
 MARGIN = 5.5
@@ -380,6 +382,8 @@ def _grouped(docs: DataFrame, work: str, size: int, percent: int, block_rows: in
     ``docs``: ``doc`` (a number of its own for each row), ``doc_id``, ``text``.
     """
     spark = docs.sparkSession
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"the bands find pairs at {LEAST_PERCENT} to 100 percent, not at {percent}")
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{work}/{name}")

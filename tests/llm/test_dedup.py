@@ -211,6 +211,13 @@ def test_zero_bytes_belong_to_words():
             assert len(set(x.tolist()) & set(y.tolist())) == len(shingles(a, 2) & shingles(b, 2))
 
 
+@pytest.mark.parametrize("percent", [0, 50, 79, 101])
+@pytest.mark.parametrize("operator", [near_dedup.groups, near_dedup.kept_rows])
+def test_a_percent_that_bands_are_not_made_for_is_refused(spark, operator, percent):
+    with pytest.raises(ValueError, match=f"not at {percent}"):
+        operator(frame(spark, [(1, "a b c"), (2, "a b d")]), 2, percent)
+
+
 def test_sketches_agree_with_sets():
     rng = random.Random(6)
     bodies = [text(rng, n).encode() for n in (1, 5, 50, 500)]
