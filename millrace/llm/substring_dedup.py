@@ -45,7 +45,7 @@ HOT_CELLS = 20_000
 PARTS_PER_PARTITION = 4
 SMALL_ROWS = 100_000
 
-ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("s", "<u4"), ("n", "u1"), ("told", "u1")])
+ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("s", "<u4"), ("n", "<u4"), ("told", "u1")])
 ANCHORS = "part int, entries binary, doc bigint, s bigint, n int, h bigint"
 FLAGGED = "doc bigint, s bigint, n int, h bigint"
 CELLS = "h bigint, dg1 bigint, dg2 bigint, doc bigint, s bigint, n int, bytes binary"

@@ -53,6 +53,15 @@ def brute_removed(rows, span):
     return out
 
 
+def test_repeats_of_a_long_span(spark):
+    rng = random.Random(3)
+    rows = [(i, bytes(rng.choices(b"abcdefgh", k=3000)).decode()) for i in range(12)]
+    rows += [(100 + i, f"{i}{rows[i][1][i : 1500 + i]}{i}") for i in range(12)]
+    rows += [(200, "z" * 2000), (201, "z" * 399), (202, "z" * 400)]
+    got = substring_dedup.deduplicate(frame(spark, rows), span=400).collect()
+    assert sorted(map(tuple, got)) == brute_removed(rows, 400)
+
+
 @pytest.mark.parametrize("options", [{}, {"hot_cells": 2, "shard_bytes": 2000, "small_rows": 0}])
 def test_repeated_bytes(spark, options):
     rows = corpus(1)
