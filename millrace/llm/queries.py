@@ -9,9 +9,13 @@ from millrace.llm import (
     decontamination,
     exact_dedup,
     language_id,
+    license_scan,
     main_text,
+    manifest,
     near_dedup,
     packing,
+    resampling,
+    sql,
     substring_dedup,
     token_files,
     url_filter,
@@ -92,9 +96,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, path)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.report(*license_scan.scan(docs))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return resampling.report(resampling.draw(docs, target))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return manifest.Manifest.build(docs, manifest.lowered_every_third()).audit()
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_array_dedup, op2_decontamination, op3_best_fit_packing, op4_exact_dedup, op5_url_filter, op6_minhash_near_dedup, op7_language_id, op8_warc, op9_main_text, op10_token_files)
+    for f in (op1_suffix_array_dedup, op2_decontamination, op3_best_fit_packing, op4_exact_dedup, op5_url_filter, op6_minhash_near_dedup, op7_language_id, op8_warc, op9_main_text, op10_token_files, op11_license_scan, op12_importance_resampling, op13_merkle_manifest)
 }
 
 ORACLES = {
@@ -174,4 +193,7 @@ ORACLES = {
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept,
                sha256(t) AS text_sha256
         FROM folded""",
+    "op11_license_scan": sql.license_scans(),
+    "op12_importance_resampling": sql.importance_resampling(),
+    "op13_merkle_manifest": sql.merkle_manifest(),
 }
