@@ -33,6 +33,8 @@ PLAIN_RELATIVE = (
 )
 IPV6_AUTHORITY = r"\A\[[0-9A-Fa-f:.%]+\](?::.*)?\z"
 
+HOST_CHARS = 253  # no host name is longer, so the entries of a list are bounded in bytes too
+
 
 def _clean(url: Column) -> Column:
     """``url`` without the characters that never count."""
@@ -92,9 +94,12 @@ def url_origin(url: Column) -> Column:
 
 
 def domain_list(domains: str | Iterable[str]) -> list[str]:
-    """Allowed domains in lower case, from a white-space-separated string or a list."""
+    """Allowed domains in lower case, from a white-space-separated string or a list.
+
+    Entries longer than any host name can be are left out, as they are of a list in a table.
+    """
     given = domains.split() if isinstance(domains, str) else list(domains)
-    return sorted({d.lower() for d in given} - {""})
+    return sorted({d.lower() for d in given if 0 < len(d) <= HOST_CHARS})
 
 
 def host_allowed(url: Column, domains: str | Iterable[str]) -> Column:

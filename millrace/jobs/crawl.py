@@ -64,7 +64,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> Row:
         max_depth=args.max_depth,
         max_enqueue=args.max_enqueue,
     )
-    dated_json_lines(result.records, args.out, result.run_id, F.lit(result.run_ts))
+    dated_json_lines(result.records, args.out, result.run_id, result.run_ts)
     return result.manifest(args.out).first()
 
 

@@ -7,11 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.urls import host_suffixes, url_host
+from millrace.functions.urls import HOST_CHARS, host_suffixes, url_host
 from millrace.scratch import fresh_dir
 
 BROADCAST_DOMAINS = 200_000
-HOST_CHARS = 253  # no host name is longer, so the entries of a list are bounded in bytes too
 SALTS = 64
 
 

@@ -1,18 +1,19 @@
 """Breadth-first crawl over a table of page snapshots.
 
 One loop turn per depth, at most ``max_depth + 1`` of them; the driver sees counts, never
-addresses.  Each level is a written table in the shared folder: it cuts the lineage, it
-survives lost executors, and the levels together are the seen set.
+addresses.  What has been attempted is a stored table bucketed by address (``operators.seen``), and
+so is an index of the snapshot's addresses; a level is looked up in the one and checked against the
+other without moving either.  Documents are read and parsed only where a level wants them.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,19 +21,30 @@ from millrace.functions.messages import encode_json
 from millrace.functions.urls import domain_list, host_allowed
 from millrace.operators.allowlist import Allowlist
 from millrace.operators.caps import first_rows
-from millrace.operators.frontier import next_level, unseen
+from millrace.operators.frontier import first_visits, linked, unseen
+from millrace.operators.seen import SeenTable
 from millrace.scratch import fresh_dir
 from millrace.sources.rows import literal_rows, seed_urls
-from millrace.sources.web import look_up, read_pages
+from millrace.sources.web import PAGE_TYPES, address_rows, fetch, first_of_copies, has_places
 
 # Fixed value: the crawl's default.
 MAX_DEPTH = 2
 
 LITERAL_DOMAINS = 50
 
+NO_PAGE, EMPTY = "no page", "empty"
+
 ATTEMPT_SCHEMA = T.StructType(
     [T.StructField("url", T.StringType()), T.StructField("depth", T.IntegerType())]
 )
+WANTED_SCHEMA = T.StructType(
+    [
+        *ATTEMPT_SCHEMA.fields,
+        T.StructField("file", T.StringType()),
+        T.StructField("row", T.LongType()),
+        T.StructField("reason", T.StringType()),
+    ]
+)
 FETCHED_SCHEMA = T.StructType(
     [
         *ATTEMPT_SCHEMA.fields,
@@ -55,11 +67,12 @@ RECORD_SCHEMA = T.StructType(
 class Crawl:
     """What a crawl left behind.
 
-    ``attempts`` is ``(url, depth)`` and ``fetched`` adds ``final_url``, ``title`` and ``links``;
-    both have one row per address, and an attempt without a fetched row failed.  ``links`` is
+    ``attempts`` is ``(url, depth, reason)`` and ``fetched`` has ``url``, ``depth``, ``final_url``,
+    ``title`` and ``links``; both have one row per address, and an attempt without a fetched row failed,
+    for its ``reason`` or, where that is NULL, since its body is empty.  ``links`` is
     NULL at the last depth, where none are followed.  ``run_ts`` is when the run began.
     ``left_by_pages`` and ``left_by_queue`` count the addresses that the two caps left out, once
-    for each level that would have visited them.
+    for each level that would have visited them; ``parsed`` counts the documents that were parsed.
     """
 
     attempts: DataFrame
@@ -69,14 +82,23 @@ class Crawl:
     left_by_pages: int = 0
     left_by_queue: int = 0
     seconds: float = 0.0
+    parsed: int = 0
+
+    @property
+    def _told(self) -> DataFrame:
+        got = self.fetched.select("url", F.lit(True).alias("got"))
+        return self.attempts.join(got, "url", "left").withColumn("got", F.coalesce("got", F.lit(False)))
 
     @property
     def visits(self) -> DataFrame:
         """``url``, ``depth`` and whether the fetch gave a page."""
-        got = self.fetched.select("url", F.lit(True).alias("got"))
-        return self.attempts.join(got, "url", "left").select(
-            "url", "depth", F.coalesce("got", F.lit(False)).alias("fetched")
-        )
+        return self._told.select("url", "depth", F.col("got").alias("fetched"))
+
+    @property
+    def failures(self) -> DataFrame:
+        """``url`` and ``reason`` of every attempt without a page."""
+        reason = F.coalesce("reason", F.lit(EMPTY)).alias("reason")
+        return self._told.filter(~F.col("got")).select("url", reason)
 
     @property
     def records(self) -> DataFrame:
@@ -97,13 +119,24 @@ class Crawl:
         return self.records.select(encode_json(*RECORD_SCHEMA.names).alias("value"))
 
     def manifest(self, destination: str = "") -> DataFrame:
-        """One row of counters for the run."""
-        marks = self.attempts.select(F.lit(False).alias("got")).unionByName(
-            self.fetched.select(F.lit(True).alias("got"))
-        )
-        counted = marks.agg(
-            F.count_if(~F.col("got")).alias("attempted"), F.count_if("got").alias("fetched")
+        """One row of counters for the run, with its failures by reason in the map ``errors``."""
+        page, got = "page", "fetched"
+        marks = self.attempts.select(F.coalesce("reason", F.lit(page)).alias("mark"))
+        counts = marks.unionByName(self.fetched.select(F.lit(got).alias("mark"))).groupBy("mark").count()
+
+        def total(which: Column) -> Column:
+            return F.coalesce(F.sum(F.when(which, F.col("count"))), F.lit(0))
+
+        mark = F.col("mark")
+        counted = counts.agg(
+            total(mark != got).alias("attempted"),
+            total(mark == got).alias("fetched"),
+            total(mark == page).alias("_pages"),
+            # As many as there are reasons, which are few.
+            F.collect_list(F.when(~mark.isin(page, got), F.struct("mark", "count"))).alias("_told"),
         )
+        empty = F.struct(F.lit(EMPTY).alias("mark"), (F.col("_pages") - F.col("fetched")).alias("count"))
+        told = F.filter(F.concat("_told", F.array(empty)), lambda e: e["count"] > 0)
         return counted.select(
             F.lit(self.run_id).alias("run_id"),
             "attempted",
@@ -113,6 +146,7 @@ class Crawl:
             F.lit(self.left_by_pages).cast("bigint").alias("left_by_pages"),
             F.lit(self.left_by_queue).cast("bigint").alias("left_by_queue"),
             F.lit(destination).alias("destination"),
+            F.map_from_entries(F.array_sort(told)).alias("errors"),
         )
 
 
@@ -127,6 +161,8 @@ def crawl(
     run_ts: int | None = None,
     run_id: str | None = None,
     earlier: DataFrame | None = None,
+    seen: SeenTable | None = None,
+    types: Sequence[str] | None = PAGE_TYPES,
 ) -> Crawl:
     """Visit allowed addresses breadth first, each once, at its smallest depth.
 
@@ -135,76 +171,99 @@ def crawl(
     a text column ``seeds``.  ``allowed`` is a string or list of domains, or a frame with a
     column ``domain``.  ``max_pages`` bounds attempts, failures included; ``max_enqueue``
     bounds the addresses waiting for the next level; both take the smallest addresses first,
-    so runs agree, and without a number there is no cap.  ``earlier`` holds the ``url`` of what
-    earlier runs attempted, which this one does not.  Only pages within ``allowed`` are parsed
-    and stored, since no other address can be looked up.
+    so runs agree, and without a number there is no cap.
+
+    ``seen`` is the table of what earlier runs attempted, which this one does not; it is left with
+    this run's attempts, in place of those of an earlier run with its ``run_id``.  ``earlier`` holds the
+    ``url`` of more addresses to leave out.  Documents of other ``types`` fail without being parsed;
+    None takes all.  A snapshot whose rows cannot be told by file and place is stored once.
     """
     spark = snapshot.sparkSession
     began = time.time()
+    run_id = run_id or uuid.uuid4().hex
     work = fresh_dir(spark, "crawl")
     if isinstance(seeds, str):
         seeds = literal_rows(spark, [(seeds,)], "seeds string")
+    if not has_places(snapshot):
+        snapshot.write.parquet(f"{work}/snapshot")
+        snapshot = spark.read.schema(snapshot.schema).parquet(f"{work}/snapshot")
 
-    attempted = left_by_pages = left_by_queue = 0
-    attempted_paths: list[str] = []
+    attempted = left_by_pages = left_by_queue = documents = 0
+    wanted_paths: list[str] = []
     fetched_paths: list[str] = []
     in_scope = _scope(spark, allowed)
-    pages, forget_pages = _stored_pages(read_pages(snapshot, order, scope=in_scope), f"{work}/pages")
+    own_table = seen is None
+    seen = seen or SeenTable.open(spark, f"{work}/seen")
+    index, forget_index = _stored_index(address_rows(snapshot, order, types), in_scope, seen.buckets, f"{work}/index")
     try:
         fresh = (lambda urls: urls) if earlier is None else (lambda urls: unseen(urls, earlier))
         frontier = fresh(in_scope(seed_urls(seeds)))
+        if not own_table:
+            frontier = seen.unseen(frontier, without_run=run_id)
         for depth in range(max_depth + 1):
             room = None if max_pages is None else max_pages - attempted
             waiting = None if depth == 0 else max_enqueue
-            path, size, found_size = _stored_level(frontier, room, waiting, f"{work}/level-{depth}")
+            if depth == 0 or room is not None or waiting is not None:
+                level, size, found_size = _capped(frontier, room, waiting, f"{work}/level-{depth}")
+                (seen.add if depth else seen.start)(level, run_id)
+            else:
+                size = found_size = seen.add(frontier, run_id)
             queued = found_size if waiting is None else min(found_size, waiting)
             left_by_queue += found_size - queued
             left_by_pages += queued - size
-            attempted_paths.append(path)
             attempted += size
 
-            fetched_paths.append(f"{work}/fetched-{depth}")
-            level = spark.read.schema(ATTEMPT_SCHEMA).parquet(path)
-            found = look_up(level, pages)
-            if depth == max_depth:
-                found = found.drop("links")
-            found.write.parquet(fetched_paths[-1])
-            if size == 0 or depth == max_depth or attempted == max_pages:
+            wanted_paths.append(f"{work}/wanted-{depth}")
+            reason = F.when(F.col("file").isNull(), NO_PAGE).otherwise(F.col("reason")).alias("reason")
+            looked_up = seen.level(run_id, depth).join(index, "url", "left")
+            looked_up.select(*ATTEMPT_SCHEMA.names, "file", "row", reason).write.parquet(wanted_paths[-1])
+            wanted = spark.read.schema(WANTED_SCHEMA).parquet(wanted_paths[-1])
+            columns = ["title"] if depth == max_depth else ["title", "links"]
+            found = fetch(snapshot, wanted, f"{work}/fetched-{depth}", columns)
+            documents += found
+            fetched_paths += [f"{work}/fetched-{depth}"] if found else []
+            if not found or depth == max_depth or attempted == max_pages:
                 break
 
             fetched = spark.read.schema(FETCHED_SCHEMA).parquet(fetched_paths[-1])
-            seen = spark.read.schema(ATTEMPT_SCHEMA).parquet(*attempted_paths)
-            frontier = fresh(in_scope(next_level(fetched, seen)))
+            frontier = seen.unseen(fresh(in_scope(first_visits(linked(fetched)))))
     finally:
-        forget_pages()
+        forget_index()
+        if own_table:
+            seen.forget()
+    fetched = spark.read.schema(FETCHED_SCHEMA)
     return Crawl(
-        spark.read.schema(ATTEMPT_SCHEMA).parquet(*attempted_paths),
-        spark.read.schema(FETCHED_SCHEMA).parquet(*fetched_paths),
-        run_id or uuid.uuid4().hex,
+        spark.read.schema(WANTED_SCHEMA).parquet(*wanted_paths).select(*ATTEMPT_SCHEMA.names, "reason"),
+        fetched.parquet(*fetched_paths) if fetched_paths else literal_rows(spark, [], FETCHED_SCHEMA),
+        run_id,
         int(began) if run_ts is None else run_ts,
         left_by_pages,
         left_by_queue,
         time.time() - began,
+        documents,
     )
 
 
-def _stored_pages(pages: DataFrame, path: str) -> tuple[DataFrame, Callable[[], object]]:
-    """Pages written once, bucketed by address, so no level has to shuffle them again.
+def _stored_index(
+    rows: DataFrame, in_scope: Callable[[DataFrame], DataFrame], buckets: int, path: str
+) -> tuple[DataFrame, Callable[[], object]]:
+    """The snapshot's addresses in scope, each once, written bucketed, so no level has to shuffle them.
 
-    Only the table's name goes away at the end; the files stay with the run.
+    An address without a row in it is an attempt that finds no page.  Only the table's name goes away
+    at the end; the files stay with the run.
     """
-    spark = pages.sparkSession
-    name = f"crawl_pages_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = pages.repartition(buckets, "url")  # as the table's buckets are
-    spread.write.format("parquet").option("path", path).bucketBy(buckets, "url").saveAsTable(name)
-    return spark.table(name), lambda: spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark = rows.sparkSession
+    name = f"crawl_index_{uuid.uuid4().hex}"
+    first = first_of_copies(in_scope(rows)).repartition(buckets, "url")  # as the table's buckets are
+    first.write.format("parquet").option("path", path).bucketBy(buckets, "url").saveAsTable(name)
+    table = spark.table(name)
+    return table, lambda: spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _stored_level(
+def _capped(
     frontier: DataFrame, room: int | None, waiting: int | None, path: str
-) -> tuple[str, int, int]:
-    """Write the part of a frontier that may be visited; its path, its size and the frontier's.
+) -> tuple[DataFrame, int, int]:
+    """The part of a frontier that may be visited, stored; its size and the frontier's.
 
     The rows are counted while they are written.  A level is put in order only if it does not
     fit under the caps.
@@ -213,11 +272,8 @@ def _stored_level(
     frontier.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
     size = counted.get["n"]
     limit = min((n for n in (room, waiting) if n is not None), default=size)
-    if size <= limit:
-        return path, size, size
     stored = frontier.sparkSession.read.schema(ATTEMPT_SCHEMA).parquet(path)
-    first_rows(stored, "url", limit).write.parquet(f"{path}-capped")
-    return f"{path}-capped", limit, size
+    return (stored, size, size) if size <= limit else (first_rows(stored, "url", limit), limit, size)
 
 
 def _scope(

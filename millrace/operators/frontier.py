@@ -36,12 +36,6 @@ def with_seen(seen: DataFrame, visited: DataFrame) -> DataFrame:
     return seen.unionByName(visited.select(*seen.columns))
 
 
-def next_level(fetched: DataFrame, seen: DataFrame) -> DataFrame:
-    """Addresses linked from fetched pages and not yet seen, one level deeper.
-
-    Repeats go before the anti-join, so both of its sides have one row per address.
-    """
-    linked = fetched.select(
-        F.explode("links").alias("url"), (F.col("depth") + 1).alias("depth")
-    )
-    return unseen(first_visits(linked), seen)
+def linked(fetched: DataFrame) -> DataFrame:
+    """The addresses that fetched pages link to, repeats included, one level deeper."""
+    return fetched.select(F.explode("links").alias("url"), (F.col("depth") + 1).alias("depth"))

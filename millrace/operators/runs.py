@@ -7,32 +7,23 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import epoch_now
 from millrace.operators.crawl import Crawl
-from millrace.sources.web import keyed, was_fetched
+from millrace.sinks.files import replace_partitions
 
 RUNS = (
-    "run_id string, attempted bigint, fetched bigint, emitted bigint, failed bigint, "
-    "left_by_pages bigint, left_by_queue bigint, destination string, started bigint, seconds double, recorded bigint"
+    "attempted bigint, fetched bigint, emitted bigint, failed bigint, left_by_pages bigint, left_by_queue bigint, "
+    "destination string, errors map<string,bigint>, started bigint, seconds double, recorded bigint, run_id string"
 )
 
 
-def failures(run: Crawl, snapshot: DataFrame, order: str) -> DataFrame:
-    """``url`` and ``reason`` of every attempt without a page: ``no page``, ``status <n>`` or ``empty``.
-
-    Only addresses and states travel; the row that counts for an address is the crawl's.
-    """
-    state = F.when(was_fetched(), "ok").when(F.col("status") >= 400, F.concat(F.lit("status "), "status"))
-    rows = keyed(snapshot).select(F.col("key").alias("url"), order, state.otherwise("empty").alias("state"))
-    first = rows.groupBy("url").agg(F.min(F.struct(order, "state")).alias("row"))
-    failed = run.attempts.join(run.fetched.select("url"), "url", "left_anti")
-    return failed.join(first, "url", "left").select("url", F.coalesce("row.state", F.lit("no page")).alias("reason"))
-
-
 def by_reason(failed: DataFrame) -> DataFrame:
     return failed.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def append_run(run: Crawl, path: str, destination: str = "") -> None:
-    """Add the run's counters, its start, its duration and the time of writing to the table at ``path``."""
+def record_run(run: Crawl, path: str, destination: str = "") -> None:
+    """The run's counters, failures by reason, start, duration and time of writing in the table at ``path``.
+
+    A run that is repeated under its ``run_id`` replaces its own row and no other.
+    """
     row = run.manifest(destination).withColumns(
         {
             "started": F.lit(run.run_ts).cast("bigint"),
@@ -40,13 +31,19 @@ def append_run(run: Crawl, path: str, destination: str = "") -> None:
             "recorded": epoch_now(),
         }
     )
-    row.write.mode("append").parquet(path)
+    replace_partitions(row, path, "run_id")
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUNS).parquet(path)
 
 
+def errors(runs: DataFrame) -> DataFrame:
+    """``reason`` and ``n`` over all runs, from what each run noted."""
+    noted = runs.select(F.explode("errors").alias("reason", "n"))
+    return noted.groupBy("reason").agg(F.sum("n").alias("n"))
+
+
 def metrics(runs: DataFrame) -> DataFrame:
     """One row over all runs: how many, what they emitted, their error rate and their pace."""
     return runs.agg(

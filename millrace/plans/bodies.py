@@ -17,7 +17,6 @@ from millrace.operators.cleaning import clean_split, distinct_bodies
 from millrace.plans import sql_fragments as sql
 from millrace.plans.registry import query, table
 from millrace.scratch import fresh_dir
-from millrace.sources.web import of_type
 
 LEAST_CHARS = 200
 CLEAN = r"trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g'))"
@@ -89,14 +88,3 @@ def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = pages.filter("page_id % 2 = 1").select("page_id", "url", page_language(F.col("html")).alias("lang"))
     wide.write.mode("append").parquet(path)
     return spark.read.option("mergeSchema", "true").parquet(path).select("page_id", "url", "lang")
-
-
-TYPES = """CASE page_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'Application/XHTML+xml'
-           WHEN 2 THEN 'image/png' END"""
-
-
-@query("SELECT page_id FROM pages WHERE page_id % 4 <> 2")
-def content_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose type, where one is known, is a page's."""
-    typed = table(spark, sf_dir, "pages").select("page_id", F.expr(TYPES).alias("content_type"))
-    return of_type(typed).select("page_id")

@@ -3,7 +3,7 @@
 The links of the test pages all lead to addresses without a page, so a crawl of the
 table alone would stop at once.  The web here gives those addresses a page each: a
 *section*, which links on to its *archive*, back to the origin's *root* and out of scope;
-some sections fail.  Every derived page has a fixed number of links, and each origin's
+some sections fail, and some are no page but a document of another type.  Every derived page has a fixed number of links, and each origin's
 pages are entered from the seeds, so no page ever lists a whole origin.
 """
 
@@ -17,13 +17,14 @@ from millrace.operators import runs
 from millrace.operators.caps import head
 from millrace.operators.counts import row_count
 from millrace.operators.crawl import RECORD_SCHEMA, Crawl, crawl
+from millrace.operators.seen import SeenTable
 from millrace.plans import sql_fragments as sql
 from millrace.plans.registry import query, table
 from millrace.plans.web import ALLOWED, PAGE_CAP, seed_texts, snapshot
 from millrace.scratch import fresh_dir
 from millrace.sinks import files as sink
 from millrace.sources.tables import json_lines, parquet
-from millrace.sources.web import parsed
+from millrace.sources.web import parsed, read_pages, with_kind
 
 # Parameters of the registered crawls.
 MAX_DEPTH = 3
@@ -37,6 +38,7 @@ DERIVED_ORDER = 2**62
 NAME = "regexp_extract(url, '([^/]*)$', 1)"
 SECTION = f"""named_struct(
     'url', url, 'final_url', CAST(NULL AS STRING), 'status', IF(url LIKE '%e', 404, 200),
+    'content_type', CASE WHEN url LIKE '%n' THEN 'Application/PDF' WHEN url LIKE '%r' THEN 'text/html' END,
     'html', IF(url LIKE '%s', '', concat(
         '<html><head><!-- <title>x</title> --><title> Section ', {NAME},
         ' &amp; more</title></head><body><a class=up href=".">up</a><a href="', {NAME},
@@ -44,21 +46,22 @@ SECTION = f"""named_struct(
         '<a href="mailto:info@example.org">mail</a></body></html>')))"""
 ARCHIVE = """named_struct(
     'url', concat(url, '/archive'), 'final_url', concat(url, '/archive/index.html?all=1'),
-    'status', 200,
+    'status', 200, 'content_type', 'Text/HTML; charset=utf-8',
     'html', '<title>Archive</title><a href="?page=2">next</a><a href=older>older</a>')"""
 ROOT = """named_struct(
     'url', url, 'final_url', CAST(NULL AS STRING), 'status', CAST(NULL AS INT),
+    'content_type', 'application/xhtml+xml',
     'html', concat('<title>', url, '</title><a href="/">home</a><a href="sitemap">map</a>'))"""
 
 
 def web(pages: DataFrame) -> DataFrame:
-    """Articles, sections, archives and roots as one snapshot.
+    """Articles, sections, archives and roots as one stored snapshot.
 
     The addresses are stored once.  They are spread by hash before pages are made of them:
     file splits go by size, and so few bytes would put all that work into a few tasks.
     """
     spark = pages.sparkSession
-    articles = snapshot(pages)
+    articles = snapshot(pages).withColumn("content_type", F.lit(None).cast("string"))
     root = F.concat(url_origin(F.col("url")), F.lit("/"))
     path = fresh_dir(spark, "addresses")
     sink.parquet(
@@ -73,7 +76,9 @@ def web(pages: DataFrame) -> DataFrame:
         .selectExpr(f"inline(IF(url LIKE '%/', array({ROOT}), array({SECTION}, {ARCHIVE})))")
         .withColumn("page_id", F.lit(DERIVED_ORDER))
     )
-    return articles.unionByName(derived)
+    stored = fresh_dir(spark, "web")
+    sink.parquet(with_kind(articles.unionByName(derived)), stored)
+    return parquet(spark, stored)
 
 
 def _crawl(
@@ -84,6 +89,7 @@ def _crawl(
     earlier: DataFrame | None = None,
     snapshot: DataFrame | None = None,
     run_id: str = RUN_ID,
+    seen: SeenTable | None = None,
 ) -> Crawl:
     pages = table(spark, sf_dir, "pages")
     return crawl(
@@ -97,9 +103,14 @@ def _crawl(
         run_ts=RUN_TS,
         run_id=run_id,
         earlier=earlier,
+        seen=seen,
     )
 
 
+# Sections that are a page: they neither fail, nor are empty or of another type.
+OPEN = "url NOT LIKE '%e' AND url NOT LIKE '%s' AND url NOT LIKE '%n'"
+
+
 def _visits(more: str = "true") -> str:
     """The crawl's walk in SQL; ``more`` is a condition on every address, named ``at``."""
     return f"""
@@ -112,7 +123,7 @@ def _visits(more: str = "true") -> str:
         SELECT url, url AS final_url, {sql.title('html')} AS title FROM article
         UNION ALL
         SELECT url, url, 'Section ' || regexp_extract(url, '([^/]*)$', 1) || ' & more' FROM target
-        WHERE url NOT LIKE '%e' AND url NOT LIKE '%s'
+        WHERE {OPEN}
         UNION ALL
         SELECT url || '/archive', url || '/archive/index.html', 'Archive' FROM target
         UNION ALL
@@ -120,9 +131,9 @@ def _visits(more: str = "true") -> str:
     hop AS MATERIALIZED (
         SELECT src_url, dst_url FROM edge
         UNION ALL SELECT url, url || '/archive' FROM target
-                  WHERE url NOT LIKE '%e' AND url NOT LIKE '%s'
+                  WHERE {OPEN}
         UNION ALL SELECT url, {sql.origin('url')} || '/' FROM target
-                  WHERE url NOT LIKE '%e' AND url NOT LIKE '%s'
+                  WHERE {OPEN}
         UNION ALL SELECT url || '/archive', url || '/archive/index.html' FROM target
         UNION ALL SELECT url || '/archive', url || '/archive/older' FROM target
         UNION ALL SELECT url, url FROM root
@@ -213,59 +224,118 @@ def crawl_enqueue_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def crawl_capped_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of that crawl, with what the cap left out."""
-    return _crawl(spark, sf_dir, max_enqueue=QUEUE_CAP).manifest("crawl/raw")
+    return _crawl(spark, sf_dir, max_enqueue=QUEUE_CAP).manifest("crawl/raw").drop("errors")
 
 
-# Addresses that an earlier run attempted: those over https.
-EARLIER = "at NOT LIKE 'https:%'"
+def _seen(spark: SparkSession) -> SeenTable:
+    return SeenTable.open(spark, fresh_dir(spark, "seen-runs"))
 
 
-@query(f"{_visits(EARLIER)} SELECT url, depth, {FETCHED} FROM visit")
+@query(
+    f"""
+    {VISITS}, first AS MATERIALIZED (SELECT * FROM visit ORDER BY depth, url LIMIT {PAGE_CAP}),
+    start AS (
+        SELECT url FROM article WHERE {sql.in_domains('url', ALLOWED)}
+        UNION SELECT url FROM root WHERE {sql.in_domains('url', ALLOWED)}),
+    level0 AS MATERIALIZED (
+        SELECT url, 0 AS depth FROM start WHERE url NOT IN (SELECT url FROM first)),
+    {", ".join(
+        f"""level{depth} AS MATERIALIZED (
+            SELECT DISTINCT dst_url AS url, {depth} AS depth FROM level{depth - 1} JOIN hop ON src_url = url
+            WHERE {sql.in_domains('dst_url', ALLOWED)} AND dst_url NOT IN (SELECT url FROM first)
+              AND dst_url NOT IN ({" UNION ALL ".join(f"SELECT url FROM level{d}" for d in range(depth))}))"""
+        for depth in range(1, MAX_DEPTH + 1))}
+    SELECT 'run-1' AS run_id, url, depth FROM first
+    UNION ALL SELECT 'run-2', url, depth FROM ({_all_levels('level')})
+    """
+)
 def cross_run_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crawl that leaves out what an earlier run attempted."""
-    first = _crawl(spark, sf_dir).attempts
-    return _crawl(spark, sf_dir, earlier=first.filter(F.col("url").startswith("https:"))).visits
+    """Two runs over one table of seen addresses: the second leaves out what the first attempted.
+
+    The first is repeated under its name, and so is the second's start: neither is there twice.
+    """
+    seen, snapshot = _seen(spark), web(table(spark, sf_dir, "pages"))
+    for run_id, max_pages in (("run-1", PAGE_CAP), ("run-1", PAGE_CAP), ("run-2", None)):
+        _crawl(spark, sf_dir, max_pages=max_pages, snapshot=snapshot, run_id=run_id, seen=seen)
+    return seen.rows().select("run_id", "url", "depth")
 
 
 @query(
     f"""
-    {VISITS}
-    SELECT reason, count(*) AS n FROM (
-        SELECT CASE WHEN url IN (SELECT url FROM target) AND url LIKE '%e' THEN 'status 404'
-                    WHEN url IN (SELECT url FROM target) AND url LIKE '%s' THEN 'empty'
-                    ELSE 'no page' END AS reason
-        FROM visit WHERE NOT {FETCHED.removesuffix(' AS fetched')})
-    GROUP BY reason
+    WITH article AS MATERIALIZED ({sql.KEYED}),
+    target AS MATERIALIZED (SELECT DISTINCT dst_url AS url FROM ({sql.EDGES.replace(sql.FIRST_PAGES, sql.KEYED)}))
+    SELECT url FROM article UNION SELECT url FROM target WHERE {OPEN}
+    UNION SELECT url || '/archive' FROM target UNION SELECT {sql.origin('url')} || '/' FROM article
     """
 )
+def content_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses of the web that hold a page: what failed, is empty or of another type does not."""
+    pages = read_pages(web(table(spark, sf_dir, "pages")), "page_id", ["title"])
+    return pages.select("url")
+
+
+REASON = """CASE WHEN url IN (SELECT url FROM target) AND url LIKE '%e' THEN 'status 404'
+                    WHEN url IN (SELECT url FROM target) AND url LIKE '%n' THEN 'type application'
+                    WHEN url IN (SELECT url FROM target) AND url LIKE '%s' THEN 'empty'
+                    ELSE 'no page' END"""
+FAILED = f"NOT {FETCHED.removesuffix(' AS fetched')}"
+
+
+@query(f"{VISITS} SELECT url, {REASON} AS reason FROM visit WHERE {FAILED}")
+def crawl_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every failed attempt of a crawl and its reason."""
+    return _crawl(spark, sf_dir).failures
+
+
+@query(f"{VISITS} SELECT reason, count(*) AS n FROM (SELECT {REASON} AS reason FROM visit WHERE {FAILED}) GROUP BY 1")
 def run_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The failed attempts of a crawl by reason."""
-    snapshot = web(table(spark, sf_dir, "pages"))
-    run = _crawl(spark, sf_dir, snapshot=snapshot)
-    return runs.by_reason(runs.failures(run, snapshot, "page_id"))
+    return runs.by_reason(_crawl(spark, sf_dir).failures)
+
+
+ATTEMPTS = f"""
+    attempt AS MATERIALIZED (
+        SELECT * FROM visit
+        UNION ALL SELECT * FROM (SELECT * FROM visit ORDER BY depth, url LIMIT {PAGE_CAP}))"""
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of two runs, of which the first is recorded twice."""
+    path, snapshot = fresh_dir(spark, "runs"), web(table(spark, sf_dir, "pages"))
+    for run_id, max_pages in (("run-1", None), ("run-2", PAGE_CAP)):
+        run = _crawl(spark, sf_dir, max_pages=max_pages, snapshot=snapshot, run_id=run_id)
+        runs.record_run(run, path)
+        if max_pages is None:
+            runs.record_run(run, path)
+    return runs.history(spark, path)
 
 
 @query(
     f"""
-    {VISITS}, attempt AS (
-        SELECT {FETCHED} FROM visit
-        UNION ALL SELECT {FETCHED} FROM (SELECT * FROM visit ORDER BY depth, url LIMIT {PAGE_CAP}))
+    {VISITS}, {ATTEMPTS}
     SELECT 2::BIGINT AS runs, count(*) AS attempted, count(*) FILTER (WHERE fetched) AS emitted,
            count(*) FILTER (WHERE NOT fetched) / count(*) AS error_rate, true AS timed
-    FROM attempt
+    FROM (SELECT {FETCHED} FROM attempt)
     """
 )
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs appended to a table of runs, and the metrics over it."""
-    path, snapshot = fresh_dir(spark, "runs"), web(table(spark, sf_dir, "pages"))
-    for run_id, max_pages in (("run-1", None), ("run-2", PAGE_CAP)):
-        run = _crawl(spark, sf_dir, max_pages=max_pages, snapshot=snapshot, run_id=run_id)
-        runs.append_run(run, path)
-    found = runs.metrics(runs.history(spark, path))
+    """The metrics over a table of runs."""
+    found = runs.metrics(_recorded(spark, sf_dir))
     timed = (F.col("emitted_per_second") > 0) & (F.col("last_recorded") > RUN_TS)
     return found.withColumn("timed", timed).drop("emitted_per_second", "last_recorded")
 
 
+@query(
+    f"""
+    {VISITS}, {ATTEMPTS}
+    SELECT reason, count(*)::BIGINT AS n FROM (SELECT {REASON} AS reason FROM attempt WHERE {FAILED}) GROUP BY 1
+    """
+)
+def run_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failures by reason over a table of runs, from the sums that each run noted."""
+    return runs.errors(_recorded(spark, sf_dir))
+
+
 @query(f"{VISITS} {RECORDS}")
 def crawl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crawl(spark, sf_dir).records
@@ -294,13 +364,14 @@ def crawl_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def crawl_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _crawl(spark, sf_dir).manifest("crawl/raw")
+    return _crawl(spark, sf_dir).manifest("crawl/raw").drop("errors")
 
 
 def _stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "raw")
     run = _crawl(spark, sf_dir)
-    sink.dated_json_lines(run.records, path, run.run_id, F.lit(run.run_ts))
+    for _ in range(2):  # a repeated run replaces what it wrote
+        sink.dated_json_lines(run.records, path, run.run_id, run.run_ts)
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RECORD_SCHEMA.fields)
     return json_lines(spark, path, f"{names}, dt string, run_id string")
 
@@ -316,7 +387,7 @@ def crawl_hourly_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a folder per hour."""
     path = fresh_dir(spark, "raw")
     run = _crawl(spark, sf_dir)
-    sink.dated_json_lines(run.records, path, run.run_id, F.lit(run.run_ts), hourly=True)
+    sink.dated_json_lines(run.records, path, run.run_id, run.run_ts, hourly=True)
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RECORD_SCHEMA.fields)
     return json_lines(spark, path, f"{names}, dt string, hour string, run_id string")
 

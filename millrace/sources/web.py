@@ -1,15 +1,17 @@
 """Page snapshots: what a fetch would have returned, held in a table.
 
 Columns: ``url``, ``final_url`` (after redirects, NULL if none), ``status`` (NULL means
-fetched) and ``html``.
+fetched), ``html`` and, if known, ``content_type`` or, written by ``with_kind``, ``content_kind``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.binding import bind
@@ -17,6 +19,15 @@ from millrace.functions.html import link_texts, page_title, title_and_links
 from millrace.functions.urls import is_web_address, normalize_url, resolve_links
 from millrace.scratch import fresh_dir
 
+# Types of documents that are parsed, and the registered kinds of types.
+PAGE_TYPES = ("text/html", "application/xhtml+xml")
+TYPE_FAMILIES = "application audio font image message model multipart text video".split()
+
+BITMAP_BITS = 1 << 15  # of one row of Spark's bitmap aggregate
+BITMAPS = 1 << 8
+BITMAP_SCHEMA = pa.schema([("bucket", pa.int64()), ("bits", pa.binary())])
+LISTED_FILES = 10_000
+
 
 def was_fetched() -> Column:
     """Whether a snapshot row holds a page: no error status and a body that is not empty."""
@@ -24,13 +35,51 @@ def was_fetched() -> Column:
     return ok_status & (F.coalesce(F.length("html"), F.lit(0)) > 0)
 
 
-def of_type(snapshot: DataFrame, types: Sequence[str] = ("text/html", "application/xhtml+xml")) -> DataFrame:
-    """Rows whose ``content_type``, parameters and case aside, is listed; all if there is no such
-    column.  A row without a type is kept, as it may be a page."""
-    if "content_type" not in snapshot.columns:
-        return snapshot
-    kind = F.lower(F.trim(F.substring_index("content_type", ";", 1)))
-    return snapshot.filter(kind.isin(*types) | F.col("content_type").isNull())
+def _kind(snapshot: DataFrame) -> Column | None:
+    """The type of a row's document without parameters, in lower case; None if no column tells."""
+    if "content_kind" in snapshot.columns:
+        return F.col("content_kind")
+    if "content_type" in snapshot.columns:
+        return F.lower(F.trim(F.substring_index("content_type", ";", 1)))
+    return None
+
+
+def with_kind(snapshot: DataFrame) -> DataFrame:
+    """The snapshot with ``content_kind`` in place of ``content_type``.
+
+    Stored like this, a scan for some types leaves out the row groups that have none of them.
+    """
+    kind = _kind(snapshot)
+    return snapshot if kind is None else snapshot.withColumn("content_kind", kind).drop("content_type")
+
+
+def is_page_type(snapshot: DataFrame, types: Sequence[str] | None = PAGE_TYPES) -> Column:
+    """Whether a row's document is of a listed type; true for a row without a type, as it may be one.
+
+    ``types`` None lifts the condition.
+    """
+    kind = _kind(snapshot)
+    return F.lit(True) if kind is None or types is None else kind.isin(*types) | kind.isNull()
+
+
+def of_type(snapshot: DataFrame, types: Sequence[str] | None = PAGE_TYPES) -> DataFrame:
+    """Rows whose document is of a listed type, or of none that is known."""
+    return snapshot.filter(is_page_type(snapshot, types))
+
+
+def failure_reason(snapshot: DataFrame, types: Sequence[str] | None = PAGE_TYPES) -> Column:
+    """Why a row gives no page, without a look at its body: ``status <n>``, ``type <family>`` or NULL.
+
+    There are as many reasons as error statuses and families of types, however many types there are.
+    """
+    status = F.when(F.col("status") < 600, F.col("status").cast("string")).otherwise("other")
+    reason = F.when(F.col("status") >= 400, F.concat(F.lit("status "), status))
+    kind = _kind(snapshot)
+    if kind is None:
+        return reason
+    family = F.substring_index(kind, "/", 1)
+    named = F.when(family.isin(*TYPE_FAMILIES), family).otherwise("other")
+    return reason.when(~is_page_type(snapshot, types), F.concat(F.lit("type "), named))
 
 
 def outgoing(base: Column, hrefs: Column) -> Column:
@@ -84,28 +133,88 @@ def read_pages(
     snapshot: DataFrame,
     order: str,
     columns: Sequence[str] = COLUMNS,
-    scope: Callable[[DataFrame], DataFrame] | None = None,
+    types: Sequence[str] | None = PAGE_TYPES,
 ) -> DataFrame:
     """The pages a snapshot holds: ``url``, ``final_url`` and ``columns``, each ``url`` once.
 
     Of several rows with one address the one with the smallest ``order``, a column without repeats
-    among them, counts; if that fetch failed, the address has no page.  The rows that lose are found
-    on addresses and numbers alone and are few; documents are read where they lie, and only those
-    whose ``url`` passes ``scope`` are parsed.
+    among them, counts; if that one failed or is of another type, the address has no page.
+    Documents are parsed where they lie.  Addresses with copies are found on addresses and numbers
+    alone, and only parsed rows meet them.
+    """
+    spark, path = snapshot.sparkSession, fresh_dir(snapshot.sparkSession, "copies")
+    names = keyed(snapshot).select(F.col("key").alias("url"), order)
+    counted = names.groupBy("url").agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+    copies = counted.filter("_n > 1").drop("_n")
+    copies.write.parquet(path)
+    copies = spark.read.schema(copies.schema).parquet(path)
+    found = parsed(of_type(snapshot, types), order, columns=columns).filter("page IS NOT NULL")
+    found = found.join(copies, "url", "left")
+    kept = F.col("_first").isNull() | (F.col(order) == F.col("_first"))
+    return found.filter(kept).select("url", "page.*")
+
+
+def has_places(snapshot: DataFrame) -> bool:
+    """Whether rows can be told by file and place in it: files of a format that numbers its rows."""
+    try:
+        snapshot.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def address_rows(snapshot: DataFrame, order: str, types: Sequence[str] | None = PAGE_TYPES) -> DataFrame:
+    """``url``, ``order``, ``file``, ``row`` and ``reason`` of every row that has an address; bodies
+    are not read."""
+    reason = failure_reason(snapshot, types).alias("reason")
+    places = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    return keyed(snapshot).select(F.col("key").alias("url"), F.col(order).alias("order"), *places, reason)
+
+
+def first_of_copies(rows: DataFrame) -> DataFrame:
+    """``address_rows`` with each ``url`` once: the row with the smallest ``order``, chosen before and
+    after the exchange, so copies of a popular address do not meet in one task."""
+    first = F.min(F.struct("order", "file", "row", "reason")).alias("first")
+    return rows.groupBy("url").agg(first).select("url", "first.file", "first.row", "first.reason")
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("file", "row"), F.lit(BITMAP_BITS * BITMAPS))
+
+
+def fetch(
+    snapshot: DataFrame, wanted: DataFrame, path: str, columns: Sequence[str] = COLUMNS
+) -> int:
+    """Write to ``path``, if there are any, the rows of ``wanted`` (``file``, ``row`` and more, stored) that give a page, with that page.
+
+    Only files in which rows are wanted are read, and of these only documents whose place has its
+    bit in a bitmap of 2 to the 23rd bits are parsed, in place, whatever the size of ``wanted``:
+    a megabyte is broadcast, documents are not shuffled, and a place that only shares a bit with
+    another is dropped when the parsed rows are joined with those wanted.  The number of documents
+    parsed is returned.
     """
-    spark, path = snapshot.sparkSession, fresh_dir(snapshot.sparkSession, "losers")
-    rows = keyed(snapshot)
-    names = rows.select("key", order)
-    firsts = names.groupBy("key").agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
-    copies = names.join(firsts.filter("_n > 1"), "key").filter(F.col(order) > F.col("_first"))
-    copies.select("key", order).distinct().write.parquet(path)
-    losers = spark.read.schema(names.schema).parquet(path)
-    rows = rows.join(losers, ["key", order], "left_anti")
-    if scope is not None:
-        rows = scope(rows.drop("url").withColumnRenamed("key", "url"))
-    rows = rows.select(*snapshot.columns)
-    found = parsed(rows, columns=columns)
-    return found.filter("page IS NOT NULL").select("url", "page.*")
+    spark, wanted = snapshot.sparkSession, wanted.filter("reason IS NULL")
+    files = [r["file"] for r in wanted.select("file").distinct().limit(LISTED_FILES + 1).collect()]
+    if not files:
+        return 0
+    slots = wanted.select(_slot().alias("slot"))
+    bit = F.col("slot") % BITMAP_BITS
+    bucket = F.floor(F.col("slot") / BITMAP_BITS).alias("bucket")
+    held = slots.groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias("bits")).collect()
+    bitmaps = spark.createDataFrame(pa.Table.from_pylist([r.asDict() for r in held], BITMAP_SCHEMA))
+    rows = snapshot.filter(F.col("_metadata.file_path").isin(files)) if len(files) <= LISTED_FILES else snapshot
+    rows = rows.withColumns({"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")})
+    rows = rows.select("*", _slot().alias("slot")).select("*", bucket)
+    octet = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    probed = rows.join(F.broadcast(bitmaps), "bucket").filter(F.getbit(octet, (bit % 8).cast("int")) == 1)
+    parse = Observation()
+    found = parsed(probed.observe(parse, F.count(F.lit(1)).alias("n")), "file", "row", columns=columns)
+    # Stored before it is joined: a plan with the parser in it takes the driver long to change.
+    found.write.parquet(f"{path}-parsed")
+    found = spark.read.schema(found.schema).parquet(f"{path}-parsed").filter("page IS NOT NULL").drop("url")
+    names = [name for name in wanted.columns if name not in ("file", "row", "reason")]
+    wanted.join(found, ["file", "row"]).select(*names, "page.*").write.parquet(path)
+    return parse.get["n"]
 
 
 def look_up(frontier: DataFrame, pages: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import runs
-from millrace.operators.crawl import _scope, crawl
-from millrace.sources.web import read_pages
+from millrace.operators.crawl import crawl
+from millrace.operators.seen import SeenTable
+from millrace.scratch import fresh_dir
+from millrace.sources.web import has_places, read_pages, with_kind
 
 SCHEMA = "id int, url string, final_url string, status int, html string"
 
@@ -58,7 +60,7 @@ def test_cycle_diamond_copies_failures(spark):
     }
     assert result.manifest("out").first().asDict() == {
         "run_id": "r", "attempted": 7, "fetched": 4, "emitted": 4, "failed": 3, "left_by_pages": 0, "left_by_queue": 0,
-        "destination": "out",
+        "destination": "out", "errors": {"empty": 1, "no page": 1, "status 404": 1},
     }
     assert '{"url":"http://ex.org/a","title":"A","depth":1,"ts":5}' in {
         r["value"] for r in result.json_lines.collect()
@@ -87,17 +89,21 @@ def test_what_caps_leave_out_is_counted(spark):
     assert row["attempted"] == 4 and row["left_by_queue"] > 0
 
 
-def test_pages_out_of_scope_are_not_parsed(spark):
-    snapshot = spark.createDataFrame(WEB, SCHEMA)
-    for allowed in ("nowhere.net", spark.createDataFrame([("nowhere.net",)], "domain string")):
-        pages = read_pages(snapshot, "id", scope=_scope(spark, allowed))
-        assert pages.count() == 0
-    # Reading a document out of scope would fail here.
-    outside = F.col("url").contains("evil")
-    trap = F.when(outside, F.raise_error(F.lit("parsed"))).otherwise(F.col("html"))
-    mixed = snapshot.union(spark.createDataFrame([page(20, "http://evil.com/x", ["/y"])], SCHEMA))
-    inside = read_pages(mixed.withColumn("html", trap), "id", scope=_scope(spark, "ex.org"))
-    assert inside.count() == 4
+@pytest.mark.parametrize("options", [{}, {"max_pages": 1}, {"max_enqueue": 1}, {"max_depth": 0}, {"allowed": "x.net"}])
+def test_only_documents_that_a_level_wants_are_parsed(spark, options):
+    rows = WEB + [page(100 + i, f"http://ex.org/far/{i}") for i in range(300)] + [page(900, "http://evil.com/x", ["/y"])]
+    result = run(spark, rows, **options)
+    fetched = result.fetched.count()
+    assert fetched <= result.parsed <= fetched + 1  # and the empty one
+
+
+def test_a_snapshot_in_files_is_read_where_it_lies(spark):
+    path = fresh_dir(spark, "snapshot")
+    spark.createDataFrame(WEB, SCHEMA).repartition(3).write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert has_places(stored.withColumn("more", F.lit(1)).filter("id > 0"))
+    assert not has_places(stored.union(stored)) and not has_places(spark.createDataFrame(WEB, SCHEMA))
+    assert visits(crawl(stored, "id", "http://ex.org", "ex.org", max_depth=3)) == FULL
 
 
 def test_earlier_runs_are_left_out(spark):
@@ -107,17 +113,82 @@ def test_earlier_runs_are_left_out(spark):
     }
 
 
+def test_runs_share_a_table_of_seen_addresses(spark):
+    path = fresh_dir(spark, "seen")
+    seen = SeenTable.open(spark, path, buckets=3)
+    snapshot = spark.createDataFrame(WEB, SCHEMA)
+
+    def attempts(run_id, seeds, seen, **options):
+        found = crawl(snapshot, "id", seeds, "ex.org", max_depth=3, run_id=run_id, seen=seen, **options)
+        return {r["url"][-1] for r in found.attempts.collect()}
+
+    def stored(seen):
+        return sorted((r["run_id"], r["url"][-1], r["depth"]) for r in seen.rows().collect())
+
+    first = [("it's", "/", 0), ("it's", "a", 1), ("it's", "b", 1)]
+    for _ in range(2):  # a repeated run sees what others attempted, not what it did itself
+        assert attempts("it's", "http://ex.org", seen, max_pages=3) == {"/", "a", "b"}
+        assert stored(seen) == first
+    seen.forget()
+    again = SeenTable.open(spark, path)
+    assert again.buckets == 3 and stored(again) == first
+    # The second run comes to nothing new but by way of an address of its own.
+    assert attempts("2", "http://ex.org http://ex.org/c", again) == {"c", "e"}
+    assert stored(again) == sorted([*first, ("2", "c", 0), ("2", "e", 1)])
+    assert attempts("3", "", again) == set() and len(stored(again)) == 5
+    again.forget()
+
+
+TYPED = [
+    (*page(1, "http://ex.org/", ["p", "x", "n", "i"]), "Text/HTML; charset=utf-8"),
+    (*page(2, "http://ex.org/p", ["never"]), "application/pdf"),
+    (*page(3, "http://ex.org/x"), " application/xhtml+xml "),
+    (*page(4, "http://ex.org/n"), None),
+    (*page(5, "http://ex.org/i", status=404), "image/png"),
+    (*page(6, "http://ex.org/i?2"), "text/html"),
+    (*page(7, "http://ex.org/odd"), "nonsense"),
+]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_documents_of_other_types_are_not_parsed(spark, stored):
+    snapshot = spark.createDataFrame(TYPED, f"{SCHEMA}, content_type string")
+    if stored:
+        with_kind(snapshot).write.parquet(path := fresh_dir(spark, "typed"))
+        snapshot = spark.read.parquet(path)
+    seeds = "http://ex.org http://ex.org/odd"
+    result = crawl(snapshot, "id", seeds, "ex.org", max_depth=1)
+    assert {(r["url"][-1], r["reason"]) for r in result.failures.collect()} == {
+        ("p", "type application"), ("i", "status 404"), ("d", "type other")}
+    assert result.parsed == 3 == result.manifest().first()["fetched"]
+    lifted = crawl(snapshot, "id", seeds, "ex.org", max_depth=1, types=None)
+    assert lifted.manifest().first()["errors"] == {"status 404": 1}
+    assert {p["url"][-1] for p in read_pages(snapshot, "id").collect()} == {"/", "x", "n"}
+    assert {p["url"][-1] for p in read_pages(snapshot, "id", types=None).collect()} == {"/", "p", "x", "n", "d"}
+
+
+def test_a_recorded_run_replaces_itself(spark):
+    path = fresh_dir(spark, "runs")
+    for run_id, pages in (("a/b", 2), ("c", None), ("a/b", None)):
+        snapshot = spark.createDataFrame(WEB, SCHEMA)
+        runs.record_run(crawl(snapshot, "id", "http://ex.org", "ex.org", pages, 3, run_id=run_id), path)
+    history = runs.history(spark, path)
+    assert sorted((r["run_id"], r["attempted"]) for r in history.collect()) == [("a/b", 7), ("c", 7)]
+    assert {tuple(r) for r in runs.errors(history).collect()} == {("empty", 2), ("no page", 2), ("status 404", 2)}
+
+
 def test_one_list_means_the_same_short_and_long(spark):
     rows = [page(1, "http://example.org./x"), page(2, "http://ex.org/y")]
     seeds = "http://example.org./x http://ex.org/y"
-    short = run(spark, rows, seeds, allowed=["", "ex.org"])
-    long = run(spark, rows, seeds, allowed=["", "ex.org", *[f"d{i}.net" for i in range(100)]])
+    endless = "http://" + "x" * 300 + "/"
+    rows, seeds = [*rows, page(3, endless)], f"{seeds} {endless}"
+    short = run(spark, rows, seeds, allowed=["", "ex.org", "x" * 300])
+    long = run(spark, rows, seeds, allowed=["", "ex.org", "x" * 300, *[f"d{i}.net" for i in range(100)]])
     assert visits(short) == visits(long) == {"http://ex.org/y": (0, True)}
 
 
 def test_failures_by_reason(spark):
-    snapshot = spark.createDataFrame(WEB, SCHEMA)
-    found = runs.failures(run(spark), snapshot, "id").collect()
+    found = run(spark).failures.collect()
     assert {(r["url"][-1], r["reason"]) for r in found} == {("d", "status 404"), ("g", "no page"), ("e", "empty")}
 
 

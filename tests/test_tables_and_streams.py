@@ -50,16 +50,32 @@ def test_report_has_the_files_it_is_asked_for(spark):
 def test_dated_json_lines_keep_runs_apart(spark):
     path = fresh_dir(spark, "raw")
     rows = spark.createDataFrame([("http://é/", None)], "url string, title string")
-    for run in ("r1", "r2"):
-        sink.dated_json_lines(rows, path, run, F.lit(1_700_000_000))
+    for run in ("r1", "r2", "r1"):  # the last repeats the first
+        sink.dated_json_lines(rows, path, run, 1_700_000_000)
     back = source.json_lines(spark, path, "url string, title string, dt string, run_id string")
     assert {tuple(r) for r in back.collect()} == {
         ("http://é/", None, "20231114", "r1"),
         ("http://é/", None, "20231114", "r2"),
     }
     assert source.text_lines(spark, path).first()["value"] == '{"url":"http://é/","title":null}'
-    sink.dated_json_lines(rows, path, "r3", F.lit(1_700_000_000), mode="overwrite")
-    assert source.text_lines(spark, path).count() == 1
+    sink.dated_json_lines(rows.limit(0), path, "r1", 1_700_000_000)  # repeated with nothing to write
+    assert {r["run_id"] for r in back.sparkSession.read.schema(back.schema).json(path).collect()} == {"r2"}
+
+
+@pytest.mark.parametrize("run", ["a/b", "x=1 y:'z'", "100%", "é", "plain"])
+def test_repeated_runs_replace_their_folders(spark, run):
+    path = fresh_dir(spark, "raw")
+    rows = spark.createDataFrame([("u", 1_700_000_000), ("v", 1_700_090_000)], "url string, at long")
+    schema = "url string, at long, dt string, hour string, run_id string"
+    for times in (F.col("at"), F.col("at"), 1_700_000_000):  # the last replaces one hour of two
+        sink.dated_json_lines(rows, path, run, times, hourly=True)
+        sink.dated_json_lines(rows, path, "other", 5, hourly=True)
+    back = {tuple(r) for r in source.json_lines(spark, path, schema).collect()}
+    assert {r for r in back if r[4] == run} == {
+        ("u", 1_700_000_000, "20231114", "22", run), ("v", 1_700_090_000, "20231114", "22", run),
+        ("v", 1_700_090_000, "20231115", "23", run),
+    }
+    assert len(back) == 5 == source.json_lines(spark, path, schema).count()
 
 
 def test_managed_table_is_replaced(spark):
