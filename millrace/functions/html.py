@@ -175,44 +175,89 @@ def link_texts(document: Column) -> Column:
     return F.transform(_hrefs(document), unescape)
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    """The value of an attribute in a tag's text, its quotes and references resolved."""
-    value = rf"""(?is)(?:\A|[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    found = F.concat(*[F.regexp_extract(tag, value, i) for i in (1, 2, 3)])
-    return F.when(tag.rlike(value), unescape(found))
+def _raw_attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute in a tag's text as written, without its quotes; NULL without one."""
+    value = rf"""(?is)(?:\A|[\s"'/]){name}\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.when(tag.rlike(value), F.concat(*[F.regexp_extract(tag, value, i) for i in (1, 2, 3)]))
 
 
-def _tags(document: Column, name: str) -> Column:
-    """The insides of all tags of one name, outside comments, scripts and the like."""
-    pattern = ANCHOR_TAGS.replace(r"<(?!a[\s/])", rf"<(?!{name}[\s/])").replace(r"<a(?=[\s/])", rf"<{name}(?=[\s/])")
-    return F.regexp_extract_all(document, F.lit(pattern), F.lit(2))
+def _first_of_names(entries: Column) -> Column:
+    """``name`` and ``content`` of each name's first entry, in order of names."""
+    placed = F.transform(entries, lambda e, i: F.struct(e["name"].alias("name"), i.alias("at"), e["content"].alias("content")))
 
+    def first(ordered: Column) -> Column:
+        return F.filter(ordered, lambda e, i: F.coalesce(F.get(ordered, i - 1)["name"] != e["name"], F.lit(True)))
 
-def _first_value(tags: Column, key: str, wanted: str, value: str) -> Column:
-    """``value`` of the first tag whose attribute ``key`` is ``wanted``."""
-    fits = F.filter(tags, lambda tag: F.lower(_attribute(tag, key)) == wanted)
-    return _attribute(F.try_element_at(fits, F.lit(1)), value)
+    return bind(F.array_sort(placed), first)
+
+
+RECORD_TAGS = ANCHOR_TAGS.replace(r"<(?!a[\s/])", r"<(?!(?:html|meta|link|a)[\s/])").replace(
+    rf"<a(?=[\s/])({_INSIDE_TAG})>", rf"<((?:html|meta|link|a)(?=[\s/]){_INSIDE_TAG})>"
+)
 
 
 def page_language(document: Column) -> Column:
     """The ``lang`` of the root element; NULL if it has none."""
-    return _attribute(F.try_element_at(_tags(document, "html"), F.lit(1)), "lang")
+    tags = F.regexp_extract_all(document, F.lit(RECORD_TAGS), F.lit(2))
+    root = F.get(F.filter(tags, lambda tag: tag.rlike(r"(?i)\Ahtml[\s/]")), F.lit(0))
+    return unescape(_raw_attribute(root, "lang"))
 
 
-def page_charset(document: Column) -> Column:
-    """The ``charset`` of the first ``meta`` element that has one; NULL if none does."""
-    values = F.transform(_tags(document, "meta"), lambda tag: _attribute(tag, "charset"))
-    return F.try_element_at(F.filter(values, lambda value: value.isNotNull()), F.lit(1))
+def page_record(document: Column) -> Column:
+    """The wide record of a document, as a struct.
+
+    ``title``, ``lang`` (of the root element), ``charset`` (of the first ``meta`` that has one),
+    ``canonical`` (of the first ``link`` that names it), ``links`` (as ``link_texts``) and ``meta``: the
+    content of every ``meta`` element with a ``name`` or else a ``property``, by that name in lower case;
+    of several with one name the first counts.  NULL where there is none; ``links`` and ``meta`` may be
+    empty.  All but the title come from one pass over the document, and all texts go through one
+    ``unescape``.
+    """
+    def named(tags: Column, name: str) -> Column:
+        return F.filter(tags, lambda tag: tag.rlike(rf"(?i)\A{name}[\s/]"))
+
+    def first(values: Column) -> Column:
+        return F.get(F.filter(values, lambda value: value.isNotNull()), F.lit(0))
+
+    def canonical(tag: Column) -> Column:
+        return F.when(F.lower(_raw_attribute(tag, "rel")) == "canonical", _raw_attribute(tag, "href"))
+
+    def entry(tag: Column) -> Column:
+        name = F.lower(F.coalesce(_raw_attribute(tag, "name"), _raw_attribute(tag, "property")))
+        return F.struct(name.alias("name"), _raw_attribute(tag, "content").alias("content"))
+
+    def parts(tags: Column) -> Column:
+        metas = named(tags, "meta")
+        entries = F.filter(F.transform(metas, entry), lambda e: e["name"].isNotNull() & e["content"].isNotNull())
+        single = [
+            _title_text(document),
+            F.get(F.transform(named(tags, "html"), lambda tag: _raw_attribute(tag, "lang")), F.lit(0)),
+            first(F.transform(metas, lambda tag: _raw_attribute(tag, "charset"))),
+            first(F.transform(named(tags, "link"), canonical)),
+        ]
+        links = F.filter(F.transform(named(tags, "a"), _href_of_tag), lambda href: href.isNotNull())
+        return F.struct(
+            F.array(*single).alias("single"), links.alias("links"), _first_of_names(entries).alias("meta")
+        )
 
+    def record(found: Column) -> Column:
+        single, links, meta = found["single"], found["links"], found["meta"]
+        written = F.concat(single, links, F.transform(meta, lambda e: e["content"]))
+        names = F.transform(meta, lambda e: e["name"])
 
-def page_description(document: Column) -> Column:
-    """The content of the description's ``meta`` element; NULL without one."""
-    return _first_value(_tags(document, "meta"), "name", "description", "content")
+        def fields(texts: Column) -> Column:
+            contents = F.slice(texts, F.size(links) + 5, F.size(meta))
+            return F.struct(
+                F.coalesce(strip(F.get(texts, F.lit(0))), F.lit("")).alias("title"),
+                *[F.get(texts, F.lit(i)).alias(name) for i, name in enumerate(("lang", "charset", "canonical"), 1)],
+                F.slice(texts, F.lit(5), F.size(links)).alias("links"),
+                F.map_from_arrays(names, contents).alias("meta"),
+            )
 
+        return bind(F.transform(written, unescape), fields)
 
-def canonical_link(document: Column) -> Column:
-    """The address of the ``link`` element that names the canonical page; NULL without one."""
-    return _first_value(_tags(document, "link"), "rel", "canonical", "href")
+    tags = F.regexp_extract_all(document, F.lit(RECORD_TAGS), F.lit(2))
+    return F.when(document.isNotNull(), bind(bind(tags, parts), record))
 
 
 def title_and_links(document: Column) -> Column:

@@ -9,15 +9,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.frontier import unseen
+from millrace.scratch import path_exists
 
 COLUMNS = "url string, depth int, run_id string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 @dataclass(frozen=True)
 class SeenTable:
     """``url``, ``depth`` and ``run_id``, partitioned by run and bucketed by address.
@@ -38,7 +34,7 @@ class SeenTable:
         """
         name = f"seen_{sha256(path.encode()).hexdigest()[:16]}"
         noted = f"{path}/buckets"
-        exists = _exists(spark, noted)
+        exists = path_exists(spark, noted)
         if not exists:
             chosen = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
             spark.range(1).select(F.lit(chosen).cast("string").alias("value")).write.text(noted)

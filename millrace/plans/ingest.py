@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from millrace.sinks.topics import as_records, produce
 from millrace.sources.tables import versioned_table
 from millrace.sources.topics import RecordFiles, consume
 from millrace.streaming.append import drain_append
+from millrace.streaming.quarantine import KEPT, QUARANTINED, start_sorting
 
 EVENT_MESSAGE = T.StructType(
     [T.StructField("message", T.StringType()), T.StructField("event_id", T.LongType())]
@@ -127,6 +129,45 @@ def json_decode_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_json(records, keep=("event_id", "shape"))
 
 
+def _shaped_topic(spark: SparkSession, sf_dir: str) -> RecordFiles:
+    """Every event in every message shape, as a topic."""
+    shapes = F.posexplode(F.array(*[F.expr(sql) for sql in MESSAGE_SHAPES.values()]))
+    shaped = table(spark, sf_dir, "events").select("event_id", "ts", shapes.alias("shape", "text"))
+    place = F.col("event_id") * len(MESSAGE_SHAPES) + F.col("shape")
+    topic = RecordFiles(fresh_dir(spark, "topic"))
+    produce(as_records(shaped, "events", value=F.col("text"), offset=place, timestamp=F.col("ts")), topic)
+    return topic
+
+
+@query(
+    """
+    SELECT outcome, count(*) AS n, count(DISTINCT event_id) AS events
+    FROM events, (VALUES ('kept', 0), ('kept', 1), ('kept', 2), ('kept', 3), ('kept', 4), ('kept', 5),
+                         ('malformed', 6), ('malformed', 7), ('empty', 8), ('missing', 9)) s(outcome, shape)
+    GROUP BY outcome
+    """
+)
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that decode and those that do not, in two tables, after a stop in the middle of a batch."""
+    topic, path, checkpoint = _shaped_topic(spark, sf_dir), fresh_dir(spark, "sorted"), fresh_dir(spark, "stream")
+
+    def stop(batch: int) -> None:
+        raise RuntimeError("stopped between the two writes")
+
+    for between in (stop, None):
+        try:
+            start_sorting(topic.stream(spark), path, checkpoint, drain=True, between=between).awaitTermination()
+        except StreamingQueryException:
+            if between is None:
+                raise
+    kept = spark.read.parquet(f"{path}/{KEPT}").select("offset", F.lit(KEPT).alias("outcome"))
+    rest = spark.read.parquet(f"{path}/{QUARANTINED}").select("offset", F.col("reason").alias("outcome"))
+    event = F.floor(F.col("offset") / len(MESSAGE_SHAPES))
+    return kept.unionByName(rest).groupBy("outcome").agg(
+        F.count("*").alias("n"), F.count_distinct(event).alias("events")
+    )
+
+
 @query(
     """
     SELECT 0 AS "partition", event_id AS "offset", props AS msg
@@ -136,5 +177,5 @@ def json_decode_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bounded_consume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Produce a topic, then take one message from its beginning."""
     topic = _event_topic(spark, sf_dir, F.col("props"))
-    first = consume(spark, topic, max_messages=1)
+    first = consume(spark, topic, max_messages=1, timeout=5)
     return first.select("partition", "offset", F.col("value").cast("string").alias("msg"))

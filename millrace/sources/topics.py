@@ -7,12 +7,19 @@ same seven columns; every function takes both, so jobs do not change between the
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.scratch import path_exists
+from millrace.sources.rows import literal_rows
+
+# For each partition the first and the last offset.
+Spans = dict[int, tuple[int, int]]
+
 # Fixed value: the columns Spark's Kafka connector yields.
 RECORD_SCHEMA = T.StructType(
     [
@@ -51,19 +58,13 @@ class BrokerTopic:
             .load()
         )
 
-    def records(self, spark: SparkSession, places: list[tuple[int, int]]) -> DataFrame:
-        """The records at ``(partition, offset)``; the broker is asked for no more than their span."""
-        found = self._spanned(spark, places) if places else self.batch(spark).limit(0)
-        return found.filter(_at(places))
-
-    def _spanned(self, spark: SparkSession, places: list[tuple[int, int]]) -> DataFrame:
-        spans: dict[str, tuple[int, int]] = {}
-        for partition, offset in places:
-            low, high = spans.get(str(partition), (offset, offset))
-            spans[str(partition)] = (min(low, offset), max(high, offset))
-        from_ = {self.topic: {p: low for p, (low, _) in spans.items()}}
-        to = {self.topic: {p: high + 1 for p, (_, high) in spans.items()}}
-        reader = self._configured(spark.read, assign={self.topic: [int(p) for p in spans]})
+    def records(self, spark: SparkSession, spans: Spans) -> DataFrame:
+        """The records within ``spans``; the broker is asked for no others."""
+        if not spans:
+            return self.batch(spark).limit(0)
+        from_ = {self.topic: {str(p): low for p, (low, _) in spans.items()}}
+        to = {self.topic: {str(p): high + 1 for p, (_, high) in spans.items()}}
+        reader = self._configured(spark.read, assign={self.topic: list(spans)})
         return reader.option("startingOffsets", json.dumps(from_)).option("endingOffsets", json.dumps(to)).load()
 
     def _configured(self, reader, assign: dict[str, list[int]] | None = None):
@@ -91,33 +92,45 @@ class RecordFiles:
         return spark.readStream.schema(RECORD_SCHEMA).options(**self.options).parquet(self.path)
 
     def batch(self, spark: SparkSession) -> DataFrame:
+        """Every record there is now; none if nothing was ever written."""
+        if not path_exists(spark, self.path):
+            return literal_rows(spark, [], RECORD_SCHEMA)
         return spark.read.schema(RECORD_SCHEMA).parquet(self.path)
 
-    def records(self, spark: SparkSession, places: list[tuple[int, int]]) -> DataFrame:
-        """The records at ``(partition, offset)``; the condition reaches the files' statistics."""
-        return self.batch(spark).filter(_at(places))
+    def records(self, spark: SparkSession, spans: Spans) -> DataFrame:
+        """The records within ``spans``; the condition reaches the files' statistics."""
+        found = F.lit(False)
+        for partition, (low, high) in spans.items():
+            found |= (F.col("partition") == partition) & F.col("offset").between(low, high)
+        return self.batch(spark).filter(found)
 
 
-def _at(places: list[tuple[int, int]]) -> Column:
-    by_partition: dict[int, list[int]] = {}
-    for partition, offset in places:
-        by_partition.setdefault(partition, []).append(offset)
-    found = F.lit(False)
-    for partition, offsets in by_partition.items():
-        found |= (F.col("partition") == partition) & F.col("offset").isin(offsets)
-    return found
+Topic = BrokerTopic | RecordFiles
 
 
-Topic = BrokerTopic | RecordFiles
+def _first(spark: SparkSession, topic: Topic, max_messages: int) -> tuple[Spans, int]:
+    """The span that the first records have in each partition, and their number."""
+    places = topic.batch(spark).select("partition", "offset").orderBy("partition", "offset").limit(max_messages)
+    told = places.groupBy("partition").agg(F.min("offset").alias("low"), F.max("offset").alias("high"), F.count("*").alias("n"))
+    rows = told.collect()  # one a partition
+    return {r["partition"]: (r["low"], r["high"]) for r in rows}, sum(r["n"] for r in rows)
 
 
-def consume(spark: SparkSession, topic: Topic, max_messages: int) -> DataFrame:
+def consume(
+    spark: SparkSession, topic: Topic, max_messages: int, timeout: float = 0.0, every: float = 0.2
+) -> DataFrame:
     """The first ``max_messages`` records from the beginning of a topic.
 
-    Which they are is decided on partitions and offsets alone, a read without the values; then
-    only those records are fetched.
+    While there are fewer, the topic is looked at again, up to ``timeout`` seconds; then what there is is
+    returned, also nothing.  Which records they are is decided on partitions and offsets alone, a
+    read without the values; then only their spans are fetched.
     """
-    places = topic.batch(spark).select("partition", "offset")
-    first = places.orderBy("partition", "offset").limit(max_messages).collect()
-    found = topic.records(spark, [(row["partition"], row["offset"]) for row in first])
-    return found.orderBy("partition", "offset")
+    deadline = time.monotonic() + timeout
+    while True:
+        spans, n = _first(spark, topic, max_messages)
+        left = deadline - time.monotonic()
+        if n >= max_messages or left <= 0:
+            break
+        time.sleep(min(every, left))
+    # The last span may hold a repeated offset beyond the number.
+    return topic.records(spark, spans).orderBy("partition", "offset").limit(max_messages)

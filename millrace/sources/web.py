@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.binding import bind
-from millrace.functions.html import link_texts, page_title, title_and_links
+from millrace.functions.html import link_texts, page_record, page_title, title_and_links
 from millrace.functions.urls import is_web_address, normalize_url, resolve_links
 from millrace.scratch import fresh_dir
 
@@ -154,6 +154,20 @@ def read_pages(
     return found.filter(kept).select("url", "page.*")
 
 
+def wide_records(snapshot: DataFrame, run_ts: int, *keep: str, types: Sequence[str] | None = PAGE_TYPES) -> DataFrame:
+    """The wide record of every snapshot row that holds a page: ``url``, ``final_url``, ``fetched_at``
+    (the snapshot's column of that name, or else when the run began) and the fields of
+    ``functions.html.page_record``; copies included, documents parsed where they lie."""
+    at = F.lit(run_ts).cast("bigint")
+    if "fetched_at" in snapshot.columns:
+        at = F.coalesce(F.col("fetched_at").cast("bigint"), at)
+    rows = keyed(of_type(snapshot, types)).filter(was_fetched())
+    final = normalize_url(F.coalesce(F.col("final_url"), F.col("key"))).alias("final_url")
+    record = page_record(F.col("html")).alias("record")
+    wide = rows.select(*keep, F.col("key").alias("url"), final, at.alias("fetched_at"), record)
+    return wide.select(*keep, "url", "final_url", "fetched_at", "record.*")
+
+
 def has_places(snapshot: DataFrame) -> bool:
     """Whether rows can be told by file and place in it: files of a format that numbers its rows."""
     try:

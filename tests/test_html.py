@@ -6,7 +6,9 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.html import link_texts, page_title, title_and_links, unescape
+from millrace.functions.html import link_texts, page_language, page_record, page_title, title_and_links, unescape
+from millrace.scratch import fresh_dir
+from millrace.sources.web import wide_records
 
 REFERENCES = [
     "a&amp;b", "&lt;&gt;&quot;&#39;&apos;", "&copy 2020", "&notit;", "&notin;", "&amp", "&bogus;",
@@ -149,7 +151,8 @@ def test_missing_document(spark):
 def test_long_documents_take_linear_time(spark, part, times):
     rows = spark.createDataFrame([("<title>a" + part * times,)], "html string")
     started = time.time()
-    rows.select(title_and_links(F.col("html")).alias("r")).write.format("noop").mode("overwrite").save()
+    for read in (title_and_links, page_record):
+        rows.select(read(F.col("html")).alias("r")).write.format("noop").mode("overwrite").save()
     assert time.time() - started < 30
 
 
@@ -157,3 +160,43 @@ def test_whole_document_is_read(spark):
     text = "<p>" + "word " * 400_000 + "<a href=/end>"
     rows = spark.createDataFrame([(text,)], "html string")
     assert rows.select(link_texts(F.col("html"))).first()[0] == ["/end"]
+
+
+RECORDS = [
+    (
+        """<!doctype html><HTML class=x Lang='d&eacute;'><head><!-- <meta name=no content=no> --><meta charset=utf-8>
+        <META NAME="Author" content="A &amp; B"><meta name=author content=second><meta property='og:title' content="T>t">
+        <meta name=empty content=""><meta name=lost><meta content=alone><meta charset=late><title> T &lt; </title>
+        <link rel=stylesheet href=s><link rel="Canonical" href="/c?a&amp;b"><link rel=canonical href=/later></head>
+        <script>"<a href=no>"</script><a name=x><a href="/1&amp;2">1</a><a href=/1&2>""",
+        ("T <", "dé", "utf-8", "/c?a&b", ["/1&2", "/1&2"], {"author": "A & B", "og:title": "T>t", "empty": ""}),
+    ),
+    ("", ("", None, None, None, [], {})),
+    ("plain text", ("", None, None, None, [], {})),
+    ("<html><title>x</title><meta><link><a></html>", ("x", None, None, None, [], {})),
+    ("<p lang=no><meta name=A content=1><META name=a content=2><meta name=b content=3>", ("", None, None, None, [], {"a": "1", "b": "3"})),
+]
+
+
+def test_wide_records(spark):
+    frame = spark.createDataFrame([(document,) for document, _ in RECORDS] + [(None,)], "html string")
+    got = frame.select(page_record(F.col("html")).alias("r"), page_language(F.col("html")).alias("lang")).collect()
+    assert [tuple(row["r"]) for row in got[:-1]] == [wanted for _, wanted in RECORDS]
+    assert [row["lang"] for row in got[:-1]] == [wanted[1] for _, wanted in RECORDS]
+    assert got[-1]["r"] is None
+
+
+def test_wide_records_of_a_snapshot(spark):
+    rows = [
+        ("http://h/a?1", None, 200, "<title>a</title><a href=b>", "Text/HTML", 7),
+        ("http://h/a?2", "http://h/z/", None, "<meta name=k content=v>", None, None),
+        ("http://h/b", None, 404, "x", None, 7), ("http://h/c", None, 200, "x", "image/png", 7), ("nowhere", None, 200, "x", None, 7),
+    ]
+    snapshot = spark.createDataFrame(rows, "url string, final_url string, status int, html string, content_type string, fetched_at long")
+    wide = wide_records(snapshot, 99)
+    path = fresh_dir(spark, "wide")
+    wide.write.parquet(f"{path}/parquet")
+    wide.write.json(f"{path}/json")
+    for stored in (spark.read.parquet(f"{path}/parquet"), spark.read.schema(wide.schema).json(f"{path}/json")):
+        assert sorted((r["final_url"], r["fetched_at"], r["title"], r["links"], r["meta"]) for r in stored.collect()) == [
+            ("http://h/a", 7, "a", ["b"], {}), ("http://h/z", 99, "", [], {"k": "v"})]

@@ -1,3 +1,6 @@
+import threading
+import time
+
 import pytest
 from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import functions as F
@@ -10,8 +13,10 @@ from millrace.scratch import fresh_dir, shared_root
 from millrace.sinks import files as sink
 from millrace.sinks.topics import as_records, produce
 from millrace.sources import tables as source
+from millrace.sources.evolving import EvolvingTable
 from millrace.sources.topics import RECORD_SCHEMA, BrokerTopic, RecordFiles, consume
 from millrace.streaming.append import drain_append, start_append
+from millrace.streaming.quarantine import KEPT, QUARANTINED, start_sorting
 
 
 def part_files(spark, path):
@@ -153,6 +158,74 @@ def test_consume_is_bounded_and_ordered(spark):
         topic.stream(spark, starting="latest")
 
 
+def test_consume_waits_for_a_bounded_time(spark):
+    topic = RecordFiles(fresh_dir(spark, "topic"))
+    started = time.monotonic()
+    assert consume(spark, topic, 1, timeout=2).count() == 0  # never filled
+    assert 2 <= time.monotonic() - started < 20
+    assert consume(spark, topic, 1).count() == 0
+    filler = threading.Timer(1.5, lambda: produce(records(spark, 0, 3), topic))
+    filler.start()
+    late = consume(spark, topic, 2, timeout=60)
+    filler.join()
+    assert [r["offset"] for r in late.collect()] == [0, 1]
+    started = time.monotonic()
+    assert consume(spark, topic, 5, timeout=1).count() == 3  # fewer than asked for
+    assert time.monotonic() - started >= 1
+
+
+def test_consume_spans_partitions(spark):
+    topic = RecordFiles(fresh_dir(spark, "topic"))
+    both = [records(spark, 0, 4).withColumn("partition", F.lit(p).cast("int")) for p in (1, 0)]
+    produce(both[0].union(both[1]).union(both[1].filter("offset = 3")), topic)
+    for n, wanted in ((4, [(0, 0), (0, 1), (0, 2), (0, 3)]), (7, [(0, 0), (0, 1), (0, 2), (0, 3), (0, 3), (1, 0), (1, 1)])):
+        assert [(r["partition"], r["offset"]) for r in consume(spark, topic, n).collect()] == wanted
+
+
+def test_messages_are_sorted_once_whatever_stops(spark):
+    topic = RecordFiles(fresh_dir(spark, "topic"), {"maxFilesPerTrigger": "1"})
+    path, checkpoint = fresh_dir(spark, "sorted"), fresh_dir(spark, "ck")
+    texts = ['{"message":"a"}', "{", "", "  ", None, '{"message":5}', '[{"message":"b"}', '"x"', '{"message":{"a":1}}', "{}"]
+    for part in range(3):
+        rows = spark.createDataFrame([(10 * part + i, t) for i, t in enumerate(texts)], "id long, text string")
+        produce(as_records(rows, "t", value=F.col("text"), offset=F.col("id")).coalesce(1), topic)
+    stopped = []
+
+    def stop(batch):
+        if batch not in stopped:
+            stopped.append(batch)
+            raise RuntimeError("stopped")
+
+    for _ in range(4):
+        try:
+            start_sorting(topic.stream(spark), path, checkpoint, drain=True, between=stop).awaitTermination()
+        except StreamingQueryException:
+            pass
+    assert stopped == [0, 1, 2]
+    kept = spark.read.parquet(f"{path}/{KEPT}").collect()
+    rest = spark.read.parquet(f"{path}/{QUARANTINED}").collect()
+    assert sorted(r["offset"] for r in kept + rest) == sorted(10 * part + i for part in range(3) for i in range(len(texts)))
+    reasons = {r["offset"] % 10: (r["reason"], r["value"]) for r in rest}
+    assert {i: bytes(v).decode() if v is not None else None for i, (_, v) in reasons.items()} == {i: texts[i] for i in reasons}
+    assert {i: why for i, (why, _) in reasons.items()} == {
+        1: "malformed", 2: "empty", 3: "empty", 4: "missing", 6: "malformed", 7: "malformed"}
+    assert {r["message"] for r in kept} == {"a", "5", '{"a":1}', None}
+
+
+def test_evolving_table(spark):
+    table = EvolvingTable(spark, fresh_dir(spark, "evolving"))
+    table.append(spark.createDataFrame([(1, "a", 1.5)], "n int, t string, f float"))
+    table.append(spark.createDataFrame([(2, "b")], "n smallint, t string"))
+    assert table.versions().count() == 1  # nothing new
+    table.append(spark.createDataFrame([(2**40, 2.5, True)], "n long, f double, more boolean"))
+    assert table.schema().simpleString() == "struct<n:bigint,t:string,f:double,more:boolean>"
+    assert sorted(tuple(r) for r in table.read().collect()) == [
+        (1, "a", 1.5, None), (2, "b", None, None), (2**40, None, 2.5, True)]
+    with pytest.raises(ValueError):
+        table.append(spark.createDataFrame([("x",)], "n string"))
+    assert table.read().count() == 3 and table.versions().count() == 2
+
+
 def test_broker_topic_needs_its_connector(spark):
     topic = BrokerTopic("localhost:9092", "events")
     for use in (
