@@ -1,20 +1,25 @@
 """The main text of a page by text-to-tag ratios.
 
 The standard library's parser streams events; block elements cut them into lines.  Each line
-has the ratio of its text, links counted out, to its tags; the ratios are smoothed by a Gaussian
-over neighbouring lines, and lines at or above a share of the ratios' deviation are content.
-Lines of elements that are never content by their name or their class count as 0 and are left
-out.  The content lines of an ``article``, or else of a ``main``, vouch for the whole element;
-without either, runs of content lines are the text, short gaps between them included.
+has the ratio of its text, links counted out, to its tags, times the weight of its place: none in
+an element that names itself as something else, little outside the page's ``article`` or ``main``
+elements if it has such.  The ratios are smoothed by a Gaussian over neighbouring lines.  Two means
+over smoothed ratio and its change, one of them held at the origin, part the lines: those nearer to
+the other mean are content.  A region of content grows over neighbours, short paragraphs and headings,
+whose smoothed ratio is not below a share of that mean's, and takes in what lies between.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; an unclosed
-element ends where HTML ends it; characters are counted as code points; other columns pass
-through untouched.
+element ends where HTML ends it; an unfinished tag at the end is text; characters are counted as code
+points; very long pages take time in proportion to their length; repeated rows are rows of their own
+and an empty table gives no rows; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from dataclasses import dataclass
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,8 +32,11 @@ from millrace.llm.rows import add_struct, texts_of
 
 SIGMA = 1.0
 RADIUS = 3
-SHARE = 0.5
+OUTSIDE = 0.1  # weight of lines outside article and main, where there are such
+GROWTH = 0.02  # share of the content's mean ratio that a neighbour needs
+INSIDE_GROWTH = 0.0  # the same within an article or main element
 GAP = 2
+TURNS = 50
 
 # Element names of HTML by their role, and words that name parts of a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,10 +44,8 @@ INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
     "samp small span strike strong sub sup time tt u var".split()
 )
-NEVER = set(
-    "head script style noscript template title nav footer aside form button select textarea input "
-    "option iframe object svg canvas audio video map menu dialog".split()
-)
+HIDDEN = set("head script style noscript template title textarea option iframe object svg canvas audio video map".split())
+NEVER = set("nav footer aside form button select input menu dialog".split())
 WORDS = set(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments "
     "consent cookie cookies disclaimer disqus footer gdpr masthead menu modal nav navbar navigation "
@@ -69,39 +75,62 @@ def _noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+@dataclass(frozen=True)
+class Line:
+    """A line's text, the tags since the line before, its characters within links, and where it lies."""
+
+    text: str
+    tags: int
+    linked: int
+    named: bool  # in an element that names itself as something else
+    home: int  # number of its article or main element, or 0
+
+
 class Lines(HTMLParser):
-    """Collects the lines of a page: text, tags, text in links, and the element they are of."""
+    """Collects the lines of a page.
+
+    Open elements are counted by name within the innermost block, so a closing tag that closes
+    nothing costs no search, and every element is opened and closed once.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[Line] = []
         self._open: list[str] = []
-        self._dropped: int | None = None  # how deep the element lies that is left out
-        self._parts: list[str] = []
-        self._tags = self._linked = self._links = 0
-        self._homes: list[tuple[int, int, str]] = []  # depth, number and name of article and main
+        self._names: Counter[str] = Counter()  # of all open elements
+        self._blocks: list[tuple[int, Counter[str]]] = [(-1, Counter())]  # depth, inline elements within
+        self._hidden: list[int] = []  # depths of elements that show no text
+        self._other: list[int] = []  # depths of elements that name themselves as something else
+        self._homes: list[tuple[int, int]] = []  # depth and number of article and main
         self._made = 0
+        self._parts: list[str] = []
+        self._tags = self._linked = 0
 
     def _flush(self) -> None:
         if self._parts:
             text = " ".join("".join(self._parts).split())
             if text:
-                home = self._homes[-1] if self._homes else (0, 0, "")
-                self.lines.append((text, self._tags, self._linked, home[1], home[2]))
+                home = self._homes[-1][1] if self._homes else 0
+                self.lines.append(Line(text, self._tags, self._linked, bool(self._other), home))
         self._parts, self._tags, self._linked = [], 0, 0
 
     def _shrink(self, depth: int) -> None:
         """Close all elements from ``depth`` on."""
-        if self._dropped is not None and self._dropped >= depth:
-            self._dropped = None
+        while len(self._open) > depth:
+            name = self._open.pop()
+            self._names[name] -= 1
+            if self._blocks[-1][0] == len(self._open):
+                self._blocks.pop()
+            else:
+                self._blocks[-1][1][name] -= 1
+        for depths in (self._hidden, self._other):
+            while depths and depths[-1] >= depth:
+                depths.pop()
         while self._homes and self._homes[-1][0] >= depth:
             self._homes.pop()
-        self._links = 0 if "a" not in self._open[:depth] else self._links
-        del self._open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        block = tag not in INLINE and tag not in VOID or tag == "hr"
-        if block:
+        if tag not in INLINE and tag not in VOID or tag == "hr":
             self._flush()
             self._close_implied(tag)
         self._tags += 1
@@ -111,25 +140,25 @@ class Lines(HTMLParser):
             return
         depth = len(self._open)
         self._open.append(tag)
-        if self._dropped is None:
-            if tag in NEVER or tag == "header" and not self._homes or attrs and _noise(tag, attrs):
-                self._dropped = depth
-            elif tag in ("article", "main"):
-                self._made += 1
-                self._homes.append((depth, self._made, tag))
-        if tag == "a":
-            self._links += 1
+        self._names[tag] += 1
+        if tag in INLINE:
+            self._blocks[-1][1][tag] += 1
+        else:
+            self._blocks.append((depth, Counter()))
+        if tag in HIDDEN:
+            self._hidden.append(depth)
+        elif tag in NEVER or tag == "header" and not self._homes or attrs and _noise(tag, attrs):
+            self._other.append(depth)
+        elif tag in ("article", "main"):
+            self._made += 1
+            self._homes.append((depth, self._made))
 
     def _close_implied(self, tag: str) -> None:
         """A block ends an open paragraph, an item an open item."""
+        depth = self._blocks[-1][0]
         enders = ("p", tag) if tag in ("li", "dt", "dd", "tr", "td", "th", "option") else ("p",)
-        for depth in range(len(self._open) - 1, -1, -1):
-            name = self._open[depth]
-            if name in enders:
-                self._shrink(depth)
-                return
-            if name not in INLINE:
-                return
+        if depth >= 0 and self._open[depth] in enders:
+            self._shrink(depth)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -140,22 +169,28 @@ class Lines(HTMLParser):
         if tag not in INLINE and tag not in VOID:
             self._flush()
         self._tags += 1
-        for depth in range(len(self._open) - 1, -1, -1):
-            if self._open[depth] == tag:
-                self._shrink(depth)
-                return
-            if tag in INLINE and self._open[depth] not in INLINE:
-                return
+        # An inline element is closed within its block only.
+        known = self._blocks[-1][1] if tag in INLINE else self._names
+        if known[tag] > 0:
+            depth = len(self._open) - 1
+            while self._open[depth] != tag:
+                depth -= 1
+            self._shrink(depth)
 
     def handle_data(self, data: str) -> None:
-        if self._dropped is None:
+        if not self._hidden:
             self._parts.append(data)
-            if self._links:
+            if self._names["a"] > 0:
                 self._linked += len(data.strip())
 
-    def close(self) -> None:
-        super().close()
+    def read(self, html: str) -> list[Line]:
+        """The lines of a page; an unfinished tag at its end is taken as text at once."""
+        end = html.rfind(">") + 1
+        self.feed(html[:end])
+        self.close()
+        self.handle_data(unescape(html[end:]))
         self._flush()
+        return self.lines
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -166,38 +201,66 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(ratios, RADIUS), kernel, "valid")
 
 
-def content_lines(lines: list[tuple[str, int, int, int, str]]) -> np.ndarray:
+def core(ratios: np.ndarray) -> tuple[np.ndarray, float]:
+    """Lines nearer to the content's mean than to the origin, and that mean's ratio.
+
+    The points are the smoothed ratios with the size of their change from line to line; the mean
+    starts at the greatest ratio and moves to the middle of its lines until it stays.
+    """
+    change = np.abs(np.diff(ratios, append=0.0))
+    points = np.stack([ratios, change], axis=1)
+    mean = points[ratios.argmax()]
+    near = np.zeros(len(ratios), bool)
+    for _ in range(TURNS):
+        # Nearer to the mean than to the origin.
+        now = points @ mean > mean @ mean / 2
+        if not now.any() or (now == near).all():
+            break
+        near, mean = now, points[now].mean(axis=0)
+    return near, float(mean[0])
+
+
+def content_lines(lines: list[Line]) -> np.ndarray:
     """Which lines are the article's."""
-    size = np.array([len(line[0]) for line in lines], float)
-    linked = np.minimum(np.array([line[2] for line in lines], float), size)
-    tags = np.maximum(np.array([line[1] for line in lines], float), 1)
-    ratios = smoothed((size - linked) / tags)
-    content = ratios >= SHARE * ratios.std()
-    homes, kinds = np.array([line[3] for line in lines]), np.array([line[4] for line in lines])
-    for kind in ("article", "main"):
-        inside = kinds == kind
-        if inside.any():
-            chosen = np.unique(homes[inside & content])
-            if not len(chosen):
-                chosen = homes[inside][[ratios[inside].argmax()]]
-            return inside & np.isin(homes, chosen)
-    content &= 2 * linked <= size
-    picked = np.flatnonzero(content)
-    for a, b in zip(picked[:-1], picked[1:]):
-        if b - a <= GAP + 1:
-            content[a + 1 : b] |= 2 * linked[a + 1 : b] <= size[a + 1 : b]
-    return content
+    size = np.array([len(line.text) for line in lines], float)
+    linked = np.minimum(np.array([line.linked for line in lines], float), size)
+    tags = np.maximum(np.array([line.tags for line in lines], float), 1)
+    home = np.array([line.home for line in lines])
+    named = np.array([line.named for line in lines])
+    weight = np.where((home > 0) | (not home.any()), 1.0, OUTSIDE) * ~named
+    ratios = smoothed((size - linked) / tags * weight) * weight
+    near, mean = core(ratios)
+    vouched = np.isin(home, home[near & (home > 0)]) & (home > 0)
+    least = np.where(vouched, INSIDE_GROWTH, GROWTH) * mean
+    fits = (ratios > least) & ((2 * linked <= size) | vouched)
+    return _grown(near & fits, fits, weight > 0)
+
+
+def _grown(near: np.ndarray, fits: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Runs of lines that fit, with a line of the core in each; up to ``GAP`` others within a run come
+    along, and lines that do not count neither end a run nor belong to it."""
+    out = np.zeros(len(near), bool)
+    run, cored, gap = [], False, []
+    for i in [*np.flatnonzero(counts).tolist(), None]:
+        if i is not None and fits[i]:
+            run, gap, cored = run + gap + [i] if gap else run, [], cored or bool(near[i])
+            if not run or run[-1] != i:
+                run.append(i)
+            continue
+        if i is not None and run and len(gap) < GAP:
+            gap.append(i)
+            continue
+        if cored:
+            out[run] = True
+        run, cored, gap = [], False, []
+    return out
 
 
 def main_text(html: str) -> str:
     """The article of a page, its blocks joined by one space."""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    if not parser.lines:
-        return ""
-    chosen = content_lines(parser.lines)
-    return " ".join(line[0] for line, use in zip(parser.lines, chosen.tolist()) if use)
+    lines = Lines().read(html)
+    chosen = content_lines(lines) if lines else np.empty(0, bool)
+    return " ".join(line.text for line, use in zip(lines, chosen.tolist()) if use)
 
 
 def extract(pages: DataFrame) -> DataFrame:

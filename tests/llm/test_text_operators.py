@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import html
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -135,22 +137,75 @@ def test_main_text(wrap):
     assert main_text.main_text(PAGE % (wrap % body)) == want
 
 
-def test_main_text_of_the_test_pages(spark):
-    import html
+def article(page):
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    inner = re.sub(r"<(?!/?b>)[^>]*>", " ", inner)
+    return " ".join(html.unescape(re.sub(r"</?b>", "", inner)).split())
+
 
+def test_main_text_of_the_test_pages(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     for row in main_text.extract(pages).select("row.html", "out.text").collect():
-        inner = re.search(r"<article>(.*)</article>", row["html"], re.S)[1]
-        inner = re.sub(r"<(?!/?b>)[^>]*>", " ", inner)
-        assert row["text"] == " ".join(html.unescape(re.sub(r"</?b>", "", inner)).split())
+        assert row["text"] == article(row["html"])
+
+
+def test_main_text_without_semantic_tags(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = [(r["html"], article(r["html"])) for r in pages.collect()]
+    assert len(found) == 250
+    for tag in ("", "<div>", "<section>"):
+        bare = [(re.sub("</?article>", lambda m: tag.replace("<", m[0][: m[0].index("a")]), page), want) for page, want in found]
+        assert sum(main_text.main_text(page) == want for page, want in bare) >= 245
+
+
+# Nothing here says by name what it is.
+PLAIN = """<body><div>{menu}</div><div>Go</div><div>Login</div><div>{menu}</div><p>{long}</p><p>Short one.</p><p>{long}</p>
+<div>{menu}</div><div>{menu}</div><div>{menu}</div><div>Legal</div><div>Contact</div></body>"""
+
+
+def plain_page(rng):
+    def prose(n):
+        return " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+
+    menu = "".join(f"<div><a href=/{i}>{prose(rng.randrange(1, 6))}</a></div>" for i in range(12))
+    texts = [prose(80), "Short one.", prose(120)]
+    page = PLAIN.replace("{menu}", menu).replace("{long}", texts[0], 1).replace("{long}", texts[2], 1)
+    return page, " ".join(texts)
+
+
+def test_ratios_decide(monkeypatch):
+    pages = [plain_page(random.Random(i)) for i in range(30)]
+    assert all(main_text.main_text(page) == want for page, want in pages)
+    monkeypatch.setattr(main_text, "smoothed", lambda ratios: np.ones(len(ratios)))
+    assert not any(main_text.main_text(page) == want for page, want in pages)
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(main_text, "smoothed", lambda ratios: rng.random(len(ratios)))
+    assert not any(main_text.main_text(page) == want for page, want in pages)
+
+
+SHAPES = ["<div>", "</x>", "<a ", "<b>", '<a href="', "<!--", "<![CDATA[", "<?", "</", "&#", "<script>", "<p><b>", "<b><hr>", "</p>", "<li>"]
+
+
+@pytest.mark.parametrize("shape", [*SHAPES, ("<div>", "</x>"), ("<i><div><b>", "</i>"), ("<b>", "<hr>"), ("<p>x", "</b>")])
+@pytest.mark.parametrize("end", ["", ">", "-->"])
+def test_hostile_pages_take_linear_time(shape, end):
+    parts = (shape,) if isinstance(shape, str) else shape
+    page = "".join(part * ((1 << 20) // len(parts) // len(part)) for part in parts) + end
+    started = time.time()
+    main_text.main_text(page)
+    assert time.time() - started < 15  # a quadratic one takes hours
 
 
 def test_main_text_edges(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, "plain &eacute;", "c"), (3, "<p>x", "d"), (None, "<script>x", "e"), (5, "<" * 2000, "f")]
-    pages = spark.createDataFrame(rows, "page_id long, html string, url string")
-    got = {r["url"]: (r["text"], r["n_chars"]) for r in main_text.report(main_text.extract(pages)).collect()}
+    rows += [(6, "<p>" + "word " * 400_000, "g"), (7, "<p>same", "h"), (7, "<p>same", "h")]
+    pages = spark.createDataFrame([(*r, "o", "t") for r in rows], "page_id long, html string, url string, out string, text string")
+    report = main_text.report(main_text.extract(pages)).collect()
+    assert len(report) == len(rows) and sum(r["text"] == "same" for r in report) == 2
+    got = {r["url"]: (r["text"], r["n_chars"]) for r in report}
     assert got["a"] == got["b"] == got["e"] == ("", 0)
-    assert got["c"] == ("plain é", 7) and got["d"] == ("x", 1)
+    assert got["c"] == ("plain é", 7) and got["d"] == ("x", 1) and got["g"][1] == 5 * 400_000 - 1
+    assert main_text.report(main_text.extract(pages.limit(0))).count() == 0
 
 
 RULES = queries.URL_RULES
