@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 from millrace.functions.binding import bind
 from millrace.functions.html import link_texts, page_record, page_title, title_and_links
 from millrace.functions.urls import is_web_address, normalize_url, resolve_links
+from millrace.operators.probe import bitmaps_of, possible
 from millrace.scratch import fresh_dir
 
 # Types of documents that are parsed, and the registered kinds of types.
 PAGE_TYPES = ("text/html", "application/xhtml+xml")
 TYPE_FAMILIES = "application audio font image message model multipart text video".split()
 
-BITMAP_BITS = 1 << 15  # of one row of Spark's bitmap aggregate
-BITMAPS = 1 << 8
 BITMAP_SCHEMA = pa.schema([("bucket", pa.int64()), ("bits", pa.binary())])
 LISTED_FILES = 10_000
 
@@ -192,10 +191,6 @@ def first_of_copies(rows: DataFrame) -> DataFrame:
     return rows.groupBy("url").agg(first).select("url", "first.file", "first.row", "first.reason")
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("file", "row"), F.lit(BITMAP_BITS * BITMAPS))
-
-
 def fetch(
     snapshot: DataFrame, wanted: DataFrame, path: str, columns: Sequence[str] = COLUMNS
 ) -> int:
@@ -211,18 +206,13 @@ def fetch(
     files = [r["file"] for r in wanted.select("file").distinct().limit(LISTED_FILES + 1).collect()]
     if not files:
         return 0
-    slots = wanted.select(_slot().alias("slot"))
-    bit = F.col("slot") % BITMAP_BITS
-    bucket = F.floor(F.col("slot") / BITMAP_BITS).alias("bucket")
-    held = slots.groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias("bits")).collect()
+    held = bitmaps_of(wanted, "file", "row").collect()  # at most a megabyte
     bitmaps = spark.createDataFrame(pa.Table.from_pylist([r.asDict() for r in held], BITMAP_SCHEMA))
     rows = snapshot.filter(F.col("_metadata.file_path").isin(files)) if len(files) <= LISTED_FILES else snapshot
     rows = rows.withColumns({"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")})
-    rows = rows.select("*", _slot().alias("slot")).select("*", bucket)
-    octet = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    probed = rows.join(F.broadcast(bitmaps), "bucket").filter(F.getbit(octet, (bit % 8).cast("int")) == 1)
+    chosen = possible(rows, bitmaps, "file", "row")
     parse = Observation()
-    found = parsed(probed.observe(parse, F.count(F.lit(1)).alias("n")), "file", "row", columns=columns)
+    found = parsed(chosen.observe(parse, F.count(F.lit(1)).alias("n")), "file", "row", columns=columns)
     # Stored before it is joined: a plan with the parser in it takes the driver long to change.
     found.write.parquet(f"{path}-parsed")
     found = spark.read.schema(found.schema).parquet(f"{path}-parsed").filter("page IS NOT NULL").drop("url")

@@ -7,6 +7,7 @@ from millrace.operators import checks
 from millrace.operators.allowlist import semi_join_allowed
 from millrace.operators.caps import first_rows, head
 from millrace.operators.counts import element_count_lines, element_counts, row_count, row_counts
+from millrace.operators.probe import bitmaps_of, possible, without
 from millrace.operators.frontier import first_parents, first_visits, unseen, with_seen
 from millrace.operators.models import materialize
 from millrace.scratch import fresh_dir
@@ -132,3 +133,15 @@ def test_day_stamp_ignores_the_session_time_zone(spark):
 def test_seeds(spark):
     texts = spark.createDataFrame([(" http://A.org\thttp://a.org/ ",), ("b.org http://c.org/x",), ("",)], "seeds string")
     assert {tuple(r) for r in seed_urls(texts).collect()} == {("http://a.org/", 0), ("http://c.org/x", 0)}
+
+
+def test_probes_lose_nothing_and_drop_exactly(spark):
+    rows = spark.range(3000).select("id", F.col("id").cast("string").alias("may"), F.lit("b").alias("bits"))
+    wanted = spark.range(0, 3000, 7).withColumn("more", F.lit(1))
+    may = possible(rows.drop("may"), bitmaps_of(wanted, "id"), "id")
+    assert 429 <= may.count() < 440 and may.join(wanted, "id").count() == 429
+    left = without(rows.select("id", F.lit(1).alias("x y")), wanted, "id")
+    assert left.columns == ["id", "x y"] and left.count() == 3000 - 429
+    assert left.filter("id % 7 = 0").count() == 0
+    assert without(rows.select("id"), wanted.limit(0), "id").count() == 3000
+    assert possible(rows.select("id"), bitmaps_of(wanted.limit(0), "id"), "id").count() == 0
