@@ -24,7 +24,7 @@ from millrace.scratch import fresh_dir
 PAGE_TYPES = ("text/html", "application/xhtml+xml")
 TYPE_FAMILIES = "application audio font image message model multipart text video".split()
 
-BITMAP_SCHEMA = pa.schema([("bucket", pa.int64()), ("bits", pa.binary())])
+BITMAP_SCHEMA = pa.schema([("_probe_bucket", pa.int64()), ("_probe_bits", pa.binary())])
 LISTED_FILES = 10_000
 
 
