@@ -24,19 +24,22 @@ def components(links: DataFrame, work: str, name: str) -> DataFrame:
     def directed(df: DataFrame) -> DataFrame:
         return df.select("u", "v").unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
-    def hung(df: DataFrame) -> DataFrame:
-        """``df`` with the smallest of each ``u`` and its neighbours."""
-        least = df.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        return df.join(least, "u")
+    def hung(df: DataFrame, step: str) -> DataFrame:
+        """``df`` with the smallest of each ``u`` and its neighbours.
+
+        These are written first: an aggregate below a join would keep a hub's rows in one task.
+        """
+        least = df.groupBy("u").agg(F.min(F.least("u", "v")).alias("v"))
+        return df.join(stored(least, f"{step}-least").withColumnRenamed("v", "m"), "u")
 
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = stored(edges.distinct(), "0")
     turn, before = 0, None
     while True:
         turn += 1
-        large = hung(directed(edges)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        small = hung(large)  # u > v already
+        large = hung(directed(edges), f"{turn}-up").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.filter("u <> v").distinct(), f"{turn}-large")
+        small = hung(large, f"{turn}-down")  # u > v already
         near = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = small.select("u", F.col("m").alias("v"))
         edges = stored(near.unionByName(own).distinct(), str(turn))

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.probe import bitmaps_of, possible, without
 from millrace.scratch import fresh_dir
 
 # State lives in one small store per partition, so stores do not reserve space ahead (4 MB each).
@@ -27,7 +28,6 @@ STATE_CONF = {
     ),
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-SMALL_ROWS = 100_000
 
 DECISION = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
 
@@ -61,7 +61,8 @@ def run_stream(spark: SparkSession, path: str, work: str, digest=sha256_hex, bat
     if batch_bytes:
         source = source.option("maxBytesPerTrigger", batch_bytes)
     # As a pattern the path may name a folder or one file.
-    arrived = source.parquet(f"{path[:-1]}[{path[-1]}]").select(digest(folded(F.col("text"))).alias("digest"), _place().alias("place"))
+    bare = path.rstrip("/")
+    arrived = source.parquet(f"{bare[:-1]}[{bare[-1]}]" if bare[-1].isalnum() else bare).select(digest(folded(F.col("text"))).alias("digest"), _place().alias("place"))
     state = arrived.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n"))
 
     def store(changed: DataFrame, batch: int) -> None:
@@ -94,7 +95,7 @@ def run_stream(spark: SparkSession, path: str, work: str, digest=sha256_hex, bat
     return entries.groupBy("digest").agg(latest).select("digest", "entry.*")
 
 
-def decide(spark: SparkSession, path: str, digest=sha256_hex, batch_bytes: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+def decide(spark: SparkSession, path: str, digest=sha256_hex, batch_bytes: int | None = None) -> DataFrame:
     """``DECISION`` and ``place`` for every row of the Parquet files at ``path``."""
     work = fresh_dir(spark, "exact-dedup")
     entries = run_stream(spark, path, work, digest, batch_bytes)
@@ -106,7 +107,7 @@ def decide(spark: SparkSession, path: str, digest=sha256_hex, batch_bytes: int |
     told = found.join(entries, "digest")
     told.write.parquet(f"{work}/told")
     told = spark.read.parquet(f"{work}/told")
-    wrong = _disagreeing(rows, told.filter("n > 1"), work, small_rows)
+    wrong = _disagreeing(rows, told.filter("n > 1"), work)
     sure = told
     if wrong is not None:
         sure = told.join(wrong, "digest", "left_anti")
@@ -124,23 +125,19 @@ def decide(spark: SparkSession, path: str, digest=sha256_hex, batch_bytes: int |
     return out
 
 
-def _texts_at(rows: DataFrame, places: DataFrame, small_rows: int) -> DataFrame:
-    """``places`` with the folded ``text`` that lies there.
-
-    Few places are broadcast, so that only their texts move; many are joined by shuffle.
-    """
-    if places.count() <= small_rows:
-        places = F.broadcast(places)
-    return rows.join(places, "place").withColumn("text", folded(F.col("text")))
+def _texts_at(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` with the folded ``text`` that lies there; other texts stay where they are."""
+    near = possible(rows, bitmaps_of(places, "place"), "place")
+    return near.join(places, "place").withColumn("text", folded(F.col("text")))
 
 
-def _disagreeing(rows: DataFrame, hits: DataFrame, work: str, small_rows: int) -> DataFrame | None:
+def _disagreeing(rows: DataFrame, hits: DataFrame, work: str) -> DataFrame | None:
     """Digests of hits whose bytes are not those at the locator; None if there are none.
 
     One row stands at a locator, and hits that share it are on the other side of the join, where
     a skewed partition can be split.
     """
-    texts = _texts_at(rows, hits.select("place", "digest", "first"), small_rows)
+    texts = _texts_at(rows, hits.select("place", "digest", "first"))
     copies = texts.filter("place <> first").select("first", "digest", "text")
     firsts = texts.filter("place = first").select("first", F.col("text").alias("kept_text"))
     checked = copies.join(firsts, "first").filter("text <> kept_text")
@@ -151,7 +148,7 @@ def _disagreeing(rows: DataFrame, hits: DataFrame, work: str, small_rows: int) -
 
 def _by_bytes(rows: DataFrame, told: DataFrame) -> DataFrame:
     """The decision for rows of shared digests, by the whole text itself."""
-    texts = rows.join(told.select("place"), "place").withColumn("text", folded(F.col("text")))
+    texts = _texts_at(rows, told.select("place"))
     groups = texts.groupBy("text").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     return texts.join(groups, "text").select(
         "doc_id",
@@ -170,14 +167,15 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     """
     spark, path = docs.sparkSession, fresh_dir(docs.sparkSession, "landed")
     docs.write.option("compression", "zstd").parquet(path)
+    work = fresh_dir(spark, "copies")
     dropped = decide(spark, path).filter("NOT kept").select(
         F.col("place.file").alias("_file"), F.col("place.row").alias("_row")
     )
-    if dropped.count() <= SMALL_ROWS:
-        dropped = F.broadcast(dropped)
+    dropped.write.parquet(work)
+    dropped = spark.read.schema(dropped.schema).parquet(work)
     landed = spark.read.schema(docs.schema).parquet(path)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     placed = landed.select(
         row, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
-    return placed.join(dropped, ["_file", "_row"], "left_anti").select("row.*")
+    return without(placed, dropped, "_file", "_row").select("row.*")

@@ -9,8 +9,8 @@ Nodes that share a band are candidates.  Each is compared with the first node of
 bands: the Jaccard estimate of the two sketches, corrected for collisions, drops pairs that are
 far off, and the others are decided on the full sets.  The links join nodes to components.
 A link between nodes that are no link of their band's first node must not be lost.  So within
-a cluster, which is what near pairs hold together, sets of different components are compared as
-matrix products of bounded blocks; and where a band holds nodes of several clusters, their
+a cluster, which is what near pairs hold together, sets of different components are joined by the
+rarest of their values (an exact prefix filter) and decided; and where a band holds nodes of several clusters, their
 sketches are compared across clusters, and what is near is decided on the full sets.  Nodes
 already joined are not paired at all.
 
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from millrace.llm.components import components
 from millrace.llm.rows import arrow_schema, bytes_of, chunks, numbered
 from millrace.llm.spans import STEP, Words, fold_table, mixed
+from millrace.operators.probe import bitmaps_of, possible, without
 from millrace.scratch import fresh_dir
 
 BANDS = 50
@@ -47,7 +48,6 @@ MANTISSA = 10
 PROBES = 16
 MARGIN = 5.5
 BLOCK_ROWS = 256
-COLUMNS = 16_384
 SMALL_ROWS = 500_000
 
 WORD_TABLE = fold_table(lambda b: b != 32 and not 9 <= b <= 13)
@@ -216,11 +216,8 @@ def _small(df: DataFrame, small_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= small_rows else df
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int, small_rows: int) -> DataFrame:
-    """``SETS`` of the wanted nodes (``node``).
-
-    Few are broadcast, so that other texts stay where they are; many are joined by shuffle.
-    """
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``SETS`` of the wanted nodes (``node``, stored) and perhaps of a few more; texts stay where they are."""
     kind = arrow_schema(SETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +228,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, small_rows: int) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), grams], schema=kind)
 
     texts = docs.select(F.col("doc").alias("node"), "text")
-    return texts.join(_small(wanted, small_rows), "node", "left_semi").mapInArrow(run, SETS)
+    return possible(texts, bitmaps_of(wanted, "node"), "node").mapInArrow(run, SETS)
 
 
 def _near(pairs: DataFrame, registers: DataFrame, percent: int) -> DataFrame:
@@ -270,7 +267,7 @@ def _filter(rows: DataFrame, keep: Callable) -> DataFrame:
     return rows.mapInArrow(run, PAIR)
 
 
-def _dealt(members: DataFrame, block_rows: int, columns: list[str]) -> DataFrame:
+def _dealt(members: DataFrame, block_rows: int, columns: list[str], path: str) -> DataFrame:
     """Pairs of blocks, ``key``, ``x``, ``y``, of members of one key and different components.
 
     ``members``: ``key``, ``node``, ``component`` and ``columns``.  The component with most nodes of
@@ -288,7 +285,9 @@ def _dealt(members: DataFrame, block_rows: int, columns: list[str]) -> DataFrame
         blocks(F.col("main.c")).alias("n_main"),
         blocks(F.col("c") - F.col("main.c")).alias("n_rest"),
     )
-    told = members.join(per, "key")
+    # Written first: an aggregate below the join would keep a key's members in one task.
+    per.write.parquet(path)
+    told = members.join(members.sparkSession.read.schema(per.schema).parquet(path), "key")
     is_main = F.col("component") == F.col("main")
     deal = lambda n: F.pmod(F.xxhash64("node", "key"), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -310,7 +309,7 @@ def _dealt(members: DataFrame, block_rows: int, columns: list[str]) -> DataFrame
     return main.unionByName(against).unionByName(left).unionByName(right)
 
 
-def _across(members: DataFrame, block_rows: int, percent: int) -> DataFrame:
+def _across(members: DataFrame, block_rows: int, percent: int, path: str) -> DataFrame:
     """Pairs of one band and different clusters (``component``) whose sketches allow a link."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -327,53 +326,90 @@ def _across(members: DataFrame, block_rows: int, percent: int) -> DataFrame:
         pairs = np.concatenate([np.empty((0, 2), np.int64), *found])
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    dealt = _dealt(members, block_rows, ["n", "registers"])
+    dealt = _dealt(members, block_rows, ["n", "registers"], path)
+    dealt = dealt.repartition(_tasks(members), "key", "x", "y")
     return dealt.groupBy("key", "x", "y").applyInPandas(run, PAIR).distinct()
 
 
-def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
-    """How many values each set of one list shares with each of the other.
+def _tasks(df: DataFrame) -> int:
+    """A stated number of tasks, for rows that are few bytes and much work."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+GRAMS = "key bigint, node bigint, n bigint, gram bigint"
 
-    A matrix product over the values that both lists hold, so many columns at a time.
-    """
-    out = np.zeros((len(one), len(two)), np.float32)
-    both = np.intersect1d(np.concatenate(one), np.concatenate(two))
-    for at in range(0, len(both), COLUMNS):
-        some = both[at : at + COLUMNS]
 
-        def marks(sets: list[np.ndarray]) -> np.ndarray:
-            matrix = np.zeros((len(sets), len(some)), np.float32)
-            for i, values in enumerate(sets):
-                place = np.minimum(np.searchsorted(some, values), len(some) - 1)
-                matrix[i, place[some[place] == values]] = 1
-            return matrix
+def _grams(members: DataFrame) -> DataFrame:
+    """``GRAMS``: the values of the sets of ``members`` (``key``, ``node``, ``grams``), a row each."""
 
-        out += marks(one) @ marks(two).T
-    return out.astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 1 << 20):
+                sets = [np.frombuffer(g, np.int64) for g in part.column(2).to_pylist()]
+                sizes = np.array([len(values) for values in sets], np.int64)
+                rows = np.repeat(np.arange(len(sets)), sizes)
+                columns = part.column(0).to_numpy()[rows], part.column(1).to_numpy()[rows], sizes[rows]
+                values = np.concatenate([np.empty(0, np.int64), *sets])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, values)], ["key", "node", "n", "gram"])
+
+    return members.select("key", "node", "grams").mapInArrow(run, GRAMS)
 
 
-def _within(members: DataFrame, block_rows: int, percent: int) -> DataFrame:
-    """Links between components of one cluster (``key``), on full sets (``grams``).
+def _prefixes(members: DataFrame, percent: int, path: str) -> DataFrame:
+    """``key``, ``node``, ``n``, ``place``: what sets of a cluster must share to be linked.
 
-    Of the links between two components a task tells one.
+    The values of a set are ordered by how many sets of the cluster hold them, rarest first.  Of two
+    sets that are linked, the first common value is among the first ``n - needed + 1`` of each, where
+    ``needed`` is the least number of values that a set of ``n`` shares with a linked one.  Values that
+    no other set holds come first and are left out; a set that has enough of them has no row.  Keys
+    stand for a cluster and a value, ``place`` is the value's in the set.
     """
+    spark = members.sparkSession
+    token = F.xxhash64("key", "gram").alias("key")
+    held = _grams(members).select(token, "node", "n")
+    counts = held.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    counts.write.parquet(f"{path}-counts")
+    counts = spark.read.schema(counts.schema).parquet(f"{path}-counts")
+    ordered = held.join(counts, "key").groupBy("node", "n").agg(
+        F.array_sort(F.collect_list(F.struct("c", "key"))).alias("shared")  # at most the set
+    )
+    needed = F.floor((F.col("n") * percent + 99) / 100)
+    alone = F.col("n") - F.size("shared")
+    length = F.greatest(F.col("n") - needed + 1 - alone, F.lit(0)).cast("int")
+    first = F.posexplode(F.slice("shared", F.lit(1), length)).alias("at", "one")
+    placed = ordered.select("node", "n", alone.alias("alone"), first)
+    return placed.select("one.key", "node", "n", (F.col("alone") + F.col("at")).alias("place"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        one, two = (frame[frame["side"] == side] for side in (0, 1))
-        found = {}
-        if len(one) and len(two):
-            sets = [[np.frombuffer(g, np.uint64) for g in side["grams"]] for side in (one, two)]
-            common = common_counts(*sets)
-            n, m = (np.array([len(s) for s in side]) for side in sets)
-            fits = 100 * common >= percent * (n[:, None] + m[None, :] - common)
-            own, other = one["component"].to_numpy(), two["component"].to_numpy()
-            fits &= own[:, None] != other[None, :]
-            for i, j in np.argwhere(fits).tolist():
-                found.setdefault((own[i], other[j]), (one["node"].iat[i], two["node"].iat[j]))
-        return pd.DataFrame(list(found.values()), columns=["a", "b"], dtype="int64")
 
-    dealt = _dealt(members, block_rows, ["grams"])
-    return dealt.groupBy("key", "x", "y").applyInPandas(run, PAIR)
+def _within(clustered: DataFrame, sets: DataFrame, block_rows: int, percent: int, path: str) -> DataFrame:
+    """Pairs of nodes of one cluster (``key``) and different components that may be linked, each once.
+
+    An exact prefix filter: every link between them is among the pairs.  Values that many sets hold in
+    their prefixes are dealt in blocks, and only numbers travel.
+    """
+    spark = clustered.sparkSession
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}-{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}-{name}")
+
+    ends = clustered.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = stored(ends.filter("low <> high").select("key"), "undecided")
+    nodes = stored(clustered.join(open_, "key"), "nodes")
+    members = stored(nodes.select("key", "node").join(sets, "node"), "members")
+    prefixes = _prefixes(members, percent, path).join(nodes.select("node", "component"), "node")
+    dealt = stored(_dealt(stored(prefixes, "prefixes"), block_rows, ["n", "place"], f"{path}-per"), "dealt")
+
+    def side(number: int, name: str) -> DataFrame:
+        names = {"node": "node", "component": "of", "n": "n", "place": "place"}
+        told = [F.col(column).alias(f"{prefix}_{name}") for column, prefix in names.items()]
+        return dealt.filter(F.col("side") == number).select("key", "x", "y", *told)
+
+    pairs = side(0, "a").join(side(1, "b"), ["key", "x", "y"]).filter("of_a <> of_b")
+    # At the first common value no more is left in common than stands from there on.
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    pairs = pairs.filter((100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b")))
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def _grouped(docs: DataFrame, work: str, size: int, percent: int, block_rows: int, small_rows: int) -> DataFrame:
@@ -406,7 +442,7 @@ def _grouped(docs: DataFrame, work: str, size: int, percent: int, block_rows: in
     registers = stored(nodes.join(_small(wanted, small_rows), "node", "left_semi"), "registers")
     pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     near = stored(_near(pairs.distinct(), registers, percent), "near")
-    sets = stored(_sets(docs, stored(_ends(near), "ends"), size, small_rows), "sets")
+    sets = stored(_sets(docs, stored(_ends(near), "ends"), size), "sets")
     links = stored(_linked(near, sets, percent), "links")
     # A cluster: what sketches hold together.  It contains the components that links make so far.
     cluster = stored(components(near, work, "near").withColumnRenamed("component", "cluster"), "clusters")
@@ -414,14 +450,18 @@ def _grouped(docs: DataFrame, work: str, size: int, percent: int, block_rows: in
     clustered = cluster.join(label, "node", "left").select(
         F.col("cluster").alias("key"), "node", F.coalesce("component", "node").alias("component")
     )
-    inner = stored(_within(clustered.join(sets, "node"), block_rows, percent), "inner")
+    clustered = stored(clustered, "clustered")
+    possible_links = stored(_within(clustered, sets, block_rows, percent, f"{work}/within"), "within")
+    inner = stored(_linked(possible_links, sets, percent), "inner")
     named = members.select("key", "node").join(cluster, "node", "left")
     named = named.select("key", "node", F.coalesce("cluster", "node").alias("component"))
     parted = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = stored(named.join(parted.filter("low <> high").select("key"), "key"), "open")
-    across = stored(_across(open_.join(registers, "node"), block_rows, percent), "across")
+    parted = stored(parted.filter("low <> high").select("key"), "parted")
+    open_ = stored(named.join(parted, "key"), "open")
+    across = _across(open_.join(registers, "node"), block_rows, percent, f"{work}/across-per")
+    across = stored(across, "across")
     more_ends = stored(_ends(across).join(sets, "node", "left_anti"), "more-ends")
-    more_sets = stored(_sets(docs, more_ends, size, small_rows), "more-sets")
+    more_sets = stored(_sets(docs, more_ends, size), "more-sets")
     outer = stored(_linked(across, sets.unionByName(more_sets), percent), "outer")
     label = components(links.unionByName(inner).unionByName(outer), work, "all")
     told = sketched.select("doc", "doc_id", "n_shingles").join(copies, "doc", "left")
@@ -463,4 +503,4 @@ def kept_rows(docs: DataFrame, size: int = 5, percent: int = 80, small_rows: int
     found = _grouped(_texts(rows), work, size, percent, BLOCK_ROWS, small_rows)
     found.filter("doc <> first").select("doc").write.parquet(f"{work}/dropped")
     dropped = spark.read.schema("doc bigint").parquet(f"{work}/dropped")
-    return rows.join(_small(dropped, small_rows), "doc", "left_anti").select("row.*")
+    return without(rows, dropped, "doc").select("row.*")

@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, near_dedup, substring_dedup
-from millrace.llm.near_dedup import common_counts, registers_of, shingle_sets
+from millrace.llm.near_dedup import registers_of, shingle_sets
 from millrace.scratch import fresh_dir
 
 DOCS = "doc_id long, text string, row string, `out` string"
@@ -107,7 +108,7 @@ def test_exact_copies(spark, digest):
     """With a digest that nearly all texts share, the bytes decide."""
     path = fresh_dir(spark, "docs")
     frame(spark, COPIES).write.parquet(path)
-    got = exact_dedup.decide(spark, path, digest=digest, batch_bytes=1, small_rows=0).collect()
+    got = exact_dedup.decide(spark, path, digest=digest, batch_bytes=1).collect()
     groups = {}
     for doc_id, body in COPIES:
         groups.setdefault(folded(body), []).append(doc_id)
@@ -211,6 +212,35 @@ def test_a_hot_group_of_near_copies(spark):
     assert all(got[i] == (0 if i < 1000 else i) for i, _ in rows)
 
 
+def test_a_family_below_the_threshold(spark):
+    """Documents that share 70 in 100 are one cluster by their sketches; only real links are told."""
+    rng = random.Random(8)
+    base = text(rng, 140, 5000).split()
+    rows = [(i, " ".join(base + text(rng, 42, 10**6).split())) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " more words") for i in range(0, 300, 3)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.groups(frame(spark, rows), 2, 80, block_rows=8).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+
+
+def test_prefixes_lose_no_pair(spark):
+    rng = random.Random(3)
+    sets = {}
+    for i in range(120):
+        known = rng.choice(list(sets.values())) if sets and rng.random() < 0.8 else set()
+        kept = set(rng.sample(sorted(known), k=len(known) * rng.randrange(80, 101) // 100)) if known else set()
+        sets[i] = kept | {rng.randrange(10**6) for _ in range(rng.randrange(1, 12) if known else rng.randrange(5, 60))}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    stored = [(i, np.array(sorted(s), np.int64).tobytes()) for i, s in sets.items()]
+    spark.createDataFrame(stored, near_dedup.SETS).write.parquet(path := fresh_dir(spark, "sets"))
+    clustered = spark.createDataFrame([(7, i, i) for i in sets], "key long, node long, component long")
+    for block_rows in (2, 256):
+        pairs = near_dedup._within(clustered, spark.read.parquet(path), block_rows, 80, fresh_dir(spark, "within"))
+        found = {tuple(r) for r in pairs.collect()}
+        assert links <= found and len(links) > 10 and len(found) < 3000
+    joined = clustered.withColumn("component", F.lit(1))
+    assert near_dedup._within(joined, spark.read.parquet(path), 2, 80, fresh_dir(spark, "within")).count() == 0
+
+
 def test_zero_bytes_belong_to_words():
     bodies = ["a\0 b a\x01 b", "a\0 b a\0 b", "\0 \x01 \0", "\0", "\x01", "x\0y xy x\x01y", "a\0", "a"]
     sets = shingle_sets([b.encode() for b in bodies], 2)
@@ -233,4 +263,3 @@ def test_sketches_agree_with_sets():
     sets = shingle_sets(bodies, 2)
     assert [len(s) for s in sets] == [len(shingles(b.decode(), 2)) for b in bodies]
     assert (registers_of(sets) == registers_of(shingle_sets(bodies, 2))).all()
-    assert common_counts(sets, sets).diagonal().tolist() == [len(s) for s in sets]
