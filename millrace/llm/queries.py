@@ -193,6 +193,7 @@ ORACLES = {
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept,
                sha256(t) AS text_sha256
         FROM folded""",
+    "op8_warc": sql.warc(REVISIT_BYTES),
     "op11_license_scan": sql.license_scans(),
     "op12_importance_resampling": sql.importance_resampling(),
     "op13_merkle_manifest": sql.merkle_manifest(),

@@ -161,3 +161,20 @@ def merkle_manifest(leaf_levels: int = 9, language_levels: int = 4) -> str:
         {_climb('high', language_levels, f'low_up{leaf_levels - 1}', 'lang_pos', 'top')}
         SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
         FROM high_up{language_levels - 1}, (SELECT d AS root FROM high{language_levels})"""
+
+
+def warc(min_bytes: int) -> str:
+    """Records of ``pages`` with the digest in base 32: five hex digits of a SHA-1 give four."""
+    group = "('0x' || substr(hash, 5 * (j // 4) + 1, 5))::BIGINT"
+    digit = f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({group} >> (15 - 5 * (j % 4))) & 31) + 1, 1)"
+    return f"""
+        WITH record AS (
+            SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hash,
+                   strlen(coalesce(html, ''))::BIGINT AS n,
+                   min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+            FROM pages)
+        SELECT page_id, n AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda j: {digit}), '') AS payload_digest,
+               CASE WHEN n < {min_bytes} OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN n >= {min_bytes} AND page_id <> first THEN first END AS refers_to
+        FROM record"""

@@ -115,10 +115,11 @@ def test_probabilities_sum_to_one():
     codes, starts = language_id.symbols(["abab ba", "bbb a", ""])
     keys, n = np.unique(language_id.runs(codes, starts), return_counts=True)
     models = language_id.fit(["x"], keys, n[:, None].astype(float))
-    letters = [0, ord("a"), ord("b")]
+    unseen = 0xFFFF  # stands for all symbols that the texts do not have
+    letters = [0, ord("a"), ord("b"), unseen]
     for context in keys >> np.uint64(16):
         total = models.probability(np.array([(int(context) << 16) | c for c in letters], np.uint64)).sum()
-        assert 0.5 < total <= 1.0001  # the rest is left to symbols not seen
+        assert abs(total - 1) < 1e-5
 
 
 PAGE = """<!DOCTYPE html><html lang=en><head><title>t</title><style>p{}</style></head><body class="with-sidebar">
