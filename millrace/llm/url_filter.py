@@ -32,6 +32,7 @@ TRAIN_ROWS = 50_000
 TREES = 12
 DEPTH = 4
 PRIOR = 20.0
+FOLDS = 5
 SUFFIXES = 2
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,20 +116,44 @@ def with_features(urls: DataFrame) -> DataFrame:
     return found.select("row", "out.*", *suffix)
 
 
-def _with_suffix_statistics(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("row.url"), F.lit(FOLDS)).cast("int")
+
+
+def _with_suffix_statistics(rows: DataFrame, labelled: DataFrame, path: str) -> DataFrame:
     """For each host suffix how often labelled URLs below it were blocked, and how many they are.
 
-    Suffixes are counted before the exchange; the join has one row per suffix on one side, so
-    a suffix that most URLs share can be split on the other.
+    A labelled URL is told what the URLs of other folds say, so neither its own label nor that of a
+    copy of it is among what it is judged by.  Suffixes are counted before the exchange, and written
+    with one row each, so a suffix that most URLs share can be split on the other side of the join.
     """
+    own = F.when(F.col("label").isNotNull(), F.col("fold"))
+    rows = rows.withColumn("fold", _fold())
     for n in range(SUFFIXES):
         name = f"suffix_{n}"
-        stats = labelled.groupBy(name).agg(
-            F.log1p(F.count("*")).alias(f"seen_{n}"),
-            ((F.sum("label") + PRIOR / 2) / (F.count("*") + PRIOR)).alias(f"blocked_{n}"),
+        folds = [F.col("fold") == k for k in range(FOLDS)]
+        stats = labelled.withColumn("fold", _fold()).groupBy(name).agg(
+            F.array(*[F.count_if(fold) for fold in folds]).alias("counts"),
+            F.array(*[F.coalesce(F.sum(F.when(fold, F.col("label"))), F.lit(0.0)) for fold in folds]).alias("sums"),
+        )
+        stats.write.parquet(f"{path}-{n}")
+        stats = rows.sparkSession.read.schema(stats.schema).parquet(f"{path}-{n}")
+
+        def others(values: str, kind: str) -> Column:
+            zero = F.lit(0).cast(kind)
+            total = F.aggregate(values, zero, lambda a, b: a + b)
+            return F.coalesce(total - F.coalesce(F.get(values, own), zero), zero)
+
+        joined = rows.join(stats, name, "left").withColumns(
+            {"count": others("counts", "bigint"), "sum": others("sums", "double")}
         )
-        rows = rows.join(stats, name, "left").fillna({f"seen_{n}": 0.0, f"blocked_{n}": 0.5})
-    return rows
+        rows = joined.withColumns(
+            {
+                f"seen_{n}": F.log1p("count"),
+                f"blocked_{n}": (F.col("sum") + PRIOR / 2) / (F.col("count") + PRIOR),
+            }
+        ).drop("counts", "sums", "count", "sum")
+    return rows.drop("fold")
 
 
 def _fitted(rows: DataFrame, names: list[str], train_rows: int) -> GBTClassificationModel:
@@ -157,7 +182,7 @@ def judge(pages: DataFrame, rules: list[Rule], train_rows: int = TRAIN_ROWS) ->
     if len(known) < 2:
         own = F.lit("block" if known == [1.0] else "allow")
     else:
-        full = _with_suffix_statistics(rows, labelled)
+        full = _with_suffix_statistics(rows, labelled, f"{place}-suffixes")
         names = [*LEXICAL, *(f"{kind}_{n}" for n in range(SUFFIXES) for kind in ("seen", "blocked"))]
         model = _fitted(full.filter("label IS NOT NULL"), names, train_rows)
         rows = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(full))
