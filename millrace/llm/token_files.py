@@ -30,8 +30,8 @@ from millrace.llm.tokens import encoder
 
 BLOCK_DOCS = 512
 DICT_BYTES = 64 << 10
-DICT_DOCS = 512
-DICT_TEXT_BYTES = 64 << 10
+DICT_SLICES = 2048
+SLICE_CHARS = 4096
 LEVEL = 3
 
 BLOCKS = (
@@ -45,19 +45,28 @@ def _frames(ids: np.ndarray, width: int) -> bytes:
     return ids.astype(np.uint16 if width == 2 else np.uint32).tobytes()
 
 
-def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, width: int) -> bytes:
-    """A dictionary from a sample of about ``DICT_DOCS`` documents, chosen by hash.
+def dictionary_sample(docs: DataFrame) -> list[str]:
+    """About ``DICT_SLICES`` different slices of ``SLICE_CHARS`` characters, fewer if rows repeat.
 
-    It changes sizes only, never what is read back.  The sample takes whole documents of at
-    most ``DICT_TEXT_BYTES`` and stops at four times their number, which bounds what the driver
-    holds when rows repeat.
+    Every slice of every text, however long, is drawn with the same chance, by the hash of its text
+    and place; equal texts draw alike, and equal slices are one.
     """
-    small = docs.filter(F.octet_length("text").between(1, DICT_TEXT_BYTES))
+    slices = F.ceil(F.char_length("text") / SLICE_CHARS)
+    total = docs.agg(F.sum(slices).alias("n")).first()["n"] or 0
     steps = 1 << 30
-    share = int(steps * min(1, DICT_DOCS / max(1, small.count())))
-    sample = small.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)) < share)
-    rows = sample.select("text").limit(4 * DICT_DOCS).collect()
-    texts = [row["text"].encode() for row in rows]
+    share = int(steps * min(1, DICT_SLICES / max(1, total)))
+    hashed = docs.filter("text <> ''").select("text", F.xxhash64("text").alias("hash"), slices.alias("n"))
+    all_places = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)
+    chosen = F.filter(all_places, lambda i: F.pmod(F.xxhash64("hash", i), F.lit(steps)) < share)
+    cut = hashed.select("text", F.explode(chosen).alias("i"))
+    start = (F.col("i") * SLICE_CHARS + 1).cast("int")
+    rows = cut.select(F.substring("text", start, F.lit(SLICE_CHARS)).alias("slice")).distinct().collect()
+    return sorted(row["slice"] for row in rows)
+
+
+def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, width: int) -> bytes:
+    """A dictionary from a sample; it changes sizes only, never what is read back."""
+    texts = [text.encode() for text in dictionary_sample(docs)]
     samples = [_frames(np.append(ids, end_id), width) for ids in encoder(vocabulary).encode(texts)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
