@@ -42,6 +42,7 @@ def object_store_conf(
     tls: bool = False,
 ) -> dict[str, str]:
     """Session conf for ``s3a://`` paths; needs the Hadoop S3A jar on the cluster."""
+    # The connector's names of its settings and of its class.
     return {
         "spark.hadoop.fs.s3a.impl": "org.apache.hadoop.fs.s3a.S3AFileSystem",
         "spark.hadoop.fs.s3a.endpoint": endpoint,
@@ -54,6 +55,7 @@ def object_store_conf(
 
 def lakehouse_conf() -> dict[str, str]:
     """Session conf for ``format("delta")``; needs the Delta jar on the cluster."""
+    # The table format's names of its classes.
     return {
         "spark.sql.extensions": "io.delta.sql.DeltaSparkSessionExtension",
         "spark.sql.catalog.spark_catalog": "org.apache.spark.sql.delta.catalog.DeltaCatalog",

@@ -68,6 +68,7 @@ class BrokerTopic:
         return reader.option("startingOffsets", json.dumps(from_)).option("endingOffsets", json.dumps(to)).load()
 
     def _configured(self, reader, assign: dict[str, list[int]] | None = None):
+        # The connector's names of its options.
         return (
             reader.format("kafka")
             .option("kafka.bootstrap.servers", self.servers)
