@@ -1,6 +1,7 @@
 import pytest
 
 from millrace.jobs import crawl, ingest
+from millrace.operators.runs import history
 from millrace.scratch import fresh_dir
 from millrace.sinks.topics import produce
 from millrace.sources.tables import json_lines, versioned_table
@@ -28,6 +29,17 @@ def test_crawl_job(spark, monkeypatch):
     assert rows.select("run_id").distinct().count() == 2
 
 
+def test_repeated_and_later_crawl_jobs(spark):
+    snapshot, out, seen, runs = (fresh_dir(spark, name) for name in ("snapshot", "raw", "seen", "runs"))
+    spark.createDataFrame(PAGES, "page_id int, url string, html string").write.parquet(snapshot)
+    argv = ["--snapshot", snapshot, "--out", out, "--allowed", "ex.org", "--seen", seen, "--runs", runs, "--max-depth", "0"]
+    for run_id, seeds in (("one", "http://ex.org"), ("one", "http://ex.org"), ("two", "http://ex.org http://ex.org/a")):
+        crawl.run(spark, crawl.arguments([*argv, "--seeds", seeds, "--run-id", run_id, "--run-ts", "86400"]))
+    rows = json_lines(spark, out, "title string, dt string, run_id string").collect()
+    assert sorted(map(tuple, rows)) == [("A", "19700102", "two"), ("root", "19700102", "one")]
+    assert {(r["run_id"], r["attempted"]) for r in history(spark, runs).collect()} == {("one", 1), ("two", 1)}
+
+
 def test_a_cap_can_be_lifted(monkeypatch):
     argv = ["--snapshot", "x", "--out", "y", "--seeds", "a", "--allowed", "b"]
     assert crawl.arguments(argv).max_pages == 20
