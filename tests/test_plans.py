@@ -12,7 +12,7 @@ from millrace.operators.frontier import first_visits
 from millrace.operators.seen import SeenTable
 from millrace.plans.registry import PLANS, table
 from millrace.scratch import fresh_dir
-from millrace.sources.web import look_up, read_pages, with_kind
+from millrace.sources.web import read_pages, with_kind
 
 SF_DIR = "/root/testdata/sf0.001"
 
