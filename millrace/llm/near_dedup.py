@@ -9,8 +9,9 @@ Nodes that share a band are candidates.  Each is compared with the first node of
 bands: the Jaccard estimate of the two sketches, corrected for collisions, drops pairs that are
 far off, and the others are decided on the full sets.  The links join nodes to components.
 A link between nodes that are no link of their band's first node must not be lost.  So within
-a cluster, which is what near pairs hold together, sets of different components are joined by the
-rarest of their values (an exact prefix filter) and decided; and where a band holds nodes of several clusters, their
+a cluster, which is what near pairs hold together, sets of different components are compared as
+matrix products of bounded blocks, but for those that an exact prefix filter shows to be linked with
+none; and where a band holds nodes of several clusters, their
 sketches are compared across clusters, and what is near is decided on the full sets.  Nodes
 already joined are not paired at all.
 
@@ -48,6 +49,7 @@ MANTISSA = 10
 PROBES = 16
 MARGIN = 5.5
 BLOCK_ROWS = 256
+COLUMNS = 16_384
 SMALL_ROWS = 500_000
 
 WORD_TABLE = fold_table(lambda b: b != 32 and not 9 <= b <= 13)
@@ -356,60 +358,79 @@ def _grams(members: DataFrame) -> DataFrame:
 
 
 def _prefixes(members: DataFrame, percent: int, path: str) -> DataFrame:
-    """``key``, ``node``, ``n``, ``place``: what sets of a cluster must share to be linked.
+    """``node`` of the sets that may be linked with another of their cluster, perhaps repeated.
 
     The values of a set are ordered by how many sets of the cluster hold them, rarest first.  Of two
     sets that are linked, the first common value is among the first ``n - needed + 1`` of each, where
     ``needed`` is the least number of values that a set of ``n`` shares with a linked one.  Values that
-    no other set holds come first and are left out; a set that has enough of them has no row.  Keys
-    stand for a cluster and a value, ``place`` is the value's in the set.
+    no other set holds come first; a set that has so many of them is linked with none.
     """
     spark = members.sparkSession
     token = F.xxhash64("key", "gram").alias("key")
     held = _grams(members).select(token, "node", "n")
-    counts = held.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    counts = held.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     counts.write.parquet(f"{path}-counts")
     counts = spark.read.schema(counts.schema).parquet(f"{path}-counts")
-    ordered = held.join(counts, "key").groupBy("node", "n").agg(
-        F.array_sort(F.collect_list(F.struct("c", "key"))).alias("shared")  # at most the set
-    )
+    shared = held.join(counts, "key").groupBy("node", "n").agg(F.count("*").alias("shared"))
     needed = F.floor((F.col("n") * percent + 99) / 100)
-    alone = F.col("n") - F.size("shared")
-    length = F.greatest(F.col("n") - needed + 1 - alone, F.lit(0)).cast("int")
-    first = F.posexplode(F.slice("shared", F.lit(1), length)).alias("at", "one")
-    placed = ordered.select("node", "n", alone.alias("alone"), first)
-    return placed.select("one.key", "node", "n", (F.col("alone") + F.col("at")).alias("place"))
+    return shared.filter(F.col("n") - F.col("shared") < F.col("n") - needed + 1).select("node")
+
+
+def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of one list shares with each of the other.
+
+    A matrix product over the values that both lists hold, so many columns at a time.
+    """
+    out = np.zeros((len(one), len(two)), np.float32)
+    both = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    for at in range(0, len(both), COLUMNS):
+        some = both[at : at + COLUMNS]
+
+        def marks(sets: list[np.ndarray]) -> np.ndarray:
+            matrix = np.zeros((len(sets), len(some)), np.float32)
+            for i, values in enumerate(sets):
+                place = np.minimum(np.searchsorted(some, values), len(some) - 1)
+                matrix[i, place[some[place] == values]] = 1
+            return matrix
+
+        out += marks(one) @ marks(two).T
+    return out.astype(np.int64)
 
 
 def _within(clustered: DataFrame, sets: DataFrame, block_rows: int, percent: int, path: str) -> DataFrame:
-    """Pairs of nodes of one cluster (``key``) and different components that may be linked, each once.
+    """Links between components of one cluster (``key``), on full sets (``grams``).
 
-    An exact prefix filter: every link between them is among the pairs.  Values that many sets hold in
-    their prefixes are dealt in blocks, and only numbers travel.
+    An exact prefix filter leaves out the nodes that are no link of any other; the others are compared
+    as matrix products of bounded blocks.  Of the links between two components a task tells one.
     """
     spark = clustered.sparkSession
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{path}-{name}")
+        df.write.option("compression", "zstd").parquet(f"{path}-{name}")
         return spark.read.schema(df.schema).parquet(f"{path}-{name}")
 
-    ends = clustered.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = stored(ends.filter("low <> high").select("key"), "undecided")
-    nodes = stored(clustered.join(open_, "key"), "nodes")
-    members = stored(nodes.select("key", "node").join(sets, "node"), "members")
-    prefixes = _prefixes(members, percent, path).join(nodes.select("node", "component"), "node")
-    dealt = stored(_dealt(stored(prefixes, "prefixes"), block_rows, ["n", "place"], f"{path}-per"), "dealt")
-
-    def side(number: int, name: str) -> DataFrame:
-        names = {"node": "node", "component": "of", "n": "n", "place": "place"}
-        told = [F.col(column).alias(f"{prefix}_{name}") for column, prefix in names.items()]
-        return dealt.filter(F.col("side") == number).select("key", "x", "y", *told)
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        one, two = (frame[frame["side"] == side] for side in (0, 1))
+        found = {}
+        if len(one) and len(two):
+            sets = [[np.frombuffer(g, np.uint64) for g in side["grams"]] for side in (one, two)]
+            common = common_counts(*sets)
+            n, m = (np.array([len(s) for s in side]) for side in sets)
+            fits = 100 * common >= percent * (n[:, None] + m[None, :] - common)
+            own, other = one["component"].to_numpy(), two["component"].to_numpy()
+            fits &= own[:, None] != other[None, :]
+            for i, j in np.argwhere(fits).tolist():
+                found.setdefault((own[i], other[j]), (one["node"].iat[i], two["node"].iat[j]))
+        return pd.DataFrame(list(found.values()), columns=["a", "b"], dtype="int64")
 
-    pairs = side(0, "a").join(side(1, "b"), ["key", "x", "y"]).filter("of_a <> of_b")
-    # At the first common value no more is left in common than stands from there on.
-    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    pairs = pairs.filter((100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b")))
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    ends = clustered.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    undecided = stored(ends.filter("low <> high").select("key"), "undecided")
+    members = stored(clustered.join(undecided, "key").join(sets, "node"), "members")
+    alive = stored(_prefixes(members, percent, path).select("node").distinct(), "alive")
+    members = members.join(alive, "node", "left_semi").select("key", "node", "component", "grams")
+    dealt = _dealt(stored(members, "alike"), block_rows, ["grams"], f"{path}-per")
+    dealt = dealt.repartition(_tasks(clustered), "key", "x", "y")
+    return dealt.groupBy("key", "x", "y").applyInPandas(run, PAIR)
 
 
 def _grouped(docs: DataFrame, work: str, size: int, percent: int, block_rows: int, small_rows: int) -> DataFrame:
@@ -451,8 +472,7 @@ def _grouped(docs: DataFrame, work: str, size: int, percent: int, block_rows: in
         F.col("cluster").alias("key"), "node", F.coalesce("component", "node").alias("component")
     )
     clustered = stored(clustered, "clustered")
-    possible_links = stored(_within(clustered, sets, block_rows, percent, f"{work}/within"), "within")
-    inner = stored(_linked(possible_links, sets, percent), "inner")
+    inner = stored(_within(clustered, sets, block_rows, percent, f"{work}/within"), "inner")
     named = members.select("key", "node").join(cluster, "node", "left")
     named = named.select("key", "node", F.coalesce("cluster", "node").alias("component"))
     parted = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
