@@ -248,37 +248,6 @@ def test_learned_verdicts(spark):
     assert (got[2000], got[2001]) == ("block", "allow")
 
 
-def test_no_url_is_told_its_own_label(spark):
-    rng = random.Random(2)
-    hosts = [f"h{i}.x{i % 4}.net" for i in range(40)] + ["solo.one"] * 3
-    cases = [(i, f"http://{h}/{i if h != 'solo.one' else 0}", h, rng.choice(["block", "allow", None])) for i, h in enumerate(hosts)]
-    cases += [(900, "http://solo.one/0", "solo.one", "block"), (901, "http://solo.one/new", "solo.one", None)]
-    pages = spark.createDataFrame(cases, "page_id long, url string, host string, verdict string")
-    rows = url_filter.with_features(pages).withColumn("label", (F.col("row.verdict") == "block").cast("double"))
-    labelled = rows.filter("label IS NOT NULL")
-    full = url_filter._with_suffix_statistics(rows, labelled, fresh_dir(spark, "suffixes")).collect()
-    fold = {r["url"]: r["fold"] for r in rows.select("row.url", url_filter._fold().alias("fold")).collect()}
-    assert len(full) == len(cases)
-    for r in full:
-        for n in range(url_filter.SUFFIXES):
-            near = [c for c in cases if c[3] and c[2].split(".")[-(n + 1) :] == r["row"].host.split(".")[-(n + 1) :]]
-            if r["label"] is not None:
-                near = [c for c in near if fold[c[1]] != fold[r["row"].url]]
-            blocked = sum(c[3] == "block" for c in near)
-            assert r[f"seen_{n}"] == pytest.approx(np.log1p(len(near)))
-            assert r[f"blocked_{n}"] == pytest.approx((blocked + url_filter.PRIOR / 2) / (len(near) + url_filter.PRIOR))
-
-
-def test_dictionary_samples_take_long_texts_and_drop_repeats(spark):
-    rng = random.Random(3)
-    long = "".join(rng.choices("abcdefgh ", k=4096 * 600 + 5))
-    docs = [(1, long), (2, None), (3, "")] + [(10 + i, "repeated text") for i in range(3000)] + [(9000 + i, f"é{i}") for i in range(500)]
-    found = token_files.dictionary_sample(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert len(found) == len(set(found)) < 2 * token_files.DICT_SLICES
-    assert sum(len(t) == 4096 and t in long for t in found) > 100 and sum(t.startswith("é") for t in found) > 100
-    assert token_files.dictionary_sample(spark.createDataFrame([], "doc_id long, text string")) == []
-
-
 INNER = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
 PAYLOADS = [
     "", None, "plain", "é" * 50, "plain", "x\r\n\r\ny\r\n\r\n", "WARC/1.0\r\n", f"<p>{INNER}</p>", INNER * 3,
