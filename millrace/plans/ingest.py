@@ -90,6 +90,8 @@ def stream_restart_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return appended.groupBy("message").agg(F.count(F.lit(1)).alias("n"))
 
 
+MESSAGES_PER_FILE = 250_000
+
 # Message shapes a decoder meets, as Spark SQL over the events table.
 MESSAGE_SHAPES = {
     "object": """ '{"message":"' || event_type || '"}' """,
@@ -130,9 +132,11 @@ def json_decode_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shaped_topic(spark: SparkSession, sf_dir: str) -> RecordFiles:
-    """Every event in every message shape, as a topic."""
+    """Every event in every message shape, as a topic of files that tasks can share out."""
     shapes = F.posexplode(F.array(*[F.expr(sql) for sql in MESSAGE_SHAPES.values()]))
-    shaped = table(spark, sf_dir, "events").select("event_id", "ts", shapes.alias("shape", "text"))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    files = -(-events.count() * len(MESSAGE_SHAPES) // MESSAGES_PER_FILE)
+    shaped = events.repartition(max(1, files)).select("event_id", "ts", shapes.alias("shape", "text"))
     place = F.col("event_id") * len(MESSAGE_SHAPES) + F.col("shape")
     topic = RecordFiles(fresh_dir(spark, "topic"))
     produce(as_records(shaped, "events", value=F.col("text"), offset=place, timestamp=F.col("ts")), topic)

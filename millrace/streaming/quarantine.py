@@ -17,9 +17,13 @@ _CORRUPT = "_corrupt_record"
 
 
 def decoded(value: Column, schema: T.StructType) -> Column:
-    """The fields of a message, with its text in ``_corrupt_record`` if it is not of that shape."""
+    """The fields of a message, with its text in ``_corrupt_record`` if it is not of that shape.
+
+    A text without ``{`` holds no object, so it is not parsed and has no fields.
+    """
     marked = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-    return F.from_json(as_text(value), marked, {"columnNameOfCorruptRecord": _CORRUPT})
+    parsed = F.from_json(as_text(value), marked, {"columnNameOfCorruptRecord": _CORRUPT})
+    return F.when(as_text(value).contains("{"), parsed)
 
 
 def reason(value: Column, fields: Column) -> Column:
@@ -48,7 +52,8 @@ def start_sorting(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        told = batch.withColumn("fields", decoded(F.col("value"), schema))
+        # Conditions are not moved below a generator, so each write decodes a message once.
+        told = batch.withColumn("fields", F.explode(F.array(decoded(F.col("value"), schema))))
         told = told.withColumn("reason", reason(F.col("value"), F.col("fields")))
         names = [F.col("fields")[name].alias(name) for name in schema.names]
         kept = told.filter("reason IS NULL").select(*PLACE, *names)

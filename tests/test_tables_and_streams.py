@@ -9,6 +9,7 @@ from millrace import session
 from millrace.functions.messages import decode_json, raw_messages
 from millrace.operators.checks import require, same_rows
 from millrace.operators.counts import lines_per_file
+from millrace.plans import ingest
 from millrace.scratch import fresh_dir, shared_root
 from millrace.sinks import files as sink
 from millrace.sinks.topics import as_records, produce
@@ -212,6 +213,35 @@ def test_messages_are_sorted_once_whatever_stops(spark):
     assert {r["message"] for r in kept} == {"a", "5", '{"a":1}', None}
 
 
+def test_a_write_of_sorted_messages_decodes_each_message_once(spark):
+    topic, path = RecordFiles(fresh_dir(spark, "topic")), fresh_dir(spark, "sorted")
+    texts = ['{"message":"a"}', "a", "[1]", "[{}]", "{", '[{"message":"b"}]', "[null]", "[]", " {} ", '"a"', "null"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "offset long, value string")
+    produce(as_records(rows, "t", value=F.col("value"), offset=F.col("offset")), topic)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    start_sorting(topic.stream(spark), path, fresh_dir(spark, "stream"), drain=True).awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = store.executionsList()
+    plans = [found.apply(i).physicalPlanDescription() for i in range(before, found.size())]
+    seen = [text.split("== Physical Plan ==")[-1].count("from_json(") for text in plans if "from_json(" in text]
+    assert len(seen) >= 2 and set(seen) == {1}
+    kept = spark.read.parquet(f"{path}/{KEPT}").select("offset", "message").collect()
+    assert sorted(map(tuple, kept), key=str) == [(0, "a"), (8, None)]
+    rest = spark.read.parquet(f"{path}/{QUARANTINED}").select("offset", "reason").collect()
+    assert sorted(map(tuple, rest)) == [(i, "malformed") for i in (1, 2, 3, 4, 5, 6, 7, 9, 10)]
+
+
+def test_a_topic_of_many_messages_is_a_topic_of_files(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "MESSAGES_PER_FILE", 2_500)
+    events = spark.range(1_000).selectExpr("id AS event_id", "now() AS ts", "'view' AS event_type")
+    path = fresh_dir(spark, "tables")
+    events.coalesce(1).write.parquet(f"{path}/events.parquet")
+    records = ingest._shaped_topic(spark, path).batch(spark)
+    assert records.select("_metadata.file_path").distinct().count() == 4
+    assert sorted(r["offset"] for r in records.select("offset").collect()) == list(range(10_000))
+
+
 def test_evolving_table(spark):
     table = EvolvingTable(spark, fresh_dir(spark, "evolving"))
     table.append(spark.createDataFrame([(1, "a", 1.5)], "n int, t string, f float"))
